@@ -89,9 +89,11 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def poisson_weight(key: Column, stream: int) -> Column:
-    """Bootstrap multiplicity of a row: how many steps its uniform number has passed."""
-    u = hash_uniform(key, stream)
+def poisson_weight(u: Column) -> Column:
+    """Bootstrap multiplicity from a uniform column: how many steps the number has passed.
+
+    Compute ``u`` in a projection before, so that it is evaluated once and not once per step.
+    """
     passed = F.lit(0)
     for step in poisson_steps():
         passed = passed + (u >= step).cast("int")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.functions.hashing import hash_word, stream_word, word_array
 from panelreg.operators.preprocess import Preparation
+from panelreg.session import StoredTable
 
 BLOCK_ROWS = 50_000
 BLOCK, SHUFFLE = 5, 6
@@ -35,9 +36,10 @@ def _in_blocks(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
     fullest = placed.groupBy("block").count().agg(F.max("count")).first()[0]
     if fullest <= 4 * block_rows:
         return placed
-    # a key that many rows share would fill one block: deal those rows by their place instead
+    # a key that many rows share would fill one block: deal the rows by their place instead, and
+    # write that down, so that a recomputed task finds its rows in the same blocks
     place = F.xxhash64("key", F.monotonically_increasing_id())
-    return rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int"))
+    return StoredTable(rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")), "blocks").frame
 
 
 def shuffled_errors(

@@ -23,6 +23,7 @@ def split_exact(df: DataFrame, key: str, share: float, seed: int = 42, kept_rows
 
     The rows with the smallest hashes are held out. Their number is met by finding the hash of
     that rank; should several rows share that very hash, the smaller keys among them go first.
+    Rows with equal keys stay together.
     """
     count = df.count()
     wanted = math.ceil(count * share)

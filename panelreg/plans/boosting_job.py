@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelreg.operators.boosting import BoostSettings, fit_boosting
 from panelreg.operators.preprocess import fit_preparation
 from panelreg.operators.validation import split_by_share, split_exact
-from panelreg.plans.common import ModelRun, RunSettings, fit_scored, prepare_split, write_report
+from panelreg.plans.common import ModelRun, RunSettings, fit_scored, prepare_split, store_training, write_report
 from panelreg.sources.roles import RoleSchema
 
 
@@ -25,7 +25,7 @@ def run_boosting(
     if stopping and not 0.0 < val_size < 0.5:
         raise ValueError("early stopping needs a validation share between 0 and 0.5")
     split = prepare_split(panel, roles, settings)
-    rows = split.train.persist()
+    stored, rows = store_training(split)
     if stopping:
         divide = split_exact if exact_split else split_by_share
         rows = divide(rows, "key", val_size, boosting.seed)
@@ -35,7 +35,7 @@ def run_boosting(
     train = preparation.apply(rows).select(*kept)
     model = fit_boosting(train, preparation, boosting, fold="fold" if stopping else None)
     run = fit_scored("XGB", split, preparation, train, model.score, importances=model.importances())
-    split.train.unpersist()
+    stored.drop()
     return run
 
 

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelreg.functions.hashing import row_key
 from panelreg.functions.target import fit_smearing, invert, to_learning_scale, to_raw_prediction
 from panelreg.operators.evaluate import group_mae, metric_columns
-from panelreg.operators.preprocess import PrepSettings, Preparation, fit_preparation
+from panelreg.operators.preprocess import Preparation, PrepSettings
+from panelreg.session import StoredTable
 from panelreg.sources.roles import (
     DEFAULT_TARGET, GROUP_COLUMNS, HOUSEHOLD_ID, YEAR_COLUMN, YEAR_FEATURE,
     FeatureColumns, RoleSchema, cast_roles, select_features,
@@ -76,15 +76,32 @@ def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings, ch
     typed = cast_roles(panel, roles, numbers=(settings.target,), levels=tuple(areas))
     if settings.year_feature:
         typed = typed.withColumn(YEAR_FEATURE, F.col(settings.year_column).cast("string"))
-    key = F.lit(0).cast("bigint")
-    if settings.id_column in panel.columns:
-        key = row_key(F.col(settings.id_column), panel.schema[settings.id_column].dataType)
-    typed = typed.withColumns({"label": to_learning_scale(F.col(settings.target), settings.scale), "key": key})
+    # a household answers in several years, so its row is named by both; without an id by its content
+    named = [settings.id_column, settings.year_column] if settings.id_column in panel.columns else panel.columns
+    label = to_learning_scale(F.col(settings.target), settings.scale)
+    typed = typed.withColumns({"label": label, "key": F.xxhash64(*named)})
     train, test = split_years(typed, settings.train_years, settings.test_year, settings.year_column)
     kept = dict.fromkeys((*features.all, "label", "key"))
     return SplitPanel(settings, features, train.filter(F.col("label").isNotNull()).select(*kept), test)
 
 
+def store_training(split: SplitPanel) -> tuple[StoredTable, DataFrame]:
+    """The training rows as a written table, for fits that draw rows by key.
+
+    Should many rows share a key (an id that is missing for a third of the households, say), the
+    key is mixed with the row's place once, and written, so that it is the same in every scan.
+    """
+    stored = StoredTable(split.train, "train")
+    shape = stored.frame.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key", 0.02).alias("keys")
+    ).first()
+    if shape["keys"] < 0.9 * shape["n"]:
+        salted = stored.frame.withColumn("key", F.xxhash64("key", F.monotonically_increasing_id()))
+        shared, stored = stored, StoredTable(salted, "train")
+        shared.drop()
+    return stored, stored.frame
+
+
 @dataclass
 class ModelRun:
     """One fitted model and its result tables; the tables are lazy."""
@@ -192,9 +209,5 @@ def write_report(report: DataFrame, folder: str, prefix: str, settings: RunSetti
     write_small(report, f"{folder}/{prefix}_{settings.target}_time_{years}", fmt)
 
 
-def fit_split(split: SplitPanel) -> Preparation:
-    return fit_preparation(split.train, split.features, split.settings.prep)
-
-
 def as_table(columns: list[np.ndarray]) -> np.ndarray:
     return np.column_stack(columns)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from panelreg.operators.evaluate import r2
 from panelreg.operators.forest import ForestSettings, fit_forest
 from panelreg.operators.permutation import permutation_importance
-from panelreg.plans.common import ModelRun, RunSettings, as_table, fit_scored, fit_split, prepare_split, write_report
+from panelreg.operators.preprocess import fit_preparation
+from panelreg.plans.common import ModelRun, RunSettings, as_table, fit_scored, prepare_split, store_training, write_report
 from panelreg.sources.roles import RoleSchema
 
 
@@ -22,9 +23,9 @@ def run_forest(
     repeats: int = 5,
 ) -> ModelRun:
     split = prepare_split(panel, roles, settings)
-    split.train.persist()
-    preparation = fit_split(split)
-    train = preparation.apply(split.train).select("label", "key", *preparation.prepared_columns)
+    stored, rows = store_training(split)
+    preparation = fit_preparation(rows, split.features, settings.prep)
+    train = preparation.apply(rows).select("label", "key", *preparation.prepared_columns)
     model, binned = fit_forest(train, preparation, forest)
     extra = {}
     if oob:
@@ -32,7 +33,7 @@ def run_forest(
         extra["R2_OOB"] = row[0]
     binned.unpersist()
     run = fit_scored("RF", split, preparation, train, model.score, importances=model.importances(), extra=extra)
-    split.train.unpersist()
+    stored.drop()
     if permutation:
         trees = model.packed()
         run.permutation = permutation_importance(

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from panelreg.operators.linear import fit_huber, fit_ols
-from panelreg.plans.common import ModelRun, RunSettings, fit_scored, fit_split, prepare_split, write_report
+from panelreg.operators.preprocess import fit_preparation
+from panelreg.plans.common import ModelRun, RunSettings, fit_scored, prepare_split, write_report
 from panelreg.sources.roles import RoleSchema
 
 MODELS = {"ols": ("OLS",), "huber": ("Huber",), "both": ("OLS", "Huber")}
@@ -27,7 +28,7 @@ def run_linear(
         raise ValueError(f"unknown linear model {model!r}, expected one of {', '.join(MODELS)}")
     split = prepare_split(panel, roles, settings)
     split.train.persist()
-    preparation = fit_split(split)
+    preparation = fit_preparation(split.train, split.features, settings.prep)
     train = preparation.apply(split.train).select("label", *preparation.prepared_columns)
     runs = []
     for name in MODELS[model]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -76,11 +77,18 @@ def parse_stata(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_stata_rows(names), schema)
 
 
+def _stata_chunks(content: bytes, rows: int) -> Iterator[pd.DataFrame]:
+    with warnings.catch_warnings():
+        # partly labelled columns differ in type between chunks; all of them become text anyway
+        warnings.simplefilter("ignore", pd.errors.CategoricalConversionWarning)
+        with pd.read_stata(io.BytesIO(content), chunksize=rows) as reader:
+            yield from reader
+
+
 def _stata_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
-            with pd.read_stata(io.BytesIO(content), chunksize=1) as reader:
-                names = list(reader.read(1).columns)
+            names = next(_stata_chunks(content, 1)).columns
             yield pd.DataFrame({"name": names, "place": range(len(names))})
 
 
@@ -88,10 +96,9 @@ def _stata_rows(names: list[str]):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                with pd.read_stata(io.BytesIO(content), chunksize=STATA_CHUNK_ROWS) as reader:
-                    for chunk in reader:
-                        text = {c: chunk[c].astype("string") for c in chunk.columns}
-                        yield pd.DataFrame(text, index=chunk.index).reindex(columns=names)
+                for chunk in _stata_chunks(content, STATA_CHUNK_ROWS):
+                    text = {c: chunk[c].astype("string") for c in chunk.columns}
+                    yield pd.DataFrame(text, index=chunk.index).reindex(columns=names)
 
     return rows
 
