@@ -162,6 +162,10 @@ def hash_uniform_sql(key: str, stream: str) -> str:
     return f"(CAST({hash_word_sql(key, stream)} AS DOUBLE) / {RANGE})"
 
 
+def digest_sql(key: str, seed: int, digits: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(concat(CAST({key} AS VARCHAR), ':{seed}')), 1, {digits}) AS UBIGINT) AS DOUBLE)"
+
+
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     """Round the named columns, leaving the others and the order alone."""
     return df.withColumns({c: F.round(F.col(c), d) for c, d in digits.items()})

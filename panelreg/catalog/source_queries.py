@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
-    HH, ROLES, TEST_YEAR, TRAIN_YEARS, hash_uniform_sql, hash_word_sql, households, query, settings,
+    HH, ROLES, TEST_YEAR, TRAIN_YEARS, digest_sql, households, query, settings,
 )
-from panelreg.functions.hashing import stream_word
+from panelreg.functions.hashing import RANGE
 from panelreg.functions.typing import to_level, to_number
 from panelreg.operators.levels import level_counts
 from panelreg.operators.preprocess import PrepSettings, fit_preparation
@@ -288,13 +288,8 @@ def _fold_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("hh_id").alias("ids"))
 
 
-RANK_SQL = (
-    f"({hash_word_sql('hh_id', str(stream_word(42, 0)))} * 1048576 + ({hash_word_sql('hh_id', str(stream_word(42, 1)))} >> 12))"
-)
-
-
 @query(
-    f"""WITH {HH}, r AS (SELECT hh_id, row_number() OVER (ORDER BY {RANK_SQL}, hh_id) AS place, count(*) OVER () AS n FROM tr)
+    f"""WITH {HH}, r AS (SELECT hh_id, row_number() OVER (ORDER BY {digest_sql('hh_id', 42, 13)}, hh_id) AS place, count(*) OVER () AS n FROM tr)
 SELECT CAST(CASE WHEN place <= ceil(n * 0.15) THEN 1 ELSE 0 END AS INT) AS fold, count(*) AS n, sum(hh_id) AS ids FROM r GROUP BY 1"""
 )
 def val_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +298,7 @@ def val_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {HH} SELECT CAST(CASE WHEN {hash_uniform_sql('hh_id', str(stream_word(42, 0)))} < 0.15 THEN 1 ELSE 0 END AS INT) AS fold,
+    f"""WITH {HH} SELECT CAST(CASE WHEN {digest_sql('hh_id', 42, 8)} / {RANGE} < 0.15 THEN 1 ELSE 0 END AS INT) AS fold,
   count(*) AS n, sum(hh_id) AS ids FROM tr GROUP BY 1"""
 )
 def val_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

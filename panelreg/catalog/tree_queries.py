@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
-    HH, LABEL, NUMERIC_ROLES, ROLES, hash_uniform_sql, hash_word_sql, households, is_train, query, rounded, settings,
+    HH, LABEL, NUMERIC_ROLES, ROLES, digest_sql, hash_uniform_sql, hash_word_sql, households, is_train, query, rounded, settings,
 )
-from panelreg.functions.hashing import hash_uniform, poisson_steps, poisson_weight, stream_word
+from panelreg.functions.hashing import RANGE, poisson_array, poisson_steps, stream_word
 from panelreg.functions.target import to_learning_scale
 from panelreg.operators.boosting import BoostSettings, fit_boosting, fit_ml_boosting
 from panelreg.operators.evaluate import metric_columns
 from panelreg.operators.forest import ForestSettings, bag_stream, fit_forest, fit_ml_forest
-from panelreg.operators.permutation import BLOCK, BLOCK_ROWS, SHUFFLE, permutation_importance
+from panelreg.operators.permutation import BLOCK_ROWS, SHUFFLE, permutation_importance
 from panelreg.operators.preprocess import Preparation, PrepSettings, fit_preparation
 from panelreg.operators.trees import (
-    RowRule, SplitRules, Tree, bin_columns, feature_space, histogram_cells, split_candidates,
+    RowRule, SplitRules, Tree, bin_columns, feature_space, histogram_cells, scan_source, split_candidates,
 )
 from panelreg.operators.validation import split_by_share
 from panelreg.plans.boosting_job import run_boosting
@@ -104,7 +105,7 @@ def _root_cells(spark: SparkSession, sf_dir: str):
     base = train.agg(F.avg("label")).first()[0]
     binned = bin_columns(train, space, ["key", F.col("label").alias("y")])
     rule = RowRule(("key", "y"), lambda tree, key: None, lambda columns, table: base - columns["y"])
-    return histogram_cells(binned, space, rule, {0: (Tree().packed(), [0])}), space
+    return histogram_cells(scan_source(binned, space, rule), space, rule, {0: (Tree().packed(), [0])}), space
 
 
 def _named(cells: DataFrame, space) -> DataFrame:
@@ -167,7 +168,7 @@ def boost_importance_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOP_ROUNDS, PATIENCE = 6, 2
-FOLD_SQL = f"{hash_uniform_sql('hh_id', str(stream_word(SEED, 0)))} >= 0.15"
+FOLD_SQL = f"{digest_sql('hh_id', SEED, 8)} / {RANGE} >= 0.15"
 
 
 @query(
@@ -200,12 +201,14 @@ SELECT CAST(tree AS INT) AS tree, weight, count(*) AS n, sum(hh_id) AS ids FROM
 )
 def bag_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each training row is drawn by each of five trees."""
-    draws = F.array(*[hash_uniform(F.col("hh_id"), bag_stream(SEED, t)) for t in range(TREES)])
-    rows = households(spark, sf_dir).filter(is_train()).select("hh_id", draws.alias("draws"))
-    drawn = rows.select("hh_id", F.posexplode("draws").alias("tree", "u"))
-    return drawn.select("hh_id", "tree", poisson_weight(F.col("u")).alias("weight")).groupBy("tree", "weight").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hh_id").alias("ids")
-    )
+    rows = households(spark, sf_dir).filter(is_train()).select("hh_id")
+
+    @F.pandas_udf("array<long>")
+    def draw(key: pd.Series) -> pd.Series:
+        return pd.Series(list(np.column_stack([poisson_array(key.to_numpy(), bag_stream(SEED, t)) for t in range(TREES)])))
+
+    drawn = rows.select("hh_id", F.posexplode(draw("hh_id")).alias("tree", "weight"))
+    return drawn.groupBy("tree", "weight").agg(F.count(F.lit(1)).alias("n"), F.sum("hh_id").alias("ids"))
 
 
 # depth-one trees on the line count; a leaf is the weighted mean, a split needs three drawn rows per side
@@ -255,7 +258,7 @@ SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(
 @query(
     f"""WITH {HH}, med AS (SELECT median(acctbal) AS ma, median(n_lines) AS mn FROM tr), {SHUFFLES_SQL},
 rows0 AS (SELECT hh_id, {LABEL} AS y, coalesce(acctbal, ma) AS a, coalesce(n_lines, mn) AS n,
-  {hash_word_sql('hh_id', str(stream_word(SEED, BLOCK)))} % CAST(ceil(count(*) OVER () / {BLOCK_ROWS}.0) AS BIGINT) AS block
+  floor({digest_sql('hh_id', SEED, 8)} / {RANGE} * ceil(count(*) OVER () / {BLOCK_ROWS}.0)) AS block
   FROM te, med),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY hh_id) AS i FROM rows0),
 mixed AS (SELECT block, place, repeat, a, n, row_number() OVER (PARTITION BY block, place, repeat

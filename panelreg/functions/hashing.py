@@ -1,9 +1,9 @@
 """Reproducible per-row randomness.
 
-A row gets its random numbers from an integer key and a stream number, never from its place in
-a partition, so a recomputed task draws the same numbers. The mixing is plain integer
-arithmetic that stays below 2**63 and exists twice with equal results: as Spark columns, and
-as numpy for code that runs inside tasks.
+A row gets its random numbers from an integer key and a seed or stream number, never from its
+place in a partition, so a recomputed task draws the same numbers. Columns that a plan filters
+or groups by use a digest of the key. Code inside tasks, which draws once per row and tree, uses
+a 32-bit integer mixer on numpy arrays; its products stay below 2**63.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DataType, IntegralType
 
 # Fixed values of the 32-bit mixer.
 MULTIPLIER = 73244475
@@ -34,33 +33,20 @@ def stream_word(seed: int, *parts: int) -> int:
     return word
 
 
-def _mix_column(x: Column) -> Column:
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MULTIPLIER).bitwiseAND(WORD)
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def row_key(column: Column, dtype: DataType) -> Column:
-    """A bigint key: integers are taken as they are, anything else is hashed."""
-    return column.cast("bigint") if isinstance(dtype, IntegralType) else F.xxhash64(column)
-
+def digest_number(key: Column, seed: int, digits: int) -> Column:
+    """The first hexadecimal digits of the key's digest as an exact double."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("double")
 
-def hash_word(key: Column, stream: int) -> Column:
-    """32 random bits (as bigint) of a bigint key in one stream."""
-    high = F.shiftrightunsigned(key, 32)
-    inner = _mix_column(high.bitwiseXOR(F.lit(stream).cast("bigint")))
-    return _mix_column(key.bitwiseAND(WORD).bitwiseXOR(inner))
 
-
-def hash_uniform(key: Column, stream: int) -> Column:
-    return hash_word(key, stream) / F.lit(RANGE)
+def hash_uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) per key."""
+    return digest_number(key, seed, 8) / F.lit(RANGE)
 
 
 def hash_rank(key: Column, seed: int) -> Column:
     """52 random bits as an exact double: a sort key whose ties are negligible at any size."""
-    first, second = stream_word(seed, 0), stream_word(seed, 1)
-    wide = hash_word(key, first) * (1 << 20) + F.shiftright(hash_word(key, second), 12)
-    return wide.cast("double")
+    return digest_number(key, seed, 13)
 
 
 def mix_array(x: np.ndarray) -> np.ndarray:
@@ -89,16 +75,5 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def poisson_weight(u: Column) -> Column:
-    """Bootstrap multiplicity from a uniform column: how many steps the number has passed.
-
-    Compute ``u`` in a projection before, so that it is evaluated once and not once per step.
-    """
-    passed = F.lit(0)
-    for step in poisson_steps():
-        passed = passed + (u >= step).cast("int")
-    return passed
-
-
 def poisson_array(key: np.ndarray, stream: int) -> np.ndarray:
     return np.searchsorted(np.array(poisson_steps()), uniform_array(key, stream), side="right")

@@ -15,16 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelreg.functions.hashing import hash_word, stream_word, word_array
+from panelreg.functions.hashing import hash_uniform, stream_word, word_array
 from panelreg.operators.preprocess import Preparation
 from panelreg.session import StoredTable
 
 BLOCK_ROWS = 50_000
-BLOCK, SHUFFLE = 5, 6
+SHUFFLE = 5
 
 
 def block_column(key: Column, blocks: int, seed: int) -> Column:
-    return (hash_word(key, stream_word(seed, BLOCK)) % blocks).cast("int")
+    return F.floor(hash_uniform(key, seed) * blocks).cast("int")
 
 
 def _in_blocks(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:

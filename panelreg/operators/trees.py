@@ -196,8 +196,8 @@ class SplitRules:
         return f"try_divide(pow(greatest(abs({g}) - {self.alpha!r}D, 0D), 2), {h} + {self.lambda_!r}D)"
 
 
-def split_candidates(cells: DataFrame, rules: SplitRules) -> DataFrame:
-    """Gain of every admissible split from summed cells.
+def candidates_sql(rules: SplitRules) -> str:
+    """Gain of every admissible split from the summed ``{cells}``.
 
     The right side of a cell's split is the cell and all later bins of its feature. A totals
     row per node (feature -1) stays in with a NULL gain, so that no node is lost.
@@ -207,8 +207,7 @@ def split_candidates(cells: DataFrame, rules: SplitRules) -> DataFrame:
         f"{rules.score('g_left', 'h_left')} + {rules.score('g_right', 'h_right')} - {rules.score('g_all', 'h_all')}"
     )
     running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return cells.sparkSession.sql(
-        f"""
+    return f"""
         WITH sums AS (
           SELECT tree, node, feature, bin,
                  sum(g) OVER later AS g_right, sum(h) OVER later AS h_right, sum(c) OVER later AS c_right,
@@ -227,23 +226,24 @@ def split_candidates(cells: DataFrame, rules: SplitRules) -> DataFrame:
                CASE WHEN feature >= 0 AND c_right >= {rows} AND c_left >= {rows}
                      AND h_right >= {weight!r}D AND h_left >= {weight!r}D AND gain_any > {rules.gamma!r}D
                     THEN gain_any END AS gain
-        FROM gains
-        """,
-        cells=cells,
-    )
+        FROM gains"""
 
 
-def best_splits(candidates: DataFrame) -> DataFrame:
+def split_candidates(cells: DataFrame, rules: SplitRules) -> DataFrame:
+    return cells.sparkSession.sql(candidates_sql(rules), cells=cells)
+
+
+def best_splits(cells: DataFrame, rules: SplitRules) -> DataFrame:
     """One row per node. Gains within one part in 10^9 are a tie: lowest feature, then lowest bin."""
-    return candidates.sparkSession.sql(
-        """
-        SELECT * EXCEPT (top, place) FROM (
+    return cells.sparkSession.sql(
+        f"""
+        SELECT tree, node, feature, bin, g_right, h_right, g_all, h_all, gain FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node
                                        ORDER BY round(gain / top, 9) DESC NULLS LAST, feature, bin) AS place
-          FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM {candidates})
+          FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM ({candidates_sql(rules)}))
         ) WHERE place = 1
         """,
-        candidates=candidates,
+        cells=cells,
     )
 
 
@@ -266,8 +266,13 @@ def _table(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]])
 
 
+def scan_source(binned: DataFrame, space: FeatureSpace, rule: RowRule) -> DataFrame:
+    """The columns a level scan reads, in as many tasks as partial sums may come from."""
+    return binned.select(*rule.inputs, *space.columns).coalesce(task_budget(binned.sparkSession))
+
+
 def histogram_cells(
-    binned: DataFrame,
+    source: DataFrame,
     space: FeatureSpace,
     rule: RowRule,
     growing: dict[int, tuple[PackedTree, list[int]]],
@@ -275,12 +280,11 @@ def histogram_cells(
 ) -> DataFrame:
     """Sums per (tree, node, feature, bin) of the growing nodes, with one totals row per node.
 
-    ``growing`` maps a tree number to the tree so far and its open nodes; ``chosen(tree, node)``
+    ``source`` comes from ``scan_source``. ``growing`` maps a tree number to the tree so far and its open nodes; ``chosen(tree, node)``
     is the boolean mask of features that node may split on.
     """
     sizes, offsets = np.array(space.sizes), space.offsets
     width = int(offsets[-1])
-    inputs = (*rule.inputs, *space.columns)
     masks = {
         (t, node): chosen(t, node) if chosen else np.ones(len(space.features), dtype=bool)
         for t, (_, nodes) in growing.items()
@@ -348,7 +352,7 @@ def histogram_cells(
         types = [pa.int32()] * 4 + [pa.float64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(columns, types)], names=names)
 
-    partial = binned.select(*inputs).coalesce(task_budget(binned.sparkSession)).mapInArrow(cells, CELL_SCHEMA)
+    partial = source.mapInArrow(cells, CELL_SCHEMA)
     return partial.groupBy("tree", "node", "feature", "bin").agg(*[F.expr(f"sum({v}) AS {v}") for v in "ghc"])
 
 
@@ -381,17 +385,17 @@ def grow_trees(
     trees = {t: Tree() for t in tree_ids}
     open_nodes = {t: [0] for t in tree_ids}
     depth = 0
+    source = scan_source(binned, space, rule)
+    most_tasks = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while open_nodes:
         grown: dict[int, list[int]] = {}
         splitting = rules.max_depth is None or depth < rules.max_depth
         for group in _passes(open_nodes, int(space.offsets[-1])):
-            cells = histogram_cells(
-                binned, space, rule, {t: (trees[t].packed(), nodes) for t, nodes in group.items()}, chosen
-            )
+            packed = {t: (trees[t].packed(), nodes) for t, nodes in group.items()}
             # all cells of a node meet in one task; there are as many tasks as open nodes, up to the default
-            tasks = min(sum(map(len, group.values())), int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            candidates = split_candidates(cells.repartition(tasks, "tree", "node"), rules)
-            for row in best_splits(candidates).collect():
+            tasks = min(sum(map(len, group.values())), most_tasks)
+            cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
+            for row in best_splits(cells, rules).collect():
                 if row["tree"] == TOTALS:
                     if on_errors is not None:
                         on_errors(row["g_right"], row["h_right"])

@@ -82,13 +82,14 @@ def _stata_chunks(content: bytes, rows: int) -> Iterator[pd.DataFrame]:
         # partly labelled columns differ in type between chunks; all of them become text anyway
         warnings.simplefilter("ignore", pd.errors.CategoricalConversionWarning)
         with pd.read_stata(io.BytesIO(content), chunksize=rows) as reader:
-            yield from reader
+            for chunk in reader:  # not `yield from`: that would close the reader a second time
+                yield chunk
 
 
 def _stata_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
-            names = next(_stata_chunks(content, 1)).columns
+            names = next(_stata_chunks(content, 1), pd.DataFrame()).columns
             yield pd.DataFrame({"name": names, "place": range(len(names))})
 
 
