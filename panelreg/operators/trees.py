@@ -395,7 +395,8 @@ def grow_trees(
             # all cells of a node meet in one task; there are as many tasks as open nodes, up to the default
             tasks = min(sum(map(len, group.values())), most_tasks)
             cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
-            for row in best_splits(cells, rules).collect():
+            # in a fixed order: node numbers decide which features a node may try
+            for row in sorted(best_splits(cells, rules).collect(), key=lambda r: (r["tree"], r["node"])):
                 if row["tree"] == TOTALS:
                     if on_errors is not None:
                         on_errors(row["g_right"], row["h_right"])

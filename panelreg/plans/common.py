@@ -109,6 +109,7 @@ class ModelRun:
     name: str
     settings: RunSettings
     preparation: Preparation
+    score: Callable[[], Column]
     scored: DataFrame
     smearing: tuple[float, float] | None = None
     coefficients: Sequence[tuple[str, float]] = ()
@@ -116,6 +117,10 @@ class ModelRun:
     extra: dict[str, float] = field(default_factory=dict)
     permutation: DataFrame | None = None
 
+    def score_rows(self, typed: DataFrame) -> DataFrame:
+        """Add ``yhat`` and the raw ``y_pred`` to typed rows, batch or stream."""
+        return score_rows(typed, self.preparation, self.score, self.settings.scale, self.smearing)
+
     @property
     def spark(self) -> SparkSession:
         return self.scored.sparkSession
@@ -179,12 +184,24 @@ class ModelRun:
             write_rows(self.predictions(), f"{folder}/{self.name}_preds_{run}", fmt)
 
 
+def score_rows(
+    typed: DataFrame,
+    preparation: Preparation,
+    score: Callable[[], Column],
+    scale: str,
+    smearing: tuple[float, float] | None,
+) -> DataFrame:
+    scored = preparation.apply(typed).withColumn("yhat", score())
+    raw = to_raw_prediction(F.col("yhat"), scale, smearing[0] if smearing else 1.0)
+    return scored.withColumn("y_pred", raw)
+
+
 def fit_scored(
     name: str,
     split: SplitPanel,
     preparation: Preparation,
     prepared_train: DataFrame,
-    score: Callable[[], Column] | Callable[[DataFrame], DataFrame],
+    score: Callable[[], Column],
     **results,
 ) -> ModelRun:
     """Score the test year, with the smearing factor of the training rows if asked for."""
@@ -194,14 +211,9 @@ def fit_scored(
         smearing = (1.0, 1.0)
         if settings.smearing:
             smearing = fit_smearing(prepared_train.select("label", score().alias("yhat")), "label", "yhat")
-    scored = preparation.apply(split.test).withColumn("yhat", score())
-    scored = scored.withColumns(
-        {
-            "y_true": invert(F.col("label"), settings.scale),
-            "y_pred": to_raw_prediction(F.col("yhat"), settings.scale, smearing[0] if smearing else 1.0),
-        }
-    )
-    return ModelRun(name, settings, preparation, scored, smearing, **results)
+    scored = score_rows(split.test, preparation, score, settings.scale, smearing)
+    scored = scored.withColumn("y_true", invert(F.col("label"), settings.scale))
+    return ModelRun(name, settings, preparation, score, scored, smearing, **results)
 
 
 def write_report(report: DataFrame, folder: str, prefix: str, settings: RunSettings, fmt: str = "csv") -> None:

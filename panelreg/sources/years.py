@@ -98,8 +98,8 @@ def _stata_rows(names: list[str]):
         for batch in batches:
             for content in batch["content"]:
                 for chunk in _stata_chunks(content, STATA_CHUNK_ROWS):
-                    text = {c: chunk[c].astype("string") for c in chunk.columns}
-                    yield pd.DataFrame(text, index=chunk.index).reindex(columns=names)
+                    absent = pd.Series(pd.NA, index=chunk.index, dtype="string")
+                    yield pd.DataFrame({c: chunk[c].astype("string") if c in chunk else absent for c in names})
 
     return rows
 
