@@ -90,6 +90,7 @@ def settings(**changes) -> RunSettings:
         "id_column": "hh_id",
         "year_column": "yr",
         "smearing": True,
+        "check_years": False,
         "prep": PrepSettings(0.05, 0.95, scale_numeric=True, drop_first=True),
     }
     return RunSettings(**(base | changes))

@@ -20,6 +20,7 @@ from panelreg.operators.preprocess import Preparation
 from panelreg.session import StoredTable
 
 BLOCK_ROWS = 50_000
+SLICES = 4096
 SHUFFLE = 5
 
 
@@ -28,14 +29,12 @@ def block_column(key: Column, blocks: int, seed: int) -> Column:
 
 
 def _in_blocks(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    count = rows.count()
-    blocks = max(1, math.ceil(count / block_rows))
-    placed = rows.withColumn("block", block_column(F.col("key"), blocks, seed))
-    if blocks == 1:
-        return placed
-    fullest = placed.groupBy("block").count().agg(F.max("count")).first()[0]
-    if fullest <= 4 * block_rows:
-        return placed
+    # one count over fine slices of the keys gives the number of rows and shows a crowded key
+    slices = rows.groupBy(block_column(F.col("key"), SLICES, seed).alias("slice")).count()
+    count, fullest = slices.agg(F.sum("count"), F.max("count")).first()
+    blocks = max(1, math.ceil((count or 0) / block_rows))
+    if blocks == 1 or fullest - count / SLICES <= 3 * block_rows:
+        return rows.withColumn("block", block_column(F.col("key"), blocks, seed))
     # a key that many rows share would fill one block: deal the rows by their place instead, and
     # write that down, so that a recomputed task finds its rows in the same blocks
     place = F.xxhash64("key", F.monotonically_increasing_id())

@@ -194,10 +194,23 @@ class Preparation:
         return assembled.drop(*[f"{n}_dummies" for n in encoded])
 
 
-def fit_preparation(train: DataFrame, features: FeatureColumns, settings: PrepSettings = PrepSettings()) -> Preparation:
-    """Learn all parameters from the typed training rows: at most four aggregate passes in all."""
-    numeric, empty_numeric = _fit_numeric(train, features.numeric, settings)
-    categories, empty_categories = _fit_categories(train, features.categorical, settings)
+def fit_preparation(
+    train: DataFrame, features: FeatureColumns, settings: PrepSettings = PrepSettings(), *, persist: bool = True
+) -> Preparation:
+    """Learn all parameters from the typed training rows.
+
+    The passes are few but each scans the rows, so the feature columns are kept meanwhile;
+    ``persist=False`` is for rows that already come from a kept table.
+    """
+    rows = train.select(*features.all) if features.all else train
+    if persist:
+        rows.persist()
+    try:
+        numeric, empty_numeric = _fit_numeric(rows, features.numeric, settings)
+        categories, empty_categories = _fit_categories(rows, features.categorical, settings)
+    finally:
+        if persist:
+            rows.unpersist()
     return Preparation(tuple(numeric), tuple(categories), (*empty_numeric, *empty_categories))
 
 

@@ -30,7 +30,7 @@ def run_boosting(
         divide = split_exact if exact_split else split_by_share
         rows = divide(rows, "key", val_size, boosting.seed)
     fitted_rows = rows.filter(F.col("fold") == 0) if stopping else rows
-    preparation = fit_preparation(fitted_rows, split.features, settings.prep)
+    preparation = fit_preparation(fitted_rows, split.features, settings.prep, persist=False)
     kept = ["label", "key", *preparation.prepared_columns, *(["fold"] if stopping else [])]
     train = preparation.apply(rows).select(*kept)
     model = fit_boosting(train, preparation, boosting, fold="fold" if stopping else None)
@@ -40,5 +40,6 @@ def run_boosting(
 
 
 def write_boosting(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
-    run.write(folder, fmt, save_predictions)
-    write_report(run.report(), folder, "XGB", run.settings, fmt)
+    with run.kept():
+        run.write(folder, fmt, save_predictions)
+        write_report(run.report(), folder, "XGB", run.settings, fmt)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,7 @@ class RunSettings:
     group_columns: tuple[str, ...] = GROUP_COLUMNS
     id_column: str = HOUSEHOLD_ID
     year_column: str = YEAR_COLUMN
+    check_years: bool = True
 
     @property
     def transforms(self) -> bool:
@@ -58,9 +60,12 @@ class SplitPanel:
         return self.test.filter(F.col("label").isNotNull())
 
 
-def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings, check_years: bool = False) -> SplitPanel:
-    """Type the panel, cut it by year and put the target on its learning scale. Lazy."""
-    if check_years:
+def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings) -> SplitPanel:
+    """Type the panel, cut it by year and put the target on its learning scale.
+
+    Lazy but for the check that every year has rows, which reads the year column.
+    """
+    if settings.check_years:
         require_years(panel, (*settings.train_years, settings.test_year), settings.year_column)
     if settings.target not in panel.columns:
         raise ValueError(f"target column {settings.target!r} is not in the table")
@@ -169,6 +174,15 @@ class ModelRun:
         table = self.spark.createDataFrame(list(self.importances), "feature string, importance double")
         return table.orderBy(F.desc("importance"), "feature")
 
+    @contextmanager
+    def kept(self) -> Iterator["ModelRun"]:
+        """Score the test year once for all tables made inside the block."""
+        self.scored.persist()
+        try:
+            yield self
+        finally:
+            self.scored.unpersist()
+
     def write(self, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
         """Write the model's tables; the combined metrics table is written by its job."""
         run = f"time_{self.settings.train_label}_{self.settings.test_year}"

@@ -24,7 +24,7 @@ def run_forest(
 ) -> ModelRun:
     split = prepare_split(panel, roles, settings)
     stored, rows = store_training(split)
-    preparation = fit_preparation(rows, split.features, settings.prep)
+    preparation = fit_preparation(rows, split.features, settings.prep, persist=False)
     train = preparation.apply(rows).select("label", "key", *preparation.prepared_columns)
     model, binned = fit_forest(train, preparation, forest)
     extra = {}
@@ -47,5 +47,6 @@ def run_forest(
 
 
 def write_forest(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
-    run.write(folder, fmt, save_predictions)
-    write_report(run.report(), folder, "RF", run.settings, fmt)
+    with run.kept():
+        run.write(folder, fmt, save_predictions)
+        write_report(run.report(), folder, "RF", run.settings, fmt)

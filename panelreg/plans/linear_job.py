@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ def run_linear(
         raise ValueError(f"unknown linear model {model!r}, expected one of {', '.join(MODELS)}")
     split = prepare_split(panel, roles, settings)
     split.train.persist()
-    preparation = fit_preparation(split.train, split.features, settings.prep)
+    preparation = fit_preparation(split.train, split.features, settings.prep, persist=False)
     train = preparation.apply(split.train).select("label", *preparation.prepared_columns)
     runs = []
     for name in MODELS[model]:
@@ -48,7 +49,9 @@ def linear_report(runs: list[ModelRun]) -> DataFrame:
 
 
 def write_linear(runs: list[ModelRun], folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
-    for run in runs:
-        run.write(folder, fmt, save_predictions)
     kind = "both" if len(runs) > 1 else runs[0].name.lower()
-    write_report(linear_report(runs), folder, f"BASELINE_{kind}", runs[0].settings, fmt)
+    with ExitStack() as stack:
+        for run in runs:
+            stack.enter_context(run.kept())
+            run.write(folder, fmt, save_predictions)
+        write_report(linear_report(runs), folder, f"BASELINE_{kind}", runs[0].settings, fmt)

@@ -71,5 +71,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def task_budget(spark: SparkSession) -> int:
-    """How many tasks a partial-aggregate scan may use: a few per core, so partials stay few."""
-    return 4 * spark.sparkContext.defaultParallelism
+    """How many tasks a partial-aggregate scan may use: a few per core, so partials stay few.
+
+    A cluster that grows on demand may show few cores at first; its shuffle setting tells more.
+    """
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(4 * spark.sparkContext.defaultParallelism, shuffle)

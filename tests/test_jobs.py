@@ -127,7 +127,7 @@ def test_wrong_choices_are_errors(panel):
     with pytest.raises(ValueError, match="target column"):
         prepare_split(panel, ROLES, RunSettings((2010,), 2016, target="Nothing"))
     with pytest.raises(ValueError, match="1999"):
-        prepare_split(panel, ROLES, RunSettings((1999,), 2016), check_years=True)
+        prepare_split(panel, ROLES, RunSettings((1999,), 2016))
 
 
 def test_a_missing_id_does_not_give_rows_one_key(panel):
