@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the provided tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.check_queries import compare, duck
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 SQL = oracle_sql()
 
 
