@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
     FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, TRAIN_YEARS, households, metrics_sql, query, rounded, settings,
@@ -191,3 +191,26 @@ def huber_stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full linear job, OLS and Huber with all features, as one report."""
     return linear_report(run_linear(households(spark, sf_dir), ROLES, settings(), "both"))
+
+
+@query(
+    f"""WITH {HH}, v AS (SELECT round(var_pop({LABEL}), 6) AS variance, round(var_pop(greatest(coalesce(revenue, 0), 0)) / 1e6, 3) AS variance_raw,
+  count(*) AS n FROM te) SELECT m.model, variance, variance_raw, true AS beats_mean, n FROM v, (VALUES ('OLS'), ('Huber')) m(model)"""
+)
+def linear_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reports of both linear models must agree on: the variance of the test target."""
+
+    def variance(suffix: str) -> Column:
+        error = F.col(f"RMSE{suffix}")
+        return error * error / (1 - F.col(f"R2{suffix}"))
+
+    runs = run_linear(households(spark, sf_dir), ROLES, settings(), "both")
+    counts = [run.known.agg(F.lit(run.name).alias("model"), F.count(F.lit(1)).alias("n")) for run in runs]
+    report = linear_report(runs).join(reduce(DataFrame.unionByName, counts), "model")
+    return report.select(
+        "model",
+        F.round(variance(""), 6).alias("variance"),
+        F.round(variance("_raw") / 1e6, 3).alias("variance_raw"),
+        (F.col("R2") > 0).alias("beats_mean"),
+        "n",
+    )

@@ -58,7 +58,7 @@ FROM hh GROUP BY yr"""
 @query(PROFILE_SQL)
 def load_year_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year files in both spellings; the cleaned one must win, the plain one serves the rest."""
-    panel = households(spark, sf_dir).select(*TEXT)
+    panel = households(spark, sf_dir).select(*TEXT).persist()
     folder = new_path(spark, "years")
     for year in ALL_YEARS:
         rows = panel.filter(F.col("yr") == year)
@@ -66,6 +66,7 @@ def load_year_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_rows(rows, f"{folder}/{year}_clean.csv" if cleaned else f"{folder}/{year}.csv")
         if cleaned:
             write_rows(rows.withColumn("revenue", F.lit(0.0)), f"{folder}/{year}.csv")
+    panel.unpersist()
     return _finish(_typed_profile(load_years(spark, folder, ALL_YEARS), "survey_year"), folder)
 
 
@@ -76,9 +77,10 @@ def csv_scan_na(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "csv")
     tokens = F.array(*[F.lit(t) for t in ("NA", "nan", "NULL", "#N/A", "", "None", "n/a")])
     token = F.get(tokens, (F.col("hh_id") % 7).cast("int"))
-    filled = panel.select(*[F.coalesce(F.col(c).cast("string"), token).alias(c) for c in TEXT])
+    filled = panel.select(*[F.coalesce(F.col(c).cast("string"), token).alias(c) for c in TEXT]).persist()
     for year in ALL_YEARS:
         write_rows(filled.filter(F.col("yr") == str(year)), f"{folder}/{year}.csv")
+    filled.unpersist()
     return _finish(_typed_profile(load_years(spark, folder, ALL_YEARS), "survey_year"), folder)
 
 

@@ -17,7 +17,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.levels import OTHER_LEVEL, collect_levels, keep_frequent, most_frequent, sort_levels
-from panelreg.operators.quantiles import EXACT_ROWS, exact_quantiles
+from panelreg.operators.quantiles import EXACT_VALUES, exact_quantiles
 from panelreg.sources.roles import FeatureColumns
 
 # Above this a category is coded by a join with its level table instead of an inline list.
@@ -32,7 +32,7 @@ class PrepSettings:
     scale_numeric: bool = False
     drop_first: bool = False
     rare_min_count: int = 0
-    exact_rows: int = EXACT_ROWS
+    exact_values: int = EXACT_VALUES
 
     @property
     def winsorizes(self) -> bool:
@@ -223,7 +223,7 @@ def _fit_numeric(
     counts = {c: shape[f"c{i}"] for i, c in enumerate(columns)}
     used = [c for c in columns if counts[c]]
     medians = exact_quantiles(
-        train, {c: (F.col(c), [0.5]) for c in used}, counts=counts, exact_rows=settings.exact_rows
+        train, {c: (F.col(c), [0.5]) for c in used}, counts=counts, exact_values=settings.exact_values
     )
     steps = [NumericStep(c, medians[c][0]) for c in used]
     if settings.winsorizes and steps:
@@ -231,7 +231,7 @@ def _fit_numeric(
             train,
             {s.column: (s.imputed(), [max(settings.winsor_lower, 0.0), min(settings.winsor_upper, 1.0)]) for s in steps},
             counts=dict.fromkeys(used, shape["n"]),
-            exact_rows=settings.exact_rows,
+            exact_values=settings.exact_values,
         )
         steps = [
             NumericStep(s.column, s.median, bounds[s.column][0], max(bounds[s.column][1], bounds[s.column][0] + 1e-12))

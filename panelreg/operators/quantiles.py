@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-EXACT_ROWS = 200_000
-KEPT_ROWS = 20_000
+# Values, over all columns together, that Spark's exact aggregate may hold in one task.
+EXACT_VALUES = 1_000_000
+# Values per order statistic that may be listed once the search is that narrow.
+KEPT_ROWS = 4_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -116,7 +118,7 @@ def exact_quantiles(
     wanted: Mapping[str, tuple[Column, Sequence[float]]],
     *,
     counts: Mapping[str, int] | None = None,
-    exact_rows: int = EXACT_ROWS,
+    exact_values: int = EXACT_VALUES,
     kept_rows: int = KEPT_ROWS,
 ) -> dict[str, list[float] | None]:
     """Quantiles with linear interpolation over the non-null values; None for an empty column."""
@@ -127,7 +129,7 @@ def exact_quantiles(
         counts = row.asDict()
     filled = {name: spec for name, spec in wanted.items() if counts[name]}
     result: dict[str, list[float] | None] = dict.fromkeys(wanted)
-    if filled and max(counts[name] for name in filled) <= exact_rows:
+    if filled and sum(counts[name] for name in filled) <= exact_values:
         row = df.agg(*[F.percentile(column, list(qs)).alias(name) for name, (column, qs) in filled.items()]).first()
         return result | {name: list(row[name]) for name in filled}
     places = {name: [q * (counts[name] - 1) for q in qs] for name, (_, qs) in filled.items()}

@@ -59,6 +59,20 @@ class FeatureSpace:
     def offsets(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.sizes)])
 
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, bin, position) of all right sides a split can start with.
+
+        The position is that of the bin among all slots' bins. A dummy has one such cell, its level.
+        """
+        feature, bins, position = [], [], []
+        for number, spec in enumerate(self.features):
+            own = np.arange(1, self.sizes[spec.slot]) if spec.level is None else np.array([1])
+            feature.append(np.full(len(own), number))
+            bins.append(own)
+            position.append(self.offsets[spec.slot] + (own if spec.level is None else spec.level + 1) + np.zeros(len(own), dtype=int))
+        parts = (feature, bins, position)
+        return tuple(np.concatenate(p) if p else np.zeros(0, dtype=int) for p in parts)
+
 
 @dataclass
 class Tree:
@@ -283,17 +297,19 @@ def histogram_cells(
     ``source`` comes from ``scan_source``. ``growing`` maps a tree number to the tree so far and its open nodes; ``chosen(tree, node)``
     is the boolean mask of features that node may split on.
     """
-    sizes, offsets = np.array(space.sizes), space.offsets
+    sizes, offsets = space.sizes, space.offsets
     width = int(offsets[-1])
+    # codes start at -1 for an unknown level, so bins of a coded slot are shifted by one
+    shift = np.array([0 if slot in space.cuts else 1 for slot in range(len(sizes))])
+    cell_feature, cell_bin, cell_position = space.cells()
     masks = {
         (t, node): chosen(t, node) if chosen else np.ones(len(space.features), dtype=bool)
         for t, (_, nodes) in growing.items()
         for node in nodes
     }
-    features = space.features
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {t: np.zeros((3, len(nodes) * width)) for t, (_, nodes) in growing.items()}
+        sums = {t: np.zeros((3, len(nodes), width)) for t, (_, nodes) in growing.items()}
         totals = {t: np.zeros((3, len(nodes))) for t, (_, nodes) in growing.items()}
         error = np.zeros(2)
         for batch in batches:
@@ -302,8 +318,7 @@ def histogram_cells(
             gradient = rule.gradient(columns, table)
             if rule.errors is not None:
                 error += rule.errors(columns, gradient)
-            # codes start at -1 for an unknown level; bins of a coded slot are shifted by one
-            shifted = table + np.array([0 if s in space.cuts else 1 for s in range(len(sizes))]) + offsets[:-1]
+            bins = table + shift
             for t, (tree, nodes) in growing.items():
                 place = np.full(len(tree.slot), -1)
                 place[nodes] = np.arange(len(nodes))
@@ -312,40 +327,30 @@ def histogram_cells(
                 if "fold" in columns:
                     weight = (columns["fold"] == 0) * (1.0 if weight is None else weight)
                 used = at >= 0 if weight is None else (at >= 0) & (weight > 0)
-                at, bins = at[used], shifted[used]
+                at, drawn = at[used], bins[used]
                 h = np.ones(len(at)) if weight is None else weight[used].astype(float)
                 g = gradient[used] * h
-                triple = (g, h, None)
-                for k, w in enumerate(triple):
+                for k, w in enumerate((g, h, None)):
                     totals[t][k] += np.bincount(at, weights=w, minlength=len(nodes))
-                    for slot in range(len(sizes)):
-                        sums[t][k] += np.bincount(at * width + bins[:, slot], weights=w, minlength=len(nodes) * width)
+                for slot, size in enumerate(sizes):
+                    cell = at * size + drawn[:, slot]
+                    for k, w in enumerate((g, h, None)):
+                        counted = np.bincount(cell, weights=w, minlength=len(nodes) * size)
+                        sums[t][k, :, offsets[slot] : offsets[slot + 1]] += counted.reshape(len(nodes), size)
         for t, (_, nodes) in growing.items():
             yield _batch(_tree_cells(t, nodes, sums[t], totals[t]))
         if rule.errors is not None:
             yield _batch([[TOTALS], [TOTALS], [ERRORS], [0], [error[0]], [error[1]], [0.0]])
 
     def _tree_cells(t: int, nodes: list[int], sums: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
+        allowed = np.array([masks[t, node] for node in nodes])[:, cell_feature]
+        values = sums[:, :, cell_position]
+        place, cell = np.nonzero((values[2] > 0) & allowed)
         seen = np.flatnonzero(totals[2] > 0)
-        node_ids = [np.array(nodes)[seen]]
-        feature_ids, bin_ids, values = [np.full(len(seen), TOTALS)], [np.zeros(len(seen), dtype=int)], [totals[:, seen]]
-        for place in seen:
-            mask = masks[t, nodes[place]]
-            for f, spec in enumerate(features):
-                if not mask[f]:
-                    continue
-                start = place * width + offsets[spec.slot]
-                bins = np.arange(1, sizes[spec.slot]) if spec.level is None else np.array([1])
-                where = start + (bins if spec.level is None else spec.level + 1)
-                block = sums[:, where].reshape(3, -1)
-                filled = block[2] > 0
-                values.append(block[:, filled])
-                bin_ids.append(bins[filled])
-                feature_ids.append(np.full(int(filled.sum()), f))
-                node_ids.append(np.full(int(filled.sum()), nodes[place]))
-        node_id = np.concatenate(node_ids)
-        tree_id = np.full(len(node_id), t)
-        return [tree_id, node_id, np.concatenate(feature_ids), np.concatenate(bin_ids), *np.hstack(values)]
+        node_id = np.array(nodes)[np.concatenate([seen, place])]
+        feature_id = np.concatenate([np.full(len(seen), TOTALS), cell_feature[cell]])
+        bin_id = np.concatenate([np.zeros(len(seen), dtype=int), cell_bin[cell]])
+        return [np.full(len(node_id), t), node_id, feature_id, bin_id, *np.hstack([totals[:, seen], values[:, place, cell]])]
 
     def _batch(columns) -> pa.RecordBatch:
         names = ["tree", "node", "feature", "bin", "g", "h", "c"]

@@ -24,16 +24,18 @@ def run_forest(
 ) -> ModelRun:
     split = prepare_split(panel, roles, settings)
     stored, rows = store_training(split)
-    preparation = fit_preparation(rows, split.features, settings.prep, persist=False)
-    train = preparation.apply(rows).select("label", "key", *preparation.prepared_columns)
-    model, binned = fit_forest(train, preparation, forest)
-    extra = {}
-    if oob:
-        row = model.out_of_bag(binned).filter("oob IS NOT NULL").agg(r2(F.col("y"), F.col("oob"))).first()
-        extra["R2_OOB"] = row[0]
-    binned.unpersist()
-    run = fit_scored("RF", split, preparation, train, model.score, importances=model.importances(), extra=extra)
-    stored.drop()
+    try:
+        preparation = fit_preparation(rows, split.features, settings.prep, persist=False)
+        train = preparation.apply(rows).select("label", "key", *preparation.prepared_columns)
+        model, binned = fit_forest(train, preparation, forest)
+        extra = {}
+        if oob:
+            row = model.out_of_bag(binned).filter("oob IS NOT NULL").agg(r2(F.col("y"), F.col("oob"))).first()
+            extra["R2_OOB"] = row[0]
+        binned.unpersist()
+        run = fit_scored("RF", split, preparation, train, model.score, importances=model.importances(), extra=extra)
+    finally:
+        stored.drop()
     if permutation:
         trees = model.packed()
         run.permutation = permutation_importance(

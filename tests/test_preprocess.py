@@ -139,7 +139,7 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame).select("x", F.nanvl("y", F.lit(None)).alias("y")).persist()
 
 
-@pytest.mark.parametrize("limits", [{}, {"exact_rows": 10}, {"exact_rows": 10, "kept_rows": 40}])
+@pytest.mark.parametrize("limits", [{}, {"exact_values": 10}, {"exact_values": 10, "kept_rows": 40}])
 def test_quantiles_are_exact_on_every_path(skewed, limits):
     pdf, frame = skewed
     qs = [0.0, 0.02, 0.34, 0.5, 0.61, 0.98, 1.0]
@@ -154,7 +154,7 @@ def test_quantiles_are_exact_on_every_path(skewed, limits):
     st.floats(0, 1),
 )
 def test_quantiles_of_any_list(spark, values, q):
-    got = exact_quantiles(numbers(spark, *values), {"x": (F.col("x"), [q])}, exact_rows=1, kept_rows=2)["x"]
+    got = exact_quantiles(numbers(spark, *values), {"x": (F.col("x"), [q])}, exact_values=1, kept_rows=2)["x"]
     present = [v for v in values if v is not None]
     if present:
         assert got[0] == pytest.approx(np.quantile(present, q), rel=1e-9, abs=1e-9)
