@@ -245,7 +245,8 @@ FROM sm, best GROUP BY hh_id"""
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean prediction of the same five trees for every row."""
     prepared, preparation = small_fit(spark, sf_dir, numeric_only=True)
-    forest, _ = fit_forest(prepared.filter(is_train()), preparation, ForestSettings(n_trees=TREES, max_depth=1, seed=SEED))
+    forest, binned = fit_forest(prepared.filter(is_train()), preparation, ForestSettings(n_trees=TREES, max_depth=1, seed=SEED))
+    binned.unpersist()
     return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
 
 

@@ -92,12 +92,17 @@ def fit_boosting(
     The growing prediction is written back to a table in the shared folder every few rounds, so
     a lost executor costs one scan of that table and not the history of all rounds.
     """
-    fold_column = (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold")
-    training = prepared.filter(F.col(fold) == 0) if fold else prepared
+    rows = prepared.select(
+        F.col(key).alias("key"),
+        F.col(label).cast("double").alias("y"),
+        (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
+        *preparation.prepared_columns,
+    ).persist()
+    training = rows.filter("fold = 0")
     space = feature_space(training, preparation, settings.max_bins)
-    base = training.agg(F.avg(label)).first()[0]
-    keep = [F.col(key).alias("key"), F.col(label).cast("double").alias("y"), fold_column, F.lit(float(base)).alias("pred")]
-    table = StoredTable(bin_columns(prepared, space, keep), "boost")
+    base = float(training.agg(F.avg("y")).first()[0])
+    table = StoredTable(bin_columns(rows, space, ["key", "y", "fold", F.lit(base).alias("pred")]), "boost")
+    rows.unpersist()
     trees: list[Tree] = []
     pending: list[PackedTree] = []
     curve: list[float] = []

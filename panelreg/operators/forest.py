@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,8 +106,11 @@ def fit_forest(
     prepared: DataFrame, preparation: Preparation, settings: ForestSettings, label: str = "label", key: str = "key"
 ) -> tuple[Forest, DataFrame]:
     """(forest, binned training table). ``key`` is a bigint that identifies a row across scans."""
-    space = feature_space(prepared, preparation, settings.max_bins)
-    binned = bin_columns(prepared, space, [F.col(key).alias("key"), F.col(label).cast("double").alias("y")]).persist()
+    rows = prepared.select(
+        F.col(key).alias("key"), F.col(label).cast("double").alias("y"), *preparation.prepared_columns
+    ).persist()
+    space = feature_space(rows, preparation, settings.max_bins)
+    binned = bin_columns(rows, space, ["key", "y"]).persist()
     seed = settings.seed
     share = feature_share(settings.max_features, max(len(space.features), 1))
 
@@ -125,6 +127,7 @@ def fit_forest(
     rule = RowRule(("key", "y"), bag, lambda columns, table: -columns["y"])
     rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12)
     trees = grow_trees(binned, space, rule, rules, range(settings.n_trees), chosen=pick)
+    rows.unpersist()
     return Forest(preparation, space, tuple(trees), seed), binned
 
 

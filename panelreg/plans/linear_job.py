@@ -29,18 +29,20 @@ def run_linear(
         raise ValueError(f"unknown linear model {model!r}, expected one of {', '.join(MODELS)}")
     split = prepare_split(panel, roles, settings)
     split.train.persist()
-    preparation = fit_preparation(split.train, split.features, settings.prep, persist=False)
-    train = preparation.apply(split.train).select("label", *preparation.prepared_columns)
-    runs = []
-    for name in MODELS[model]:
-        if name == "OLS":
-            fit = fit_ols(train, preparation)
-        else:
-            fit = fit_huber(
-                train, preparation, epsilon=huber_epsilon, alpha=huber_alpha, max_iter=huber_max_iter
-            )
-        runs.append(fit_scored(name, split, preparation, train, fit.score, coefficients=fit.rows()))
-    split.train.unpersist()
+    try:
+        preparation = fit_preparation(split.train, split.features, settings.prep, persist=False)
+        train = preparation.apply(split.train).select("label", *preparation.prepared_columns)
+        runs = []
+        for name in MODELS[model]:
+            if name == "OLS":
+                fit = fit_ols(train, preparation)
+            else:
+                fit = fit_huber(
+                    train, preparation, epsilon=huber_epsilon, alpha=huber_alpha, max_iter=huber_max_iter
+                )
+            runs.append(fit_scored(name, split, preparation, train, fit.score, coefficients=fit.rows()))
+    finally:
+        split.train.unpersist()
     return runs
 
 

@@ -176,6 +176,7 @@ def test_cells_of_one_level_may_need_several_scans(sample, monkeypatch):
     settings = ForestSettings(n_trees=3, max_depth=3, max_features=1.0)
     whole, _ = fit_forest(prepared, preparation, settings)
     monkeypatch.setattr(trees, "CELL_BUDGET", 300)
+    monkeypatch.setattr(trees, "DIRECT_CELLS", 0)
     parts, _ = fit_forest(prepared, preparation, settings)
     assert [t.feature for t in whole.trees] == [t.feature for t in parts.trees]
 
