@@ -59,7 +59,7 @@ def test_odd_rows(spark):
         "page_id long, url string, html string, record string",
     )
     found = headers_of(derive(response_records(rows))).toPandas()
-    assert len(found) == 10 and set(found.loc[found["page_id"] < 3, "content_length"]) == {0, 40}
+    assert len(found) == 10 and set(found.loc[found["page_id"] < 3, "content_length"]) == {0, 39}
     assert found[found["page_id"] == 1]["target_uri"].isna().all()
     assert derive(response_records(rows.limit(0))).count() == 0
     assert derivatives(None) == derivatives(b"junk") == derivatives(b"WARC/1.1\r\nWARC-Type: request\r\n\r\n") == []
