@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from panelreg.llm import byte_bpe, chat, sharding, token_files, warc
+from panelreg.llm import byte_bpe, chat, piecewise, sharding, token_files, warc
 from panelreg.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "byte_bpe", "chat", "sharding", "token_files", "warc"]
+__all__ = ["ORACLES", "QUERIES", "byte_bpe", "chat", "piecewise", "sharding", "token_files", "warc"]
