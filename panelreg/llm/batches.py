@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-PART_CHARS = 1_500_000
+PART_CHARS = 600_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 

@@ -42,7 +42,7 @@ from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
 FILE_BYTES = 16 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 JOINED = 256
 END_ID = 2
 MASK = 0xA282EAD8
