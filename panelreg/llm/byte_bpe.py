@@ -38,7 +38,7 @@ from panelreg.llm.batches import (
 from panelreg.llm.registry import register, table
 
 ROW_BYTES = 48
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 NO_RANK = np.iinfo(np.int32).max
 
 #: The endings that the pattern cuts off behind an apostrophe.
