@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written in numpy.
 
-Words are runs of lower-case letters. A word enters the network as a hashed word vector beside the mean
-of hashed vectors of its character 3- to 5-grams, so unseen forms of a known stem still say something.
+Words are runs of lower-case letters. A word enters the network as its own vector beside the
+scaled sum of vectors of its character 3- to 5-grams, so unseen forms of a known stem still say something.
 A window of ``WINDOW`` words is read in both directions by gated recurrent units; attention weighs their
 states, and a linear layer gives the window's logit. All overlapping windows (every ``STRIDE`` words) of
 a text are scored, and the largest logit is that of the text.
@@ -34,12 +34,13 @@ from panelreg.llm.language import held_out
 from panelreg.llm.registry import register, table
 
 WINDOW, STRIDE = 40, 30
-WORD_ROWS, WORD_SIZE = 1 << 13, 12
-GRAM_ROWS, GRAM_SIZE = 1 << 13, 12
+WORD_SIZE, GRAM_SIZE = 12, 12
+#: Words and grams have vectors if at least so many texts of the learning sample hold them, the commonest first.
+SEEN_IN, MOST_WORDS, MOST_GRAMS = 4, 20_000, 40_000
 GRAMS = (3, 4, 5)
 HIDDEN, ATTENTION = 12, 8
 LEARN_ROWS, LEARN_CHARS = 1_500, 4_000
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+EPOCHS, BATCH, RATE, DROPPED = 4, 64, 0.01, 0.3
 THRESHOLD = 0.3
 
 Params = dict[str, np.ndarray]
@@ -49,8 +50,8 @@ Params = dict[str, np.ndarray]
 class Words:
     """Distinct words of some texts, and the windows over them as indices (-1: no word)."""
 
-    word_row: np.ndarray
-    gram_row: np.ndarray
+    word_hash: np.ndarray
+    gram_hash: np.ndarray
     gram_word: np.ndarray
     gram_count: np.ndarray
     windows: np.ndarray
@@ -78,9 +79,11 @@ def read_words(texts: list[str]) -> Words:
         code = mixed(code * np.uint64(0x100000001B3) + shifted + np.uint64(1))
         if i + 1 in GRAMS:
             whole = np.flatnonzero(left > i)
-            rows.append((code[whole] % np.uint64(GRAM_ROWS)).astype(np.int32))
+            rows.append(code[whole])
             owners.append(word[whole])
     gram_word = np.concatenate(owners)
+    by_word = np.argsort(gram_word, kind="stable")
+    gram_word = gram_word[by_word]
     cuts = np.searchsorted(starts, ends)
     counts = np.diff(cuts)
     windows_of = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
@@ -91,8 +94,8 @@ def read_words(texts: list[str]) -> Words:
     windows = np.full(places.shape, -1, np.int32)
     windows[there] = place[(cuts[:-1][owner][:, None] + places)[there]]
     return Words(
-        (hashes % np.uint64(WORD_ROWS)).astype(np.int32),
-        np.concatenate(rows),
+        hashes,
+        np.concatenate(rows)[by_word],
         gram_word,
         np.bincount(gram_word, minlength=len(a)),
         windows,
@@ -100,14 +103,32 @@ def read_words(texts: list[str]) -> Words:
     )
 
 
-def first_params(seed: int = 7) -> Params:
+def common(hashes: list[np.ndarray], most: int) -> np.ndarray:
+    """The sorted hashes that are in at least SEEN_IN of the arrays."""
+    found, seen = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    order = np.lexsort((found, -seen))[:most]
+    return np.sort(found[order[seen[order] >= SEEN_IN]])
+
+
+def rows_of(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash among the known ones, from 1 on; 0 is for all others."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, place + 1, 0)
+
+
+def first_params(words: np.ndarray, grams: np.ndarray, seed: int = 7) -> Params:
+    """Random parameters; ``words`` and ``grams`` are the sorted hashes that get vectors."""
     rng = np.random.default_rng(seed)
 
     def normal(*shape: int, scale: float) -> np.ndarray:
         return rng.normal(0, scale, shape).astype(np.float32)
 
     size = WORD_SIZE + GRAM_SIZE
-    params = {"word": normal(WORD_ROWS, WORD_SIZE, scale=0.1), "gram": normal(GRAM_ROWS, GRAM_SIZE, scale=0.3)}
+    params = {"words": words, "grams": grams}
+    params["word"] = normal(len(words) + 1, WORD_SIZE, scale=0.1)
+    params["gram"] = normal(len(grams) + 1, GRAM_SIZE, scale=0.1)
     for way in ("f", "b"):
         params[f"x{way}"] = normal(size, 3 * HIDDEN, scale=size**-0.5)
         params[f"u{way}"] = normal(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5)
@@ -123,13 +144,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def word_inputs(params: Params, words: Words) -> np.ndarray:
-    grams = np.zeros((len(words.word_row), GRAM_SIZE), params["gram"].dtype)
-    order = np.argsort(words.gram_word, kind="stable")
-    if len(order):
-        begins = np.cumsum(words.gram_count) - words.gram_count
-        grams = np.add.reduceat(params["gram"][words.gram_row[order]], begins, 0) / words.gram_count[:, None].astype(grams.dtype)
-    return np.concatenate([params["word"][words.word_row], grams], 1)
+def word_inputs(params: Params, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The input of each distinct word, the row of its word vector and those of its grams."""
+    word_row, gram_row = rows_of(params["words"], words.word_hash), rows_of(params["grams"], words.gram_hash)
+    sums = np.zeros((len(word_row), GRAM_SIZE), params["gram"].dtype)
+    known = np.flatnonzero(gram_row)
+    if len(known):
+        owner = words.gram_word[known]
+        begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        sums[owner[begins]] = np.add.reduceat(params["gram"][gram_row[known]], begins, 0)
+    vectors = params["word"][word_row] * (word_row > 0)[:, None]
+    return np.concatenate([vectors, sums * gram_scale(words)], 1), word_row, gram_row
+
+
+def gram_scale(words: Words) -> np.ndarray:
+    return (np.maximum(words.gram_count, 1) ** -0.5)[:, None].astype(np.float32)
 
 
 def run_units(inputs: np.ndarray, u: np.ndarray, windows: np.ndarray, back: bool, tape: list | None) -> np.ndarray:
@@ -150,9 +179,13 @@ def run_units(inputs: np.ndarray, u: np.ndarray, windows: np.ndarray, back: bool
     return states
 
 
-def logits(params: Params, words: Words, windows: np.ndarray, tape: dict | None = None) -> np.ndarray:
-    """The logit of each window. A tape keeps what the gradient needs."""
-    x = word_inputs(params, words)
+def logits(
+    params: Params, words: Words, windows: np.ndarray, tape: dict | None = None, dropped: np.ndarray | None = None
+) -> np.ndarray:
+    """The logit of each window. A tape keeps what the gradient needs; ``dropped`` scales the inputs."""
+    x, word_row, gram_row = word_inputs(params, words)
+    if dropped is not None:
+        x = x * dropped
     ways = []
     for way in ("f", "b"):
         steps = None if tape is None else tape.setdefault(way, [])
@@ -164,7 +197,7 @@ def logits(params: Params, words: Words, windows: np.ndarray, tape: dict | None
     weight /= weight.sum(0)
     pooled = np.einsum("tn,tnh->nh", weight, states)
     if tape is not None:
-        tape |= {"x": x, "states": states, "key": key, "weight": weight, "pooled": pooled}
+        tape |= {"x": x, "dropped": dropped, "word": word_row, "gram": gram_row, "states": states, "key": key, "weight": weight, "pooled": pooled}
     return pooled @ params["o"] + params["bias"][0]
 
 
@@ -198,13 +231,13 @@ def gradient(params: Params, words: Words, windows: np.ndarray, tape: dict, d_lo
         grads[f"u{way}"], grads[f"c{way}"] = d_u, d_in.sum(0)
         grads[f"x{way}"] = tape["x"].T @ d_in
         d_x += d_in @ params[f"x{way}"].T
-    for name, rows, values in (
-        ("word", words.word_row, d_x[:, :WORD_SIZE]),
-        ("gram", words.gram_row, (d_x[:, WORD_SIZE:] / np.maximum(words.gram_count, 1)[:, None])[words.gram_word]),
-    ):
-        shape = params[name].shape
-        flat = (rows[:, None].astype(np.int64) * shape[1] + np.arange(shape[1])).ravel()
-        grads[name] = np.bincount(flat, values.ravel(), shape[0] * shape[1]).reshape(shape)
+    if tape["dropped"] is not None:
+        d_x = d_x * tape["dropped"]
+    d_gram = (d_x[:, WORD_SIZE:] * gram_scale(words))[words.gram_word]
+    for name, rows, values in (("word", tape["word"], d_x[:, :WORD_SIZE]), ("gram", tape["gram"], d_gram)):
+        shape, known = params[name].shape, rows > 0
+        flat = (rows[known, None] * shape[1] + np.arange(shape[1])).ravel()
+        grads[name] = np.bincount(flat, values[known].ravel(), shape[0] * shape[1]).reshape(shape)
     return grads
 
 
@@ -215,8 +248,11 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Params |
     texts, y = [texts[i] for i in keep], y[keep]
     if len(set(y.tolist())) < 2:
         return None
-    params = first_params()
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
+    seen = [read_words([text]) for text in texts]
+    params = first_params(
+        common([w.word_hash for w in seen], MOST_WORDS), common([w.gram_hash for w in seen], MOST_GRAMS)
+    )
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items() if k not in ("words", "grams")}
     rng = np.random.default_rng(11)
     # few texts get more passes, so that there are enough steps
     epochs = max(epochs, min(60, -(-epochs * 250 * BATCH // (8 * len(texts)))))
@@ -235,7 +271,9 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Params |
             best = best[np.append(words.owner[best][1:] != words.owner[best][:-1], True)]
             windows = words.windows[best]
             tape: dict = {}
-            wrong = (sigmoid(logits(params, words, windows, tape)) - y[group][words.owner[best]]) / len(best)
+            dropped = np.repeat(rng.random((len(words.word_hash), 2)) > DROPPED, (WORD_SIZE, GRAM_SIZE), 1)
+            dropped = (dropped / (1 - DROPPED)).astype(np.float32)
+            wrong = (sigmoid(logits(params, words, windows, tape, dropped)) - y[group][words.owner[best]]) / len(best)
             grads = gradient(params, words, windows, tape, wrong.astype(np.float32))
             step += 1
             rate = RATE * min(1.0, 2 * (1 - (epoch + 0.5) / epochs))
