@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from panelreg.llm import byte_bpe, chat, language, piecewise, sharding, token_files, toxicity, warc
+from panelreg.llm import byte_bpe, chat, decontamination, language, piecewise, sharding, token_files, toxicity, warc
 from panelreg.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "byte_bpe", "chat", "language", "piecewise", "sharding", "token_files", "toxicity", "warc"]
+__all__ = ["ORACLES", "QUERIES", "byte_bpe", "chat", "decontamination", "language", "piecewise", "sharding", "token_files", "toxicity", "warc"]
