@@ -25,6 +25,7 @@ order of their ids; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -41,7 +42,7 @@ from panelreg.llm.batches import codepoints, parts, ragged, run_hashes, worker_s
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 CACHE_PIECES = 200_000
 JOINED = 256
 END_ID = 2
@@ -72,6 +73,7 @@ class PieceEncoder:
     """Ids of whole texts through a tokenizers file, each distinct piece being encoded once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -209,7 +211,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str) -> None
     bounds = range_bounds(documents)
     records = (
         encoded(documents, tokenizer, bounds)
-        .repartition(len(bounds) + 1, "file")
+        .repartitionById(len(bounds) + 1, F.col("file"))
         .sortWithinPartitions("file", "doc_id", "record")
         .select("file", F.col("record").cast("string"))
     )
