@@ -1,10 +1,74 @@
-"""The corpus pipeline: documents through the stages in order, each written and read again."""
+"""The corpus pipeline: documents without toxic, unreadable, repeated and benchmark texts, as token ids.
+
+Each stage works on what its predecessor kept; ``run`` writes a stage's rows as Parquet in the shared
+folder and reads them again, so a lost executor costs at most one stage. Stages 1 to 4 return the columns
+of documents, the last adds the token ids and their number. A stage reads the other tables it needs from
+``sf_dir``.
+
+Repeated doc_ids count as one document where documents are dropped by name; a row without doc_id is only
+dropped by the stages that look at its text alone.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from panelreg.llm.byte_bpe import encode_documents
+from panelreg.llm.decontamination import contaminated
+from panelreg.llm.language import UNKNOWN, held_out, labelled_texts, predict_language
+from panelreg.llm.near_dedup import near_classes
+from panelreg.llm.registry import table
+from panelreg.llm.toxicity import fit, score_toxicity, with_labels
+from panelreg.session import new_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, learned from the labelled ones among them, doesn't call toxic."""
+    params = fit(with_labels(docs, table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, params).where("predicted = 0").select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language: those without any letter go."""
+    predicted = predict_language(docs, labelled_texts(docs.where(~held_out())))
+    return predicted.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate class."""
+    gone = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(docs, path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_languages),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("byte_bpe", tokenize),
+]
+
+#: Learned networks and automata have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
