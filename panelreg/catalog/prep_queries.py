@@ -8,7 +8,7 @@ from panelreg.catalog.base import (
     FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, households, is_train, query, rounded, settings,
 )
 from panelreg.functions.target import hold_smearing, invert, smearing_factor, to_learning_scale, to_raw_prediction
-from panelreg.operators.levels import collect_levels, level_counts, most_frequent
+from panelreg.operators.levels import level_counts, summarize_levels
 from panelreg.operators.linear import fit_ols
 from panelreg.operators.preprocess import Preparation, PrepSettings, fit_preparation
 from panelreg.plans.common import prepare_split
@@ -156,7 +156,8 @@ def rare_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = prepare_split(panel, roles, settings()).features
     least = -(-total // 25)
     preparation = fit_preparation(panel.filter(is_train()), features, PrepSettings(rare_min_count=least))
-    return preparation.apply(panel).select("hh_id", preparation.categories[0].grouped().alias("province"))
+    levels = F.array(*map(F.lit, preparation.categories[0].levels))
+    return preparation.apply(panel).select("hh_id", F.get(levels, F.col("code_0")).alias("province"))
 
 
 ONEHOT_SQL = f"""WITH {HH}, {CATEGORY_MODES}, v AS (
@@ -247,5 +248,5 @@ SELECT "column", level AS mode FROM (SELECT *, row_number() OVER (PARTITION BY "
 )
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode of each category over all years, the smallest level on a tie."""
-    found = collect_levels(households(spark, sf_dir), ["priority", "province", "segment"])
-    return spark.createDataFrame([(c, most_frequent(counts)) for c, counts in found.items()], "column string, mode string")
+    found = summarize_levels(households(spark, sf_dir), ["priority", "province", "segment"])
+    return spark.createDataFrame([(c, summary.mode) for c, summary in found.items()], "column string, mode string")

@@ -14,7 +14,7 @@ from panelreg.functions.target import to_learning_scale
 from panelreg.operators.boosting import BoostSettings, fit_boosting, fit_ml_boosting
 from panelreg.operators.evaluate import metric_columns
 from panelreg.operators.forest import ForestSettings, bag_stream, fit_forest, fit_ml_forest
-from panelreg.operators.permutation import BLOCK_ROWS, SHUFFLE, permutation_importance
+from panelreg.operators.permutation import SHUFFLE, permutation_importance
 from panelreg.operators.preprocess import Preparation, PrepSettings, fit_preparation
 from panelreg.operators.trees import (
     RowRule, SplitRules, Tree, bin_columns, feature_space, histogram_cells, scan_source, split_candidates,
@@ -251,6 +251,7 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPEATS = 3
+BLOCKS = 7
 SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(
     f"({p}, {r}, {stream_word(SEED, SHUFFLE, p, r)}::BIGINT)" for p in range(2) for r in range(REPEATS)
 ) + ")"
@@ -259,7 +260,7 @@ SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(
 @query(
     f"""WITH {HH}, med AS (SELECT median(acctbal) AS ma, median(n_lines) AS mn FROM tr), {SHUFFLES_SQL},
 rows0 AS (SELECT hh_id, {LABEL} AS y, coalesce(acctbal, ma) AS a, coalesce(n_lines, mn) AS n,
-  floor({digest_sql('hh_id', SEED, 8)} / {RANGE} * ceil(count(*) OVER () / {BLOCK_ROWS}.0)) AS block
+  floor({digest_sql('hh_id', SEED, 8)} / {RANGE} * {BLOCKS}) AS block
   FROM te, med),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY hh_id) AS i FROM rows0),
 mixed AS (SELECT block, place, repeat, a, n, row_number() OVER (PARTITION BY block, place, repeat
@@ -276,7 +277,8 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     preparation = fit_preparation(split.train, split.features, PrepSettings())
     test = preparation.apply(split.test).withColumn("key", F.col("hh_id"))
     table = permutation_importance(
-        test, preparation, lambda columns: 9 + 0.0001 * columns[0] + 0.6 * columns[1], repeats=REPEATS, seed=SEED
+        test, preparation, lambda columns: 9 + 0.0001 * columns[0] + 0.6 * columns[1], repeats=REPEATS, seed=SEED,
+        blocks=BLOCKS,
     )
     return rounded(table, pi_mean=6, pi_std=6)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 OTHER_LEVEL = "Other"
-MAX_LEVELS = 100_000
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -21,22 +20,47 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def keep_frequent(level: Column, frequent: Sequence[str], other: str = OTHER_LEVEL) -> Column:
-    return F.when(level.isin(*frequent), level).otherwise(F.lit(other))
+@dataclass(frozen=True)
+class LevelSummary:
+    """The mode of a category, its levels with gaps counted for the mode, and how many were too rare."""
 
+    mode: str
+    counts: dict[str, int]
+    rare: int
 
-def collect_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str | None, int]]:
-    """Level counts as a dictionary per column, for tables whose categories are categories."""
+
+def summarize_levels(df: DataFrame, columns: Sequence[str], min_count: int = 0) -> dict[str, LevelSummary]:
+    """Levels of at least ``min_count`` rows per category; columns without any value are left out.
+
+    Modes and rare levels are settled in Spark, so what reaches the driver are the levels a model
+    has a coefficient for, however many others there are.
+    """
     if not columns:
         return {}
-    bound = MAX_LEVELS * len(columns)
-    rows = level_counts(df, columns).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {MAX_LEVELS} levels per category column; one of {list(columns)} is no category")
-    found: dict[str, dict[str | None, int]] = defaultdict(dict)
-    for row in rows:
+    counts = level_counts(df, columns).persist()
+    try:
+        present = counts.where(F.col("level").isNotNull())
+        top = present.groupBy("column").agg(F.max("n").alias("n"))
+        tied = present.join(F.broadcast(top), ["column", "n"])
+        number = F.expr("try_cast(level AS DOUBLE)")
+        # numeric order if every tied level is a number, else text order
+        least = F.when(F.count(number) == F.count("level"), F.min(F.struct(number, "level"))["level"]).otherwise(F.min("level"))
+        modes = tied.groupBy("column").agg(least.alias("mode"))
+        gaps = counts.groupBy("column").agg(F.sum(F.when(F.col("level").isNull(), F.col("n")).otherwise(0)).alias("gaps"))
+        shared = modes.join(gaps, "column")
+        full = present.join(F.broadcast(shared), "column").withColumn(
+            "n", F.col("n") + F.when(F.col("level") == F.col("mode"), F.col("gaps")).otherwise(0)
+        )
+        kept = full.where(F.col("n") >= min_count).select("column", "level", "n").collect()
+        sizes = full.groupBy("column", "mode").agg(F.count("level").alias("levels")).collect()
+    finally:
+        counts.unpersist()
+    found: dict[str, dict[str, int]] = {row["column"]: {} for row in sizes}
+    for row in kept:
         found[row["column"]][row["level"]] = row["n"]
-    return found
+    return {
+        r["column"]: LevelSummary(r["mode"], found[r["column"]], r["levels"] - len(found[r["column"]])) for r in sizes
+    }
 
 
 def sort_levels(levels: Sequence[str], as_text: bool = False) -> list[str]:
@@ -48,11 +72,3 @@ def sort_levels(levels: Sequence[str], as_text: bool = False) -> list[str]:
             pass
     return sorted(levels)
 
-
-def most_frequent(counts: dict[str | None, int]) -> str | None:
-    """The mode, the smallest level on a tie; None if there is no value at all."""
-    present = {level: n for level, n in counts.items() if level is not None}
-    if not present:
-        return None
-    top = max(present.values())
-    return sort_levels([level for level, n in present.items() if n == top])[0]

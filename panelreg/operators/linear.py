@@ -11,7 +11,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.preprocess import Preparation
-from panelreg.session import task_budget
+
+# Partial sums are added up in so many parts first, then the parts.
+SUM_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ class LinearFit:
 def cross_products(prepared: DataFrame, preparation: Preparation, label: str = "label") -> DataFrame:
     """(i, j, value) with i <= j: sums of products over [1, features..., label].
 
-    Each task reduces its rows to one small matrix; only those cells are shuffled. The number
-    of tasks is held to a few per core so that their number does not grow with the table.
+    Each task reduces its rows to one small matrix; only those cells are shuffled, and added up
+    in two steps, so that no task reads more than the square root of all tasks' cells.
     """
     inputs = prepared.select(*preparation.prepared_columns, F.col(label).cast("double"))
 
@@ -50,8 +52,10 @@ def cross_products(prepared: DataFrame, preparation: Preparation, label: str = "
             i, j = np.triu_indices(len(total))
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
 
-    cells = inputs.coalesce(task_budget(prepared.sparkSession)).mapInArrow(partial, "i long, j long, v double")
-    return cells.groupBy("i", "j").agg(F.sum("v").alias("value"))
+    cells = inputs.mapInArrow(partial, "i long, j long, v double")
+    share = (F.spark_partition_id() % SUM_PARTS).alias("part")
+    parts = cells.groupBy("i", "j", share).agg(F.sum("v").alias("v"))
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("value"))
 
 
 def solve_normal_equations(cells: list[tuple[int, int, float]], size: int) -> np.ndarray:
@@ -100,7 +104,7 @@ def fit_huber(
         standardization=False,
         maxIter=max_iter,
         tol=tolerance,
-        aggregationDepth=2 if rows < 10**9 else 3,
+        aggregationDepth=2,
     )
     model = estimator.fit(preparation.with_vector(prepared).select("features", label))
     return LinearFit("Huber", preparation, model.intercept, tuple(map(float, model.coefficients.toArray())), model.scale)

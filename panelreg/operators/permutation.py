@@ -1,14 +1,14 @@
 """Permutation importance: how much the error grows when one input column is shuffled.
 
-A global shuffle would need one ordering of all rows. Instead rows are dealt into random
-blocks and every column is permuted inside its block, for all columns and repeats in one pass:
-one shuffle of the rows in total, and each value still lands on a random row. A table no larger
-than a block gets the ordinary full permutation.
+A global shuffle would need one ordering of all rows. Instead rows are dealt into ``blocks``
+random blocks by their key and every column is permuted inside its block, for all columns and
+repeats in one pass: one shuffle of the rows in total, and each value still lands on a random row.
+The number of blocks is the caller's, the same rule holding for tables of any size; one block is
+the ordinary full permutation. Keys have to be unique.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,10 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.functions.hashing import hash_uniform, stream_word, word_array
 from panelreg.operators.preprocess import Preparation
-from panelreg.session import StoredTable
 
-BLOCK_ROWS = 50_000
-SLICES = 4096
+BLOCKS = 64
 SHUFFLE = 5
 
 
@@ -28,19 +26,6 @@ def block_column(key: Column, blocks: int, seed: int) -> Column:
     return F.floor(hash_uniform(key, seed) * blocks).cast("int")
 
 
-def _in_blocks(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    # one count over fine slices of the keys gives the number of rows and shows a crowded key
-    slices = rows.groupBy(block_column(F.col("key"), SLICES, seed).alias("slice")).count()
-    count, fullest = slices.agg(F.sum("count"), F.max("count")).first()
-    blocks = max(1, math.ceil((count or 0) / block_rows))
-    if blocks == 1 or fullest - count / SLICES <= 3 * block_rows:
-        return rows.withColumn("block", block_column(F.col("key"), blocks, seed))
-    # a key that many rows share would fill one block: deal the rows by their place instead, and
-    # write that down, so that a recomputed task finds its rows in the same blocks
-    place = F.xxhash64("key", F.monotonically_increasing_id())
-    return StoredTable(rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")), "blocks").frame
-
-
 def shuffled_errors(
     rows: DataFrame,
     columns: list[str],
@@ -48,7 +33,7 @@ def shuffled_errors(
     *,
     repeats: int = 5,
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    blocks: int = BLOCKS,
 ) -> DataFrame:
     """(column, repeat, error): mean absolute error of ``label`` with that column shuffled.
 
@@ -56,6 +41,7 @@ def shuffled_errors(
     unshuffled table.
     """
     wanted = rows.select("key", F.col("label").cast("double"), *columns)
+    dealt = wanted.withColumn("block", block_column(F.col("key"), blocks, seed))
 
     def block_errors(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("key", kind="stable")
@@ -69,7 +55,7 @@ def shuffled_errors(
                 out.append((place, repeat, np.abs(truth - predict(mixed)).sum(), len(block)))
         return pd.DataFrame(out, columns=["place", "repeat", "total", "n"])
 
-    parts = _in_blocks(wanted, block_rows, seed).groupBy("block").applyInPandas(
+    parts = dealt.groupBy("block").applyInPandas(
         block_errors, "place int, repeat int, total double, n long"
     )
     return parts.groupBy("place", "repeat").agg((F.sum("total") / F.sum("n")).alias("error"))
@@ -82,11 +68,11 @@ def permutation_importance(
     *,
     repeats: int = 5,
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    blocks: int = BLOCKS,
 ) -> DataFrame:
     """(feature, pi_mean, pi_std) per input column, on the learning scale, largest first."""
     errors = shuffled_errors(
-        rows, preparation.prepared_columns, predict, repeats=repeats, seed=seed, block_rows=block_rows
+        rows, preparation.prepared_columns, predict, repeats=repeats, seed=seed, blocks=blocks
     )
     names = F.array(*[F.lit(c) for c in preparation.source_columns])
     # (column, repeat) lines only from here on; the unshuffled error rides along in every group

@@ -9,6 +9,8 @@ model wants them, so no wide table is ever stored.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,12 +18,10 @@ import numpy as np
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelreg.operators.levels import OTHER_LEVEL, collect_levels, keep_frequent, most_frequent, sort_levels
-from panelreg.operators.quantiles import EXACT_VALUES, exact_quantiles
+from panelreg.operators.levels import OTHER_LEVEL, sort_levels, summarize_levels
+from panelreg.operators.quantiles import exact_quantiles
 from panelreg.sources.roles import FeatureColumns
 
-# Above this a category is coded by a join with its level table instead of an inline list.
-INLINE_LEVELS = 64
 UNKNOWN = -1
 
 
@@ -32,7 +32,6 @@ class PrepSettings:
     scale_numeric: bool = False
     drop_first: bool = False
     rare_min_count: int = 0
-    exact_values: int = EXACT_VALUES
 
     @property
     def winsorizes(self) -> bool:
@@ -82,12 +81,22 @@ class CategoryStep:
     def imputed(self) -> Column:
         return F.coalesce(F.col(self.column), F.lit(self.mode))
 
-    def grouped(self) -> Column:
-        return self.imputed() if self.frequent is None else keep_frequent(self.imputed(), self.frequent)
+    def code(self) -> Column:
+        """The place of the row's level: one look-up in a constant hash table, whatever its size.
 
-    def inline_code(self) -> Column:
-        known = F.array(*[F.lit(level) for level in self.levels])
-        return (F.array_position(known, self.grouped()) - 1).cast("int")
+        No row is moved, so a level that holds a third of them is like any other.
+        """
+        size = 1 << len(self.levels).bit_length()
+        table: list[dict[str, int]] = [{} for _ in range(size)]
+        for code, level in enumerate(self.levels):
+            table[zlib.crc32(level.encode()) % size][level] = code
+        constant = F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+        level = self.imputed()
+        slot = F.crc32(level.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int")
+        unseen = UNKNOWN
+        if self.frequent is not None and OTHER_LEVEL in self.levels:
+            unseen = self.levels.index(OTHER_LEVEL)
+        return F.coalesce(F.try_element_at(F.get(constant, slot), level), F.lit(unseen))
 
 
 @dataclass(frozen=True)
@@ -121,24 +130,8 @@ class Preparation:
         if lost:
             raise ValueError(f"column(s) used in training are absent here: {', '.join(lost)}")
         added = dict(zip(self.numeric_columns, (s.expression() for s in self.numeric)))
-        large = []
-        for name, step in zip(self.code_columns, self.categories):
-            if len(step.levels) <= INLINE_LEVELS:
-                added[name] = step.inline_code()
-            else:
-                large.append((name, step))
-        df = df.withColumns(added) if added else df
-        for name, step in large:
-            # the optimizer sees the level table's size and broadcasts it only if it is small
-            codes = df.sparkSession.createDataFrame(
-                [(level, code) for code, level in enumerate(step.levels)], f"{name}_level string, {name} int"
-            )
-            df = df.join(codes, step.imputed() == F.col(f"{name}_level"), "left").drop(f"{name}_level")
-            unseen = UNKNOWN
-            if step.frequent is not None and OTHER_LEVEL in step.levels:
-                unseen = step.levels.index(OTHER_LEVEL)
-            df = df.withColumn(name, F.coalesce(F.col(name), F.lit(unseen)))
-        return df
+        added |= dict(zip(self.code_columns, (s.code() for s in self.categories)))
+        return df.withColumns(added) if added else df
 
     def design_columns(self) -> list[Column]:
         """The design matrix over prepared columns, one aliased double column per feature."""
@@ -222,16 +215,13 @@ def _fit_numeric(
     shape = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     counts = {c: shape[f"c{i}"] for i, c in enumerate(columns)}
     used = [c for c in columns if counts[c]]
-    medians = exact_quantiles(
-        train, {c: (F.col(c), [0.5]) for c in used}, counts=counts, exact_values=settings.exact_values
-    )
+    medians = exact_quantiles(train, {c: (F.col(c), [0.5]) for c in used}, counts=counts)
     steps = [NumericStep(c, medians[c][0]) for c in used]
     if settings.winsorizes and steps:
         bounds = exact_quantiles(
             train,
             {s.column: (s.imputed(), [max(settings.winsor_lower, 0.0), min(settings.winsor_upper, 1.0)]) for s in steps},
             counts=dict.fromkeys(used, shape["n"]),
-            exact_values=settings.exact_values,
         )
         steps = [
             NumericStep(s.column, s.median, bounds[s.column][0], max(bounds[s.column][1], bounds[s.column][0] + 1e-12))
@@ -257,24 +247,18 @@ def _nonzero(deviation: float, mean: float) -> float:
 def _fit_categories(
     train: DataFrame, columns: Sequence[str], settings: PrepSettings
 ) -> tuple[list[CategoryStep], list[str]]:
-    found = collect_levels(train, columns)
-    steps, empty = [], []
-    for column in columns:
-        counts = dict(found.get(column, {}))
-        mode = most_frequent(counts)
-        if mode is None:
-            empty.append(column)
-            continue
-        counts[mode] += counts.pop(None, 0)
+    found = summarize_levels(train, columns, settings.rare_min_count)
+    steps = []
+    for column in [c for c in columns if c in found]:
+        summary = found[column]
         frequent = None
-        levels = list(counts)
+        levels = list(summary.counts)
         if settings.rare_min_count > 0:
-            frequent = tuple(sorted(level for level, n in counts.items() if n >= settings.rare_min_count))
-            levels = list(frequent) + ([OTHER_LEVEL] if len(frequent) < len(counts) else [])
-            levels = list(dict.fromkeys(levels))
+            frequent = tuple(sorted(levels))
+            levels = list(dict.fromkeys([*frequent, *([OTHER_LEVEL] if summary.rare else [])]))
         steps.append(
             CategoryStep(
-                column, mode, tuple(sort_levels(levels, as_text=frequent is not None)), settings.drop_first, frequent
+                column, summary.mode, tuple(sort_levels(levels, as_text=frequent is not None)), settings.drop_first, frequent
             )
         )
-    return steps, empty
+    return steps, [c for c in columns if c not in found]

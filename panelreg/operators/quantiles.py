@@ -1,8 +1,7 @@
 """Exact quantiles of many columns without sorting or shuffling the rows.
 
-Spark's exact ``percentile`` holds every distinct value of a column in one task. That is fine
-up to a row bound, and used there. Beyond it each order statistic is found by narrowing: a
-mergeable sketch proposes pivots, an exact count says between which pivots the wanted rank
+Spark's exact ``percentile`` holds every distinct value of a column in one task. Here each order
+statistic is found by narrowing, whatever the table's size: a mergeable sketch proposes pivots, an exact count says between which pivots the wanted rank
 lies, and the next pass looks only there. Sketch errors cost passes, never exactness; a value
 that a third of the rows share becomes a pivot and is counted, not kept.
 """
@@ -15,8 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Values, over all columns together, that Spark's exact aggregate may hold in one task.
-EXACT_VALUES = 1_000_000
 # Values per order statistic that may be listed once the search is that narrow.
 KEPT_ROWS = 4_000
 SKETCH_ACCURACY = 10_000
@@ -118,7 +115,6 @@ def exact_quantiles(
     wanted: Mapping[str, tuple[Column, Sequence[float]]],
     *,
     counts: Mapping[str, int] | None = None,
-    exact_values: int = EXACT_VALUES,
     kept_rows: int = KEPT_ROWS,
 ) -> dict[str, list[float] | None]:
     """Quantiles with linear interpolation over the non-null values; None for an empty column."""
@@ -129,9 +125,6 @@ def exact_quantiles(
         counts = row.asDict()
     filled = {name: spec for name, spec in wanted.items() if counts[name]}
     result: dict[str, list[float] | None] = dict.fromkeys(wanted)
-    if filled and sum(counts[name] for name in filled) <= exact_values:
-        row = df.agg(*[F.percentile(column, list(qs)).alias(name) for name, (column, qs) in filled.items()]).first()
-        return result | {name: list(row[name]) for name in filled}
     places = {name: [q * (counts[name] - 1) for q in qs] for name, (_, qs) in filled.items()}
     values = order_statistics(
         df,

@@ -24,13 +24,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.preprocess import Preparation
-from panelreg.session import task_budget
 
 MAX_BINS = 256
 SKETCH_ACCURACY = 10_000
 CELL_BUDGET = 4_000_000
-# Partial sums of one level that may be shuffled by node right away.
-DIRECT_CELLS = 2_000_000
 TOTALS = -1
 ERRORS = -2
 CELL_SCHEMA = "tree int, node int, feature int, bin int, g double, h double, c double"
@@ -283,8 +280,8 @@ def _table(batch: pa.RecordBatch, first: int) -> np.ndarray:
 
 
 def scan_source(binned: DataFrame, space: FeatureSpace, rule: RowRule) -> DataFrame:
-    """The columns a level scan reads, in as many tasks as partial sums may come from."""
-    return binned.select(*rule.inputs, *space.columns).coalesce(task_budget(binned.sparkSession))
+    """The columns a level scan reads."""
+    return binned.select(*rule.inputs, *space.columns)
 
 
 def histogram_cells(
@@ -293,7 +290,6 @@ def histogram_cells(
     rule: RowRule,
     growing: dict[int, tuple[PackedTree, list[int]]],
     chosen: Callable[[int, int], np.ndarray] | None = None,
-    node_tasks: int | None = None,
 ) -> DataFrame:
     """Sums per (tree, node, feature, bin) of the growing nodes, with one totals row per node.
 
@@ -361,9 +357,6 @@ def histogram_cells(
         return pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(columns, types)], names=names)
 
     partial = source.mapInArrow(cells, CELL_SCHEMA)
-    if node_tasks is not None:
-        # few enough partial sums: placed by node at once, adding up needs no shuffle of its own
-        partial = partial.repartition(node_tasks, "tree", "node")
     return partial.groupBy("tree", "node", "feature", "bin").agg(*[F.expr(f"sum({v}) AS {v}") for v in "ghc"])
 
 
@@ -398,7 +391,6 @@ def grow_trees(
     depth = 0
     source = scan_source(binned, space, rule)
     most_tasks = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scan_tasks = task_budget(binned.sparkSession)
     while open_nodes:
         grown: dict[int, list[int]] = {}
         splitting = rules.max_depth is None or depth < rules.max_depth
@@ -407,11 +399,8 @@ def grow_trees(
             # all cells of a node meet in one task; there are as many tasks as open nodes, up to the default
             nodes = sum(map(len, group.values()))
             tasks = min(nodes, most_tasks)
-            if scan_tasks * nodes * int(space.offsets[-1]) <= DIRECT_CELLS:
-                cells = histogram_cells(source, space, rule, packed, chosen, node_tasks=tasks)
-            else:
-                # with many partial sums the root's would crowd one task: add up by cell first
-                cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
+            # added up by cell first: the partial sums of the root would crowd the task of its node
+            cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
             # in a fixed order: node numbers decide which features a node may try
             for row in sorted(best_splits(cells, rules).collect(), key=lambda r: (r["tree"], r["node"])):
                 if row["tree"] == TOTALS:

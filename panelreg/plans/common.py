@@ -60,6 +60,15 @@ class SplitPanel:
         return self.test.filter(F.col("label").isNotNull())
 
 
+def type_rows(rows: DataFrame, roles: RoleSchema, settings: RunSettings, categorical: Sequence[str]) -> DataFrame:
+    """Type the columns as the job does, areas and the year feature included; for batches and streams."""
+    areas = [c for c in categorical if c not in roles.categorical and c != YEAR_FEATURE]
+    typed = cast_roles(rows, roles, numbers=(settings.target,), levels=tuple(areas))
+    if settings.year_feature:
+        typed = typed.withColumn(YEAR_FEATURE, F.col(settings.year_column).cast("string"))
+    return typed
+
+
 def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings) -> SplitPanel:
     """Type the panel, cut it by year and put the target on its learning scale.
 
@@ -77,10 +86,7 @@ def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings) ->
         geography=settings.geography,
         year_feature=settings.year_feature,
     )
-    areas = [c for c in features.categorical if c not in roles.categorical and c != YEAR_FEATURE]
-    typed = cast_roles(panel, roles, numbers=(settings.target,), levels=tuple(areas))
-    if settings.year_feature:
-        typed = typed.withColumn(YEAR_FEATURE, F.col(settings.year_column).cast("string"))
+    typed = type_rows(panel, roles, settings, features.categorical)
     # a household answers in several years, so its row is named by both; without an id by its content
     named = [settings.id_column, settings.year_column] if settings.id_column in panel.columns else panel.columns
     label = to_learning_scale(F.col(settings.target), settings.scale)
@@ -93,17 +99,11 @@ def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings) ->
 def store_training(split: SplitPanel) -> tuple[StoredTable, DataFrame]:
     """The training rows as a written table, for fits that draw rows by key.
 
-    Should many rows share a key (an id that is missing for a third of the households, say), the
-    key is mixed with the row's place once, and written, so that it is the same in every scan.
+    The key is mixed with the row's place, so rows that share an id, or have none, differ; as it is
+    written, it is the same in every scan.
     """
-    stored = StoredTable(split.train, "train")
-    shape = stored.frame.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key", 0.02).alias("keys")
-    ).first()
-    if shape["keys"] < 0.9 * shape["n"]:
-        salted = stored.frame.withColumn("key", F.xxhash64("key", F.monotonically_increasing_id()))
-        shared, stored = stored, StoredTable(salted, "train")
-        shared.drop()
+    salted = split.train.withColumn("key", F.xxhash64("key", F.monotonically_increasing_id()))
+    stored = StoredTable(salted, "train")
     return stored, stored.frame
 
 

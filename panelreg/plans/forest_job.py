@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelreg.operators.evaluate import r2
 from panelreg.operators.forest import ForestSettings, fit_forest
-from panelreg.operators.permutation import permutation_importance
+from panelreg.operators.permutation import BLOCKS, permutation_importance
 from panelreg.operators.preprocess import fit_preparation
 from panelreg.plans.common import ModelRun, RunSettings, as_table, fit_scored, prepare_split, store_training, write_report
+from panelreg.session import StoredTable
 from panelreg.sources.roles import RoleSchema
 
 
@@ -21,6 +22,7 @@ def run_forest(
     oob: bool = False,
     permutation: bool = False,
     repeats: int = 5,
+    blocks: int = BLOCKS,
 ) -> ModelRun:
     split = prepare_split(panel, roles, settings)
     stored, rows = store_training(split)
@@ -38,13 +40,21 @@ def run_forest(
         stored.drop()
     if permutation:
         trees = model.packed()
-        run.permutation = permutation_importance(
-            run.known,
-            preparation,
-            lambda columns: sum(t.predict(as_table(columns), binned=False) for t in trees) / len(trees),
-            repeats=repeats,
-            seed=forest.seed,
-        )
+        known = run.known.withColumn("key", F.xxhash64("key", F.monotonically_increasing_id()))
+        stored = StoredTable(known.select("key", "label", *preparation.prepared_columns), "permuted")
+        try:
+            table = permutation_importance(
+                stored.frame,
+                preparation,
+                lambda columns: sum(t.predict(as_table(columns), binned=False) for t in trees) / len(trees),
+                repeats=repeats,
+                seed=forest.seed,
+                blocks=blocks,
+            )
+            # one row per column: kept as rows, so the stored table can go
+            run.permutation = run.spark.createDataFrame(table.collect(), table.schema)
+        finally:
+            stored.drop()
     return run
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +24,12 @@ def build_session(master: str | None = None, app: str = "panelreg", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, else a local one in tests."""
+    """The folder for intermediate tables, which the session names; all executors have to see it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelreg-"))
-    return context.getCheckpointDir().rstrip("/")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -69,11 +65,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     files, jvm_path = hadoop_path(spark, path)
     return files.exists(jvm_path)
 
-
-def task_budget(spark: SparkSession) -> int:
-    """How many tasks a partial-aggregate scan may use: a few per core, so partials stay few.
-
-    A cluster that grows on demand may show few cores at first; its shuffle setting tells more.
-    """
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * spark.sparkContext.defaultParallelism, shuffle)

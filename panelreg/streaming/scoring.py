@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from panelreg.plans.common import ModelRun
-from panelreg.sources.roles import RoleSchema, cast_roles
+from panelreg.plans.common import ModelRun, type_rows
+from panelreg.sources.roles import RoleSchema
 
 
 def score_stream(rows: DataFrame, run: ModelRun, roles: RoleSchema) -> DataFrame:
     """The stream's own columns plus the raw-scale prediction of the target."""
-    typed = cast_roles(rows, roles)
-    return run.score_rows(typed).select(*rows.columns, "y_pred").withColumnRenamed(
+    typed = type_rows(rows, roles, run.settings, [step.column for step in run.preparation.categories])
+    scored = run.score_rows(typed).select(*rows.columns, "y_pred")
+    return scored.withColumnRenamed(
         "y_pred", f"{run.settings.target}_pred"
     )
 

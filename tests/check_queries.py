@@ -20,7 +20,7 @@ TABLES = (
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "4GB", "threads": 4})
     for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     return con
@@ -49,7 +49,7 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark = build_session("local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8")
     spark.sparkContext.setLogLevel("ERROR")
-    con, sql = duck(sf_dir), oracle_sql()
+    sql = oracle_sql()
     bad = 0
     for name, run in queries().items():
         if wanted and name not in wanted:
@@ -58,7 +58,7 @@ def main() -> None:
         try:
             ours = run(spark, sf_dir).toPandas()
             took = time.time() - start
-            verdict = compare(ours, con.execute(sql[name]).df()) if name in sql else f"no SQL, {len(ours)} rows"
+            verdict = compare(ours, duck(sf_dir).execute(sql[name]).df()) if name in sql else f"no SQL, {len(ours)} rows"
         except Exception as error:  # noqa: BLE001 - the report goes on with the next query
             took, verdict = time.time() - start, f"{type(error).__name__}: {str(error)[:600]}"
         bad += not verdict.startswith(("ok", "no SQL"))

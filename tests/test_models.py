@@ -176,7 +176,6 @@ def test_cells_of_one_level_may_need_several_scans(sample, monkeypatch):
     settings = ForestSettings(n_trees=3, max_depth=3, max_features=1.0)
     whole, _ = fit_forest(prepared, preparation, settings)
     monkeypatch.setattr(trees, "CELL_BUDGET", 300)
-    monkeypatch.setattr(trees, "DIRECT_CELLS", 0)
     parts, _ = fit_forest(prepared, preparation, settings)
     assert [t.feature for t in whole.trees] == [t.feature for t in parts.trees]
 
@@ -230,7 +229,7 @@ def predictor(columns):
 
 def test_permutation_importance_ranks_the_inputs(sample):
     pdf, prepared, preparation, _ = sample
-    table = permutation_importance(prepared, preparation, predictor, repeats=3, block_rows=700)
+    table = permutation_importance(prepared, preparation, predictor, repeats=3, blocks=2)
     rows = {r["feature"]: r for r in table.collect()}
     assert list(rows)[0] == "a" and rows["b"]["pi_mean"] == pytest.approx(0) and rows["a"]["pi_mean"] > rows["c"]["pi_mean"] > 0
 
@@ -239,14 +238,5 @@ def test_shuffling_in_blocks_keeps_every_value(sample):
     _, prepared, preparation, _ = sample
     # with the label zero and the column itself as prediction, the error is the column's mean
     rows = prepared.withColumn("label", F.lit(0.0))
-    errors = shuffled_errors(rows, preparation.prepared_columns, lambda c: c[0], repeats=2, block_rows=500).toPandas()
+    errors = shuffled_errors(rows, preparation.prepared_columns, lambda c: c[0], repeats=2, blocks=5).toPandas()
     assert errors["error"].to_numpy() == pytest.approx(np.full(len(errors), errors["error"].iloc[0]))
-
-
-def test_a_shared_key_does_not_fill_one_block(sample):
-    _, prepared, preparation, _ = sample
-    same = prepared.withColumn("key", F.when(F.col("key") % 2 == 0, 0).otherwise(F.col("key")))
-    errors = shuffled_errors(same, preparation.prepared_columns, predictor, repeats=1, block_rows=100).toPandas()
-    base = shuffled_errors(prepared, preparation.prepared_columns, predictor, repeats=1).toPandas()
-    pick = lambda t: t.loc[t.place == -1, "error"].iloc[0]
-    assert pick(errors) == pytest.approx(pick(base))

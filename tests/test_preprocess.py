@@ -6,8 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
 from pyspark.sql import functions as F
 
-from panelreg.operators.levels import collect_levels, level_counts, most_frequent, sort_levels
-from panelreg.operators.preprocess import INLINE_LEVELS, PrepSettings, fit_preparation
+from panelreg.operators.levels import level_counts, sort_levels, summarize_levels
+from panelreg.operators.preprocess import PrepSettings, fit_preparation
 from panelreg.operators.quantiles import exact_quantiles
 from panelreg.sources.roles import FeatureColumns
 
@@ -56,7 +56,7 @@ def test_scaling_uses_the_population_deviation(spark):
 
 def test_mode_tie_takes_the_smallest_level(spark):
     assert fit_levels(spark, ["b", "a", "b", "a", None]).categories[0].mode == "a"
-    assert most_frequent({"10.0": 2, "9.0": 2}) == "9.0"
+    assert fit_levels(spark, ["10.0", "9.0", "10.0", "9.0"]).categories[0].mode == "9.0"
     assert sort_levels(["10.0", "9.0"]) == ["9.0", "10.0"] and sort_levels(["10.0", "9.0", "x"]) == ["10.0", "9.0", "x"]
 
 
@@ -70,8 +70,8 @@ def test_dummies_drop_the_first_level_and_zero_unknown_ones(spark):
 def test_rare_levels_become_other(spark):
     prep = fit_levels(spark, ["a"] * 5 + ["b"] * 5 + ["c"], rare_min_count=2)
     assert prep.categories[0].levels == ("Other", "a", "b")
-    got = levels(spark, "c", "zz", "b").select(prep.categories[0].grouped()).collect()
-    assert [r[0] for r in got] == ["Other", "Other", "b"]
+    got = prep.apply(levels(spark, "c", "zz", "b")).select("code_0").collect()
+    assert [r[0] for r in got] == [0, 0, 2]
 
 
 def test_no_other_dummy_when_no_training_level_is_rare(spark):
@@ -86,15 +86,17 @@ def test_gaps_count_for_the_mode_before_rare_grouping(spark):
 
 
 @pytest.mark.parametrize("rare", [0, 2])
-def test_many_levels_are_coded_by_a_join_like_the_inline_list(spark, rare):
-    names = [f"v{i:03d}" for i in range(INLINE_LEVELS + 40)]
-    values = names + names[: INLINE_LEVELS + 5]
+def test_many_levels_are_coded_without_moving_rows(spark, rare):
+    names = [f"v{i:04d}" for i in range(3000)]
+    values = names + names[:1700]
     prep = fit_levels(spark, [*values, None], rare_min_count=rare)
     frame = levels(spark, *names, "new", None)
     step = prep.categories[0]
-    joined = {r["c"]: r["code_0"] for r in prep.apply(frame).collect()}
-    inline = {r["c"]: r["code"] for r in frame.select("c", step.inline_code().alias("code")).collect()}
-    assert joined == inline and len(step.levels) > INLINE_LEVELS
+    other = step.levels.index("Other") if rare else -1
+    expected = {name: step.levels.index(name) if name in set(step.levels) else other for name in [*names, "new"]}
+    coded = {r["c"]: r["code_0"] for r in prep.apply(frame).collect()}
+    assert coded == expected | {None: expected["v0000"]} and len(step.levels) == (1701 if rare else 3000)
+    assert "Exchange" not in prep.apply(frame)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_columns_are_dropped_and_named(spark):
@@ -112,7 +114,7 @@ def test_a_column_missing_at_scoring_time_is_an_error(spark):
 def test_level_counts_list_gaps(spark):
     got = {(r["column"], r["level"]): r["n"] for r in level_counts(levels(spark, "a", "a", None), ["c"]).collect()}
     assert got == {("c", "a"): 2, ("c", None): 1}
-    assert collect_levels(levels(spark, "a"), []) == {}
+    assert summarize_levels(levels(spark, "a"), []) == {}
 
 
 def test_vector_and_dense_design_agree(spark):
@@ -139,7 +141,7 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame).select("x", F.nanvl("y", F.lit(None)).alias("y")).persist()
 
 
-@pytest.mark.parametrize("limits", [{}, {"exact_values": 10}, {"exact_values": 10, "kept_rows": 40}])
+@pytest.mark.parametrize("limits", [{}, {"kept_rows": 40}])
 def test_quantiles_are_exact_on_every_path(skewed, limits):
     pdf, frame = skewed
     qs = [0.0, 0.02, 0.34, 0.5, 0.61, 0.98, 1.0]
@@ -154,7 +156,7 @@ def test_quantiles_are_exact_on_every_path(skewed, limits):
     st.floats(0, 1),
 )
 def test_quantiles_of_any_list(spark, values, q):
-    got = exact_quantiles(numbers(spark, *values), {"x": (F.col("x"), [q])}, exact_values=1, kept_rows=2)["x"]
+    got = exact_quantiles(numbers(spark, *values), {"x": (F.col("x"), [q])}, kept_rows=2)["x"]
     present = [v for v in values if v is not None]
     if present:
         assert got[0] == pytest.approx(np.quantile(present, q), rel=1e-9, abs=1e-9)

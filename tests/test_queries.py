@@ -11,9 +11,11 @@ SF_DIR = "/root/testdata/sf0.01"
 SQL = oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return duck(SF_DIR)
+    """A database of its own for each query: one that fails cannot take the others with it."""
+    with duck(SF_DIR) as connection:
+        yield connection
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
