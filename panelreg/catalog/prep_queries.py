@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
-    FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, households, is_train, query, rounded, settings,
+    FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, households, is_train, query, read_table, rounded, settings,
 )
 from panelreg.functions.target import hold_smearing, invert, smearing_factor, to_learning_scale, to_raw_prediction
 from panelreg.operators.levels import level_counts, summarize_levels
 from panelreg.operators.linear import fit_ols
 from panelreg.operators.preprocess import Preparation, PrepSettings, fit_preparation
 from panelreg.plans.common import prepare_split
-from panelreg.sources.roles import RoleSchema
+from panelreg.sources.roles import FeatureColumns, RoleSchema
 
 
 def _target_profile(spark: SparkSession, sf_dir: str, scale: str) -> DataFrame:
@@ -160,6 +160,21 @@ def rare_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.apply(panel).select("hh_id", F.get(levels, F.col("code_0")).alias("province"))
 
 
+@query(
+    """WITH t AS (SELECT o_orderkey AS hh_id, o_custkey AS c, year(o_orderdate) <= 2000 AS train FROM orders),
+lv AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT c FROM t WHERE train))
+SELECT hh_id, CAST(coalesce(code, -1) AS INT) AS code FROM t LEFT JOIN lv USING (c)"""
+)
+def many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category of thousands of levels, the customers: codes are places in the order of the training levels."""
+    orders = read_table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("hh_id"), F.year("o_orderdate").alias("yr"), F.col("o_custkey").cast("string").alias("c")
+    )
+    preparation = fit_preparation(rows.filter(is_train()), FeatureColumns((), ("c",)))
+    return preparation.apply(rows).select("hh_id", F.col("code_0").alias("code"))
+
+
 ONEHOT_SQL = f"""WITH {HH}, {CATEGORY_MODES}, v AS (
   SELECT hh_id, yr, coalesce(is_f, mf) AS f, coalesce(priority, mp) AS p FROM hh, cm)"""
 

@@ -18,7 +18,7 @@ from panelreg.operators.trees import (
 
 # Fixed value: the deepest tree Spark ML grows; it stands for "unlimited" there.
 ML_MAX_DEPTH = 30
-BAG, PICK = 1, 2
+BAG = 1
 
 
 @dataclass(frozen=True)
@@ -117,16 +117,9 @@ def fit_forest(
     def bag(tree: int, keys: np.ndarray) -> np.ndarray:
         return poisson_array(keys, bag_stream(seed, tree))
 
-    def pick(tree: int, node: int) -> np.ndarray:
-        stream = stream_word(seed, PICK, tree, node)
-        drawn = np.argsort(uniform_array(np.arange(len(space.features)), stream), kind="stable")[:share]
-        mask = np.zeros(len(space.features), dtype=bool)
-        mask[drawn] = True
-        return mask
-
     rule = RowRule(("key", "y"), bag, lambda columns, table: -columns["y"])
-    rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12)
-    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees), chosen=pick)
+    rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12, tried=share, seed=seed)
+    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees))
     rows.unpersist()
     return Forest(preparation, space, tuple(trees), seed), binned
 

@@ -191,7 +191,11 @@ def bin_columns(prepared: DataFrame, space: FeatureSpace, keep: Sequence[str | C
 
 @dataclass(frozen=True)
 class SplitRules:
-    """When a split counts. ``alpha``/``lambda_`` are L1/L2 on leaf values, ``gamma`` the least gain."""
+    """When a split counts. ``alpha``/``lambda_`` are L1/L2 on leaf values, ``gamma`` the least gain.
+
+    With ``tried`` a node looks at its features in an order drawn by a digest of (tree, node, feature,
+    ``seed``) and takes the best split of the first so many that admit one, however many don't.
+    """
 
     lambda_: float = 0.0
     alpha: float = 0.0
@@ -199,6 +203,19 @@ class SplitRules:
     min_weight: float = 0.0
     min_rows: int = 1
     max_depth: int | None = None
+    tried: int | None = None
+    seed: int = 0
+
+    def visited(self, candidates: str) -> str:
+        """The candidates with the gain of features that their node doesn't get to set to NULL, as SQL."""
+        if self.tried is None:
+            return candidates
+        order = f"md5(concat_ws(':', tree, node, feature, {self.seed}))"
+        turn = f"dense_rank() OVER (PARTITION BY tree, node ORDER BY gain IS NULL, {order})"
+        return (
+            f"SELECT * EXCEPT (gain, turn), CASE WHEN turn <= {self.tried} THEN gain END AS gain "
+            f"FROM (SELECT *, {turn} AS turn FROM ({candidates}))"
+        )
 
     def leaf(self, g: float, h: float) -> float:
         pulled = np.sign(g) * max(abs(g) - self.alpha, 0.0)
@@ -253,7 +270,7 @@ def best_splits(cells: DataFrame, rules: SplitRules) -> DataFrame:
         SELECT tree, node, feature, bin, g_right, h_right, g_all, h_all, gain FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node
                                        ORDER BY round(gain / top, 9) DESC NULLS LAST, feature, bin) AS place
-          FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM ({candidates_sql(rules)}))
+          FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM ({rules.visited(candidates_sql(rules))}))
         ) WHERE place = 1
         """,
         cells=cells,

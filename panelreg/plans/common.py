@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -21,6 +22,10 @@ from panelreg.sources.sinks import write_rows, write_small
 from panelreg.sources.years import require_years, split_years
 
 
+#: Columns that a job adds to the rows.
+RESERVED = {"label", "key", "yhat", "y_true", "y_pred"}
+
+
 @dataclass(frozen=True)
 class RunSettings:
     train_years: tuple[int, ...]
@@ -86,6 +91,10 @@ def prepare_split(panel: DataFrame, roles: RoleSchema, settings: RunSettings) ->
         geography=settings.geography,
         year_feature=settings.year_feature,
     )
+    if features.missing:
+        warnings.warn(f"the table lacks column(s) of the schema: {', '.join(features.missing)}", stacklevel=2)
+    if taken := sorted(RESERVED & set(panel.columns)):
+        raise ValueError(f"column name(s) that results use: {', '.join(taken)}")
     typed = type_rows(panel, roles, settings, features.categorical)
     # a household answers in several years, so its row is named by both; without an id by its content
     named = [settings.id_column, settings.year_column] if settings.id_column in panel.columns else panel.columns

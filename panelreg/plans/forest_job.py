@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from panelreg.operators.evaluate import r2
@@ -24,6 +26,8 @@ def run_forest(
     repeats: int = 5,
     blocks: int = BLOCKS,
 ) -> ModelRun:
+    """Areas count as features down to the district unless the settings name a level."""
+    settings = replace(settings, geography=settings.geography or "district")
     split = prepare_split(panel, roles, settings)
     stored, rows = store_training(split)
     try:

@@ -137,6 +137,21 @@ def test_a_missing_id_does_not_give_rows_one_key(panel):
     stored.drop()
 
 
+@pytest.mark.filterwarnings("ignore:the table lacks")
+def test_a_stream_is_typed_like_the_batch(panel, spark, tmp_path):
+    coded = panel.withColumn("tinh", F.when(F.col("tinh") == "Dak Lak", 0.0).when(F.col("tinh") == "Long An", 1.0).otherwise(2.0))
+    coded = coded.withColumn("AgrInc", F.col("AgrInc") * (1 + 5 * F.col("tinh")))
+    settings = RunSettings((2010, 2014), 2016, geography="province", year_feature=True)
+    test = coded.filter("survey_year = 2016")
+    test.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(test.schema).parquet(str(tmp_path / "in"))
+    run = run_linear(coded, ROLES, settings, "ols")[0]
+    write_scores(score_stream(stream, run, ROLES), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    scored = {r["ma_ho"]: r["AgrInc_pred"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = {r["ma_ho"]: r["AgrInc_pred"] for r in run.predictions().collect()}
+    assert batch and all(scored[k] == pytest.approx(v) for k, v in batch.items())
+
+
 def test_a_fitted_run_scores_a_stream(runs, panel, spark, tmp_path):
     test = panel.filter("survey_year = 2016")
     test.write.parquet(str(tmp_path / "in"))
