@@ -143,20 +143,24 @@ class ModelRun:
     def known(self) -> DataFrame:
         return self.scored.filter(F.col("label").isNotNull())
 
-    def report(self) -> DataFrame:
-        """One row: errors on the learning scale, the smearing factor, raw-scale errors, labels."""
+    def report_columns(self, yhat: str = "yhat", y_pred: str = "y_pred") -> list[Column]:
+        """Errors on the learning scale, the smearing factor, raw-scale errors, labels: aggregates and constants."""
         s = self.settings
-        columns = metric_columns("label", "yhat")
+        columns = metric_columns("label", yhat)
         if s.transforms:
             if self.smearing is not None:
                 columns.append(F.lit(self.smearing[0]).alias("smearing"))
-            columns += metric_columns("y_true", "y_pred", "_raw")
+            columns += metric_columns("y_true", y_pred, "_raw")
         columns += [F.lit(value).alias(name) for name, value in self.extra.items()]
         labels = {
             "model": self.name, "run": "time", "train_years": s.train_label, "test_year": s.test_year, "target": s.target,
         }
         order = labels if self.name != "RF" else ("model", "run", "target", "train_years", "test_year")
-        return self.known.agg(*columns).withColumns({name: F.lit(labels[name]) for name in order})
+        return columns + [F.lit(labels[name]).alias(name) for name in order]
+
+    def report(self) -> DataFrame:
+        """One row for the model."""
+        return self.known.agg(*self.report_columns())
 
     def group_errors(self) -> dict[str, DataFrame]:
         """Raw-scale error per group; coded groups list levels that only unknown targets have."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from contextlib import ExitStack
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from panelreg.functions.target import to_raw_prediction
 from panelreg.operators.linear import fit_huber, fit_ols
 from panelreg.operators.preprocess import fit_preparation
 from panelreg.plans.common import ModelRun, RunSettings, fit_scored, prepare_split, write_report
@@ -47,7 +48,21 @@ def run_linear(
 
 
 def linear_report(runs: list[ModelRun]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [run.report() for run in runs])
+    """One row per model. One scan of the test year serves all models that share settings and preparation."""
+    groups: dict[tuple, list[ModelRun]] = {}
+    for run in runs:
+        groups.setdefault((id(run.preparation), run.settings, tuple(run.extra)), []).append(run)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(_shared_report, groups.values()))
+
+
+def _shared_report(runs: list[ModelRun]) -> DataFrame:
+    frame, rows = runs[0].known, []
+    for i, run in enumerate(runs):
+        factor = run.smearing[0] if run.smearing else 1.0
+        raw = to_raw_prediction(run.score(), run.settings.scale, factor)
+        frame = frame.withColumns({f"yhat_{i}": run.score(), f"y_pred_{i}": raw})
+        rows.append(F.struct(*run.report_columns(f"yhat_{i}", f"y_pred_{i}")))
+    return frame.agg(F.array(*rows).alias("models")).select(F.inline("models"))
 
 
 def write_linear(runs: list[ModelRun], folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
