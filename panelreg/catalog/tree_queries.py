@@ -267,6 +267,56 @@ def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
 
 
+TRIED = 2
+
+
+def level_sql(level: int) -> str:
+    """Cells, gains and the chosen split of every node of ``drawn<level>``, two features being tried per node."""
+    running = "PARTITION BY tree, node ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    dummies = " UNION ALL ".join(
+        f"SELECT tree, node, {k} AS feature, 0 AS cut, sum(w * y) AS sr, sum(w) AS hr, count(*) AS cr "
+        f"FROM drawn{level} WHERE d{k} = 1 GROUP BY tree, node"
+        for k in range(1, 6)
+    )
+    return f"""
+bins{level} AS (SELECT tree, node, n, sum(w * y) AS s, sum(w) AS h, count(*) AS c FROM drawn{level} GROUP BY tree, node, n),
+cells{level} AS (SELECT tree, node, 0 AS feature, n AS cut, sum(s) OVER r AS sr, sum(h) OVER r AS hr, sum(c) OVER r AS cr
+  FROM bins{level} WINDOW r AS ({running}) UNION ALL {dummies}),
+nodes{level} AS (SELECT tree, node, sum(w * y) AS sa, sum(w) AS ha, count(*) AS ca FROM drawn{level} GROUP BY tree, node),
+gains{level} AS (SELECT * FROM (SELECT *, (sa - sr) * (sa - sr) / (ha - hr) + sr * sr / hr - sa * sa / ha AS gain
+  FROM cells{level} JOIN nodes{level} USING (tree, node) WHERE cr >= 3 AND ca - cr >= 3) WHERE gain > 1e-12),
+turns{level} AS (SELECT *, dense_rank() OVER (PARTITION BY tree, node ORDER BY md5(concat_ws(':', tree, node, feature, {SEED}))) AS turn FROM gains{level}),
+best{level} AS (SELECT tree, node, feature, cut, sr, hr, sa, ha FROM (SELECT *, row_number() OVER (PARTITION BY tree, node
+  ORDER BY round(gain / top, 9) DESC, feature, cut) AS place
+  FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM turns{level} WHERE turn <= {TRIED})) WHERE place = 1)"""
+
+
+def side_sql(level: int) -> str:
+    """Whether a row goes right at the split of its node."""
+    cases = " ".join(f"WHEN {k} THEN d{k} = 1" for k in range(1, 6))
+    return f"CASE best{level}.feature WHEN 0 THEN n >= best{level}.cut {cases} END"
+
+
+@query(
+    f"""{SMALL_SQL}, {STREAMS_SQL}, u AS (SELECT sm.*, tree, {U_SQL} AS u FROM sm, bags),
+rows0 AS (SELECT * EXCLUDE (u), CASE WHEN yr <= 2000 THEN {WEIGHT_SQL} ELSE 0 END AS w, 0 AS node FROM u),
+drawn0 AS (SELECT * FROM rows0 WHERE w > 0), {level_sql(0)},
+rows1 AS (SELECT rows0.* EXCLUDE (node), CASE WHEN {side_sql(0)} THEN 2 ELSE 1 END AS node FROM rows0 JOIN best0 USING (tree)),
+drawn1 AS (SELECT * FROM rows1 WHERE w > 0), {level_sql(1)},
+leaves AS (SELECT hh_id, CASE WHEN best1.feature IS NULL THEN nodes1.sa / nodes1.ha WHEN {side_sql(1)} THEN best1.sr / best1.hr
+  ELSE (best1.sa - best1.sr) / (best1.ha - best1.hr) END AS p
+  FROM rows1 JOIN nodes1 USING (tree, node) LEFT JOIN best1 USING (tree, node))
+SELECT hh_id, round(avg(p), 6) AS pred FROM leaves GROUP BY hh_id"""
+)
+def forest_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean prediction of five trees of depth two over line count and dummies, two features tried per node."""
+    prepared, preparation = small_fit(spark, sf_dir)
+    forest_settings = ForestSettings(n_trees=TREES, max_depth=2, max_features=TRIED, seed=SEED)
+    forest, binned = fit_forest(prepared.filter(is_train()), preparation, forest_settings)
+    binned.unpersist()
+    return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
+
+
 REPEATS = 3
 BLOCKS = 7
 SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(
