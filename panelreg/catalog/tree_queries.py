@@ -11,7 +11,7 @@ from panelreg.catalog.base import (
 )
 from panelreg.functions.hashing import RANGE, poisson_array, poisson_steps, stream_word
 from panelreg.functions.target import to_learning_scale
-from panelreg.operators.boosting import BoostSettings, fit_boosting, fit_ml_boosting
+from panelreg.operators.boosting import ROWS, BoostSettings, column_mask, fit_boosting, fit_ml_boosting
 from panelreg.operators.evaluate import metric_columns
 from panelreg.operators.forest import ForestSettings, bag_stream, fit_forest, fit_ml_forest
 from panelreg.operators.permutation import SHUFFLE, permutation_importance
@@ -270,53 +270,129 @@ def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIED = 2
 
 
-def level_sql(level: int) -> str:
-    """Cells, gains and the chosen split of every node of ``drawn<level>``, two features being tried per node."""
+def level_sql(
+    level: str, value: str, weight: str, score, valid: str, least: float, tried: int | None = None, features=range(6)
+) -> str:
+    """Cells, gains and the chosen split of every (tree, node) of ``drawn<level>``, for sums of value and weight."""
     running = "PARTITION BY tree, node ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    dummies = " UNION ALL ".join(
-        f"SELECT tree, node, {k} AS feature, 0 AS cut, sum(w * y) AS sr, sum(w) AS hr, count(*) AS cr "
-        f"FROM drawn{level} WHERE d{k} = 1 GROUP BY tree, node"
-        for k in range(1, 6)
-    )
+    sums = f"sum({value}) AS s, sum({weight}) AS h, count(*) AS c"
+    cells = [
+        f"SELECT tree, node, {k} AS feature, 0 AS cut, s AS sr, h AS hr, c AS cr "
+        f"FROM (SELECT tree, node, {sums} FROM drawn{level} WHERE d{k} = 1 GROUP BY tree, node)"
+        for k in features
+        if k
+    ]
+    if 0 in features:
+        cells.append(
+            f"SELECT tree, node, 0 AS feature, n AS cut, sum(s) OVER r AS sr, sum(h) OVER r AS hr, sum(c) OVER r AS cr "
+            f"FROM bins{level} WINDOW r AS ({running})"
+        )
+    chosen = "true" if tried is None else f"turn <= {tried}"
     return f"""
-bins{level} AS (SELECT tree, node, n, sum(w * y) AS s, sum(w) AS h, count(*) AS c FROM drawn{level} GROUP BY tree, node, n),
-cells{level} AS (SELECT tree, node, 0 AS feature, n AS cut, sum(s) OVER r AS sr, sum(h) OVER r AS hr, sum(c) OVER r AS cr
-  FROM bins{level} WINDOW r AS ({running}) UNION ALL {dummies}),
-nodes{level} AS (SELECT tree, node, sum(w * y) AS sa, sum(w) AS ha, count(*) AS ca FROM drawn{level} GROUP BY tree, node),
-gains{level} AS (SELECT * FROM (SELECT *, (sa - sr) * (sa - sr) / (ha - hr) + sr * sr / hr - sa * sa / ha AS gain
-  FROM cells{level} JOIN nodes{level} USING (tree, node) WHERE cr >= 3 AND ca - cr >= 3) WHERE gain > 1e-12),
+bins{level} AS (SELECT tree, node, n, {sums} FROM drawn{level} GROUP BY tree, node, n), cells{level} AS ({" UNION ALL ".join(cells)}),
+nodes{level} AS (SELECT tree, node, sum({value}) AS sa, sum({weight}) AS ha, count(*) AS ca FROM drawn{level} GROUP BY tree, node),
+gains{level} AS (SELECT * FROM (SELECT *, {score("(sa - sr)", "(ha - hr)")} + {score("sr", "hr")} - {score("sa", "ha")} AS gain
+  FROM cells{level} JOIN nodes{level} USING (tree, node) WHERE {valid}) WHERE gain > {least}),
 turns{level} AS (SELECT *, dense_rank() OVER (PARTITION BY tree, node ORDER BY md5(concat_ws(':', tree, node, feature, {SEED}))) AS turn FROM gains{level}),
-best{level} AS (SELECT tree, node, feature, cut, sr, hr, sa, ha FROM (SELECT *, row_number() OVER (PARTITION BY tree, node
+best{level} AS (SELECT tree, node, feature, cut, sr, hr, sa, ha, gain FROM (SELECT *, row_number() OVER (PARTITION BY tree, node
   ORDER BY round(gain / top, 9) DESC, feature, cut) AS place
-  FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM turns{level} WHERE turn <= {TRIED})) WHERE place = 1)"""
+  FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM turns{level} WHERE {chosen})) WHERE place = 1)"""
 
 
-def side_sql(level: int) -> str:
+def side_sql(level: str) -> str:
     """Whether a row goes right at the split of its node."""
     cases = " ".join(f"WHEN {k} THEN d{k} = 1" for k in range(1, 6))
     return f"CASE best{level}.feature WHEN 0 THEN n >= best{level}.cut {cases} END"
 
 
-@query(
-    f"""{SMALL_SQL}, {STREAMS_SQL}, u AS (SELECT sm.*, tree, {U_SQL} AS u FROM sm, bags),
+def forest_level_sql(level: str) -> str:
+    return level_sql(
+        level, "w * y", "w", lambda g, h: f"{g} * {g} / {h}", "cr >= 3 AND ca - cr >= 3", 1e-12, TRIED
+    )
+
+
+TWO_LEVELS_SQL = f"""{SMALL_SQL}, {STREAMS_SQL}, u AS (SELECT sm.*, tree, {U_SQL} AS u FROM sm, bags),
 rows0 AS (SELECT * EXCLUDE (u), CASE WHEN yr <= 2000 THEN {WEIGHT_SQL} ELSE 0 END AS w, 0 AS node FROM u),
-drawn0 AS (SELECT * FROM rows0 WHERE w > 0), {level_sql(0)},
-rows1 AS (SELECT rows0.* EXCLUDE (node), CASE WHEN {side_sql(0)} THEN 2 ELSE 1 END AS node FROM rows0 JOIN best0 USING (tree)),
-drawn1 AS (SELECT * FROM rows1 WHERE w > 0), {level_sql(1)},
-leaves AS (SELECT hh_id, CASE WHEN best1.feature IS NULL THEN nodes1.sa / nodes1.ha WHEN {side_sql(1)} THEN best1.sr / best1.hr
+drawn0 AS (SELECT * FROM rows0 WHERE w > 0), {forest_level_sql("0")},
+rows1 AS (SELECT rows0.* EXCLUDE (node), CASE WHEN {side_sql("0")} THEN 2 ELSE 1 END AS node FROM rows0 JOIN best0 USING (tree)),
+drawn1 AS (SELECT * FROM rows1 WHERE w > 0), {forest_level_sql("1")}"""
+
+
+def _two_levels(spark: SparkSession, sf_dir: str):
+    prepared, preparation = small_fit(spark, sf_dir)
+    forest_settings = ForestSettings(n_trees=TREES, max_depth=2, max_features=TRIED, seed=SEED)
+    forest, binned = fit_forest(prepared.filter(is_train()), preparation, forest_settings)
+    binned.unpersist()
+    return prepared, forest
+
+
+@query(
+    f"""{TWO_LEVELS_SQL}, leaves AS (SELECT hh_id, CASE WHEN best1.feature IS NULL THEN nodes1.sa / nodes1.ha WHEN {side_sql('1')} THEN best1.sr / best1.hr
   ELSE (best1.sa - best1.sr) / (best1.ha - best1.hr) END AS p
   FROM rows1 JOIN nodes1 USING (tree, node) LEFT JOIN best1 USING (tree, node))
 SELECT hh_id, round(avg(p), 6) AS pred FROM leaves GROUP BY hh_id"""
 )
 def forest_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean prediction of five trees of depth two over line count and dummies, two features tried per node."""
-    prepared, preparation = small_fit(spark, sf_dir)
-    forest_settings = ForestSettings(n_trees=TREES, max_depth=2, max_features=TRIED, seed=SEED)
-    forest, binned = fit_forest(prepared.filter(is_train()), preparation, forest_settings)
-    binned.unpersist()
+    prepared, forest = _two_levels(spark, sf_dir)
     return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
 
 
+@query(
+    f"""{TWO_LEVELS_SQL}, used AS (SELECT tree, feature, gain FROM best0 UNION ALL SELECT tree, feature, gain FROM best1),
+shares AS (SELECT feature, sum(gain / total) AS share FROM used JOIN (SELECT tree, sum(gain) AS total FROM used GROUP BY tree) USING (tree) GROUP BY feature)
+SELECT {NAME_SQL} AS feature, round(coalesce(share, 0) / sum(share) OVER (), 6) AS importance FROM range(6) f(feature) LEFT JOIN shares USING (feature)"""
+)
+def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impurity importances of the same trees."""
+    rows = [(name, round(share, 6)) for name, share in _two_levels(spark, sf_dir)[1].importances()]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+ALPHA, GAMMA, CHILD, SUBSAMPLE, SHARE = 3.0, 20.0, 40.0, 0.8, 0.7
+DEEP = BoostSettings(
+    n_rounds=2, learning_rate=RATE, max_depth=2, subsample=SUBSAMPLE, column_share=SHARE, lambda_=LAMBDA, alpha=ALPHA,
+    min_child_weight=CHILD, gamma=GAMMA, seed=SEED,
+)
+
+
+def deep_round_sql(number: int) -> str:
+    """One round of depth two with L1, L2, least gain, least child weight, drawn rows and columns: ``b<n>`` to ``b<n+1>``."""
+    soft = lambda g: f"greatest(abs({g}) - {ALPHA}, 0)"
+    leaf = lambda g, h: f"-sign({g}) * {soft(g)} / ({h} + {LAMBDA})"
+    mask = column_mask(DEEP, number, len(FEATURES))
+    features = [k for k in range(len(FEATURES)) if mask[k]]
+    drawn = f"yr <= 2000 AND {hash_uniform_sql('hh_id', f'{stream_word(SEED, ROWS, number)}::BIGINT')} < {SUBSAMPLE}"
+
+    def level(name: str) -> str:
+        return level_sql(
+            name, "g", "1.0::DOUBLE", lambda g, h: f"pow({soft(g)}, 2) / ({h} + {LAMBDA})",
+            f"hr >= {CHILD} AND ha - hr >= {CHILD}", GAMMA, None, features,
+        )
+
+    low, high = f"{number}a", f"{number}b"
+    return f"""b{number}g AS (SELECT *, pred - y AS g, 0 AS tree, 0 AS node FROM b{number}),
+drawn{low} AS (SELECT * FROM b{number}g WHERE {drawn}), {level(low)},
+b{number}n AS (SELECT b{number}g.* EXCLUDE (node), CASE WHEN {side_sql(low)} THEN 2 ELSE 1 END AS node FROM b{number}g JOIN best{low} USING (tree)),
+drawn{high} AS (SELECT * FROM b{number}n WHERE {drawn}), {level(high)},
+b{number + 1} AS (SELECT * EXCLUDE (g, tree, node, pred, leaf), pred + {RATE} * leaf AS pred FROM (SELECT b{number}n.*,
+  CASE WHEN best{high}.feature IS NULL THEN {leaf(f"nodes{high}.sa", f"nodes{high}.ha")}
+    WHEN {side_sql(high)} THEN {leaf(f"best{high}.sr", f"best{high}.hr")}
+    ELSE {leaf(f"(best{high}.sa - best{high}.sr)", f"(best{high}.ha - best{high}.hr)")} END AS leaf
+  FROM b{number}n JOIN nodes{high} USING (tree, node) LEFT JOIN best{high} USING (tree, node)))"""
+
+
+@query(
+    f"""{SMALL_SQL}, b0 AS (SELECT *, (SELECT avg(y) FROM sm WHERE yr <= 2000) AS pred FROM sm), {deep_round_sql(0)}, {deep_round_sql(1)}
+SELECT hh_id, round(pred, 6) AS pred FROM b2"""
+)
+def boost_regularized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of depth two with both penalties, least gain and child weight, and rows and columns drawn by hash."""
+    prepared, preparation = small_fit(spark, sf_dir)
+    model = fit_boosting(prepared.filter(is_train()), preparation, DEEP)
+    return prepared.select("hh_id", F.round(model.score(), 6).alias("pred"))
+
+
 REPEATS = 3
 BLOCKS = 7
 SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(

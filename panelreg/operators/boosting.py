@@ -108,7 +108,7 @@ def fit_boosting(
     curve: list[float] = []
     try:
         for number in range(settings.n_rounds):
-            mask = _column_mask(settings, number, len(space.features))
+            mask = column_mask(settings, number, len(space.features))
             (tree,) = grow_trees(
                 table.frame,
                 space,
@@ -137,7 +137,7 @@ def fit_boosting(
         table.drop()
 
 
-def _column_mask(settings: BoostSettings, number: int, count: int) -> np.ndarray | None:
+def column_mask(settings: BoostSettings, number: int, count: int) -> np.ndarray | None:
     if settings.column_share >= 1.0 or count == 0:
         return None
     stream = stream_word(settings.seed, COLUMNS, number)
