@@ -349,7 +349,7 @@ def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-ALPHA, GAMMA, CHILD, SUBSAMPLE, SHARE = 3.0, 20.0, 40.0, 0.8, 0.7
+ALPHA, GAMMA, CHILD, SUBSAMPLE, SHARE = 3.0, 2000.0, 40.0, 0.8, 0.7
 DEEP = BoostSettings(
     n_rounds=2, learning_rate=RATE, max_depth=2, subsample=SUBSAMPLE, column_share=SHARE, lambda_=LAMBDA, alpha=ALPHA,
     min_child_weight=CHILD, gamma=GAMMA, seed=SEED,
