@@ -18,15 +18,17 @@ bucket's leader, and the bucket is split by each other band, where the same rule
 remains for what is still large. So a node has a bounded number of partners on average, however many share
 a bucket, and two similar nodes meet in many buckets with different leaders.
 
-Verification computes the exact similarity of each pair, once. Components come from large-star and
-small-star rounds, each written to the shared folder.
+Verification computes the exact similarity of pairs: first one pair for each node, then those of the
+others whose nodes aren't in one component yet, which leaves the components as they would be with all.
+Components come from large-star and small-star rounds, each written to the shared folder.
 
 Signatures are made batch by batch; buckets, leaders and components are grouped with partial aggregates,
 and joins on hot buckets have a unique key on their other side, so adaptive execution can split them.
 
 Defined results: null texts are empty ones; texts without words are alike if equal; texts of fewer than
 ``SHINGLE`` words are one shingle; a repeated doc_id counts once per text; an empty table gives no rows;
-other columns are ignored.
+rows without doc_id take part as copies only; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ SIZE, BANDS = 64, 16
 SMALL = 6
 #: Leaders differ between so many groups of bands.
 ORDERS = 4
+#: Nodes to verify are sent to the tasks that read the texts up to so many, joined by a shuffle above.
+SENT_ROWS = 1_000_000
 #: Components left empty at the first attempt: SIZE * exp(-SPARE) of a text's SIZE components.
 SPARE = np.log(SIZE) + 4
 
@@ -148,12 +152,15 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def bag_name(code: np.ndarray, weight: np.ndarray) -> bytes:
-    return hashlib.md5(code.tobytes() + weight.astype(np.int64).tobytes()).digest()
+def bag_names(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int) -> list[bytes]:
+    """A digest of each text's multiset."""
+    cuts = np.searchsorted(owner, np.arange(texts + 1)).tolist()
+    both = np.stack([code, weight.astype(np.uint64)], 1)
+    return [hashlib.md5(both[a:b].tobytes()).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, node (the name of the multiset) and bands (keys) of every document."""
+    """doc_id, name (of the multiset) and bands (keys) of every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +170,17 @@ def signed(documents: DataFrame) -> DataFrame:
                 n = part.stop - part.start
                 owner, code, weight = shingle_bags(texts[part])
                 keys = band_keys(signatures(owner, code, weight, n))
-                cuts = np.searchsorted(owner, np.arange(n + 1))
-                names = [bag_name(code[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [batch["doc_id"][part], pa.array(names, pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands"])
+                columns = [batch["doc_id"][part], pa.array(bag_names(owner, code, weight, n), pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "bands"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name binary, bands array<bigint>")
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<bigint>")
 
+def bags(texts: DataFrame) -> DataFrame:
+    """node and elements, its shingles with the number of the repeat mixed in, of rows (node, name, text).
 
-def bags(documents: DataFrame) -> DataFrame:
-    """node and elements, its shingles with the number of the repeat mixed in."""
+    Rows whose text doesn't have the name, as repeated doc_ids bring about, are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,14 +189,15 @@ def bags(documents: DataFrame) -> DataFrame:
                 n = part.stop - part.start
                 owner, code, weight = shingle_bags(texts[part])
                 cuts = np.searchsorted(owner, np.arange(n + 1))
-                names = [bag_name(code[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 repeat = ragged(np.zeros(len(code), np.int64), weight).astype(np.uint64)
                 flat = mixed(np.repeat(code, weight) + repeat * _REPEAT).astype(np.int64)
                 ends = np.append(0, np.cumsum(weight))[cuts].astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], ["node", "elements"])
+                made = pa.RecordBatch.from_arrays([batch["node"][part], lists], ["node", "elements"])
+                asked = batch["name"][part].to_pylist()
+                yield made.filter(pa.array([x == y for x, y in zip(asked, bag_names(owner, code, weight, n), strict=True)]))
 
-    return documents.select("text").mapInArrow(run, "node binary, elements array<bigint>")
+    return texts.select("node", "name", "text").mapInArrow(run, "node bigint, elements array<bigint>")
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
@@ -200,34 +208,36 @@ def written(frame: DataFrame, label: str) -> DataFrame:
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from rows of (bucket, rank, node, ...): all pairs of small buckets, leader pairs of larger
-    ones; and the rows of the larger ones."""
-    entry = F.struct("rank", "node")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("leader")).where("n > 1")
-    shared = rows.join(sizes, "bucket")
+    """Pairs (a < b) from rows of (bucket, rank, node): all pairs of small buckets, leader pairs of larger ones;
+    and the rows of the larger ones."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "rank").alias("leader")).where("n > 1")
+    shared = written(rows.join(sizes, "bucket"), "buckets")
     few = shared.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     first = few.select(F.posexplode("nodes").alias("i", "a"), "nodes")
     every = first.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SMALL))).alias("b"))
     many = shared.where(F.col("n") > SMALL)
-    lead = F.col("leader")["node"]
-    star = many.where(F.col("node") != lead).select(F.least("node", lead).alias("a"), F.greatest("node", lead).alias("b"))
+    star = many.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     return every.unionByName(star), many.drop("n", "leader")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a band."""
+    """Distinct pairs (a < b) of nodes that share a band."""
     rank = F.xxhash64("node", F.col("band") % ORDERS)
-    rows = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket"))
-    pairs, large = bucket_pairs(rows.select("bucket", rank.alias("rank"), "node", "bands", "band"))
-    split = large.select("node", "rank", "bucket", "band", F.posexplode("bands").alias("other", "key"))
-    again = split.where(F.col("other") != F.col("band")).select(
-        F.xxhash64("bucket", "key").alias("bucket"), "rank", "node"
-    )
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    pairs, large = bucket_pairs(rows.select("bucket", rank.alias("rank"), "node"))
+    split = large.join(nodes.select("node", "bands"), "node").select("node", "rank", "bucket", F.explode("bands").alias("key"))
+    again = split.where("key <> bucket").select(F.xxhash64("bucket", "key").alias("bucket"), "rank", "node")
     return pairs.unionByName(bucket_pairs(again)[0]).distinct()
 
 
-def links(pairs: DataFrame, elements: DataFrame, near: float = NEAR) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, near: float = NEAR) -> DataFrame:
     """The pairs whose weighted Jaccard similarity is at least ``near``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = written(nodes.join(asked, "node").select("node", "name", F.col("least").alias("doc_id")), "asked")
+    if named.count() <= SENT_ROWS:
+        named = F.broadcast(named)
+    texts = documents.select("doc_id", "text").join(named, "doc_id")
+    elements = bags(texts).groupBy("node").agg(F.first("elements").alias("elements"))
     shared = F.size(F.array_intersect("ea", "eb"))
     a = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
@@ -268,17 +278,28 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(documents: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents) for every document."""
     rows = written(signed(documents), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    named = rows.groupBy("name").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+    )
+    nodes = written(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = written(candidates(nodes), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one_each = nodes.join(asked, "node").select(F.col("least").alias("doc_id"))
-    texts = documents.select("doc_id", "text").join(one_each, "doc_id", "left_semi")
-    elements = bags(texts).dropDuplicates(["node"])
-    roots = components(links(pairs, elements, near))
-    placed = nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = placed.join(classes, "root").select("node", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "class_size")
+    # one pair for each node first; of the others only those that would join two components
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = written(links(first, nodes, documents, near), "links")
+    roots = components(found)
+    apart = with_root(with_root(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
+    rest = written(apart.join(first, ["a", "b"], "left_anti"), "pairs")
+    roots = components(found.unionByName(links(rest, nodes, documents, near)))
+    placed = with_root(nodes.select("node", "name", "least", "copies"), roots, "node")
+    classes = placed.groupBy("root_node").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    known = placed.join(classes, "root_node").select("name", "class_id", "class_size")
+    return rows.select("doc_id", "name").join(known, "name").select("doc_id", "class_id", "class_size")
+
+
+def with_root(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """Add root_<node>, the root of that column's node; a node without links is its own."""
+    named = roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+    return rows.join(named, node, "left").withColumn(f"root_{node}", F.coalesce(f"root_{node}", node))
 
 
 @register()
