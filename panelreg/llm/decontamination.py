@@ -4,7 +4,7 @@ Words are the lower-case runs of letters and digits; shingles are five of them (
 one shingle of their own length). Steps, all of them built-in column functions:
 
 1. Windows. An item-sized window can only be similar to an item if they share a shingle, so a window is
-   laid at every place where a shared shingle puts the item's first word; runs of shared shingles lay one
+   laid at every place where a shared shingle puts the item's first word (a shorter text is one window); runs of shared shingles lay one
    window. Moving a window off all these places never raises the number of shared shingles in it. The
    shingles of the items are broadcast, in slices of at most ``SENT_ROWS`` rows, one pass over the documents
    for each slice; texts are never shuffled.
@@ -139,7 +139,7 @@ def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
             found = placed.withColumn("shingle", shingle_at(words, F.col("place"), width)).join(sent, "shingle")
             same_before = (F.col("place") > 0) & (shingle_at(words, F.col("place") - 1, width) == F.col("before"))
             start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.size("words") - F.col("size")))
-            begun = found.where((F.size("words") >= F.col("size")) & ~F.coalesce(same_before, F.lit(False)))
+            begun = found.where(~F.coalesce(same_before, F.lit(False)))
             window = F.slice(words, start + 1, F.col("size"))
             laid.append(begun.select("doc_id", "size", start.alias("start"), window.alias("words")))
     if not laid:
