@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelreg.functions.hashing import poisson_array, stream_word, uniform_array
+from panelreg.functions.hashing import poisson_array, stream_word
 from panelreg.operators.preprocess import Preparation
 from panelreg.operators.trees import (
     MAX_BINS, FeatureSpace, PackedTree, RowRule, SplitRules, Tree,
