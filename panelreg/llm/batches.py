@@ -27,6 +27,26 @@ def worker_store(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class Recent:
+    """A dictionary of at most about twice ``size`` entries that forgets what wasn't asked for lately."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: Sequence[int]) -> list[int]:
+        """Places of the keys that aren't known; the others are in ``new`` afterwards."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        new, old, found = self.new, self.old, []
+        for i, key in enumerate(keys):
+            if key not in new:
+                if key in old:
+                    new[key] = old[key]
+                else:
+                    found.append(i)
+        return found
+
+
 def parts(lengths: Sequence[int], limit: int = PART_CHARS) -> Iterator[slice]:
     """Neighbouring rows that have at most ``limit`` characters together, or are a single row."""
     first, total = 0, 0

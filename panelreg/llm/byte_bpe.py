@@ -29,6 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from panelreg.llm.batches import (
     LETTER,
     SPACE,
+    Recent,
     char_classes,
     codepoints,
     parts,
@@ -38,7 +39,7 @@ from panelreg.llm.batches import (
 from panelreg.llm.registry import register, table
 
 ROW_BYTES = 48
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 NO_RANK = np.iinfo(np.int32).max
 
 #: The endings that the pattern cuts off behind an apostrophe.
@@ -212,21 +213,20 @@ def merger(path: str) -> Merger:
     return store[path]
 
 
-def encode_texts(texts: list[str], rules: Merger, known: dict[int, list[int]]) -> list[list[int]]:
+def encode_texts(texts: list[str], rules: Merger, known: Recent) -> list[list[int]]:
     """Ids of each text; ``known`` carries the words of earlier texts."""
     cps, ends = codepoints(texts)
     starts = word_cuts(cps, ends)
     stops = np.append(starts[1:], len(cps))
     hashes, first, place = np.unique(run_hashes(cps, starts, stops), return_index=True, return_inverse=True)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = [i for i, h in enumerate(hashes.tolist()) if h not in known]
+    names = hashes.tolist()
+    new = known.missing(names)
     if new:
         text = "".join(texts)
         words = [text[starts[first[i]] : stops[first[i]]].encode("utf-8", "surrogatepass") for i in new]
         for i, ids in zip(new, rules.encode_words(words), strict=True):
-            known[int(hashes[i])] = ids.tolist()
-    words = [known[h] for h in hashes.tolist()]
+            known.new[names[i]] = ids.tolist()
+    words = list(map(known.new.__getitem__, names))
     cuts = np.searchsorted(starts, ends)
     spread = map(words.__getitem__, place.tolist())
     made = []
@@ -245,7 +245,8 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, known = merger(path), worker_store(f"words of {path}")
+        rules = merger(path)
+        known = worker_store("words").setdefault(path, Recent(CACHE_WORDS))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for part in parts([len(t) for t in texts]):

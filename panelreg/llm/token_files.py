@@ -38,12 +38,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelreg.llm.batches import codepoints, parts, ragged, run_hashes, worker_store
+from panelreg.llm.batches import Recent, codepoints, parts, ragged, run_hashes, worker_store
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
 FILE_BYTES = 8 << 20
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 JOINED = 256
 END_ID = 2
 MASK = 0xA282EAD8
@@ -83,21 +83,25 @@ class PieceEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[int, bytes] = {}
+        self.known = Recent(CACHE_PIECES)
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def joined_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of single words, many words to a call: the last id of a word says so."""
-        found: list[list[int]] = []
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def joined_ids(self, words: list[str]) -> list[bytes]:
+        """Packed ids of single words, many words to a call: the last id of a word says so."""
+        found: list[bytes] = []
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for group, ids in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
-            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.width).tolist()
             if len(stops) != len(group):
-                found += self.ids(group)
+                found += map(self.packed, self.ids(group))
             else:
-                found += [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+                data = self.packed(ids)
+                found += [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -117,7 +121,7 @@ class PieceEncoder:
         starts, stops = starts[real], stops[real]
         hashes, first, place = np.unique(run_hashes(chars, starts, stops), return_index=True, return_inverse=True)
         self.learn(hashes, chars, kind, starts[first], stops[first])
-        data = [self.known[h] for h in hashes.tolist()]
+        data = list(map(self.known.new.__getitem__, hashes.tolist()))
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.width
         flat = np.frombuffer(b"".join(data), f"<u{self.width}")
         offsets = np.cumsum(sizes) - sizes
@@ -132,17 +136,18 @@ class PieceEncoder:
         return made
 
     def learn(self, hashes: np.ndarray, chars: np.ndarray, kind: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = [i for i, h in enumerate(hashes.tolist()) if h not in self.known]
-        text = chars.tobytes().decode("utf-32-le", "surrogatepass") if new else ""
-        words, mixtures = [], []
-        for i in new:
-            a, b = int(starts[i]), int(stops[i])
-            (mixtures if (kind[a:b] == _GLUE).any() else words).append((int(hashes[i]), text[a:b]))
-        for group, encode in ((words, self.joined_ids), (mixtures, self.ids)):
-            for (h, _), ids in zip(group, encode([w for _, w in group]), strict=True):
-                self.known[h] = np.array(ids, f"<u{self.width}").tobytes()
+        """Encode the pieces that aren't known yet: single words many at a time, mixtures one by one."""
+        names = hashes.tolist()
+        new = np.array(self.known.missing(names), np.int64)
+        if not len(new):
+            return
+        text = chars.tobytes().decode("utf-32-le", "surrogatepass")
+        glued = np.append(0, np.cumsum(kind == _GLUE))
+        mixture = glued[stops[new]] > glued[starts[new]]
+        for group, encode in ((new[~mixture], self.joined_ids), (new[mixture], lambda x: map(self.packed, self.ids(x)))):
+            pieces = [text[a:b] for a, b in zip(starts[group].tolist(), stops[group].tolist(), strict=True)]
+            for i, data in zip(group.tolist(), encode(pieces), strict=True):
+                self.known.new[names[i]] = data
 
 
 def piece_encoder(path: str) -> PieceEncoder:

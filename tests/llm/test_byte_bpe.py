@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
+from panelreg.llm.batches import Recent
 from panelreg.llm.byte_bpe import digest_tokens, encode_documents, encode_texts, merger
 from panelreg.llm.queries import QUERIES
 
@@ -23,14 +24,14 @@ LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_
 @given(st.lists(st.one_of(st.text(st.sampled_from("'sretvmldab \n\té1.日"), max_size=60), st.text(max_size=30)), max_size=4))
 def test_library_agrees(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    ids = encode_texts(texts, RULES, {})
+    ids = encode_texts(texts, RULES, Recent(50))
     assert ids == [LIBRARY.encode_ordinary(t) for t in texts]
     assert [RULES.decode(i) for i in ids] == [t.encode() for t in texts]
 
 
 def test_long_words():
     texts = ["a" * 30_000, "ab" * 9_000, "é" * 700, "x" * 49 + "'s"]
-    assert encode_texts(texts, RULES, {}) == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert encode_texts(texts, RULES, Recent(50)) == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
 def test_query(spark):
