@@ -8,7 +8,7 @@ from panelreg.llm import toxicity
 from panelreg.llm.queries import QUERIES
 from panelreg.llm.toxicity import STRIDE, WINDOW, first_params, fit, gradient, learn, logits, read_words, score_texts, score_toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_gradient_against_differences():
@@ -59,12 +59,12 @@ def test_long_texts_show_their_worst_window():
 def test_held_out_accuracy(spark):
     rows = QUERIES["op8_bigru_toxicity"](spark, SF).toPandas().set_index("doc_id")
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id")["toxic"]
-    assert len(rows) == 1000 and rows["score"].between(0, 1).all()
+    assert len(rows) == 10_000 and rows["score"].between(0, 1).all()
     assert (rows["predicted"] == (rows["score"] >= 0.3)).all()
     held = rows[rows["held_out"] & rows.index.isin(labels.index)]
     truth = labels.loc[held.index]
-    assert (held["predicted"] == truth).mean() > 0.9
-    assert held.loc[truth == 1, "predicted"].mean() > 0.5
+    assert (held["predicted"] == truth).mean() > 0.95
+    assert held.loc[truth == 1, "predicted"].mean() > 0.75
 
 
 def test_odd_rows(spark):
