@@ -16,7 +16,13 @@ Candidates. Equal multisets are one node from the start. Each of ``BANDS`` bands
 key. Buckets of up to ``SMALL`` nodes give all their pairs; in larger ones every node is paired with the
 bucket's leader, and the bucket is split by each other band, where the same rule holds and the leader alone
 remains for what is still large. So a node has a bounded number of partners on average, however many share
-a bucket, and two similar nodes meet in many buckets with different leaders.
+a bucket, and two similar nodes meet in many buckets with different leaders. That is a first pass: large
+buckets whose nodes it left in several components are a crowd, and all of a crowd's nodes are joined exactly.
+
+Crowds. A node's elements are put in one order for all, by how often they occur in the crowds (counted in
+2 ** ``SLOT_BITS`` slots of their hash; any order gives all pairs, the count keeps common passages behind). Of two
+nodes of similarity ``NEAR`` the first element they share lies in the first 1 - ``NEAR`` of both, so nodes meet at those
+elements, if they are in different components and the elements that can still follow suffice.
 
 Verification computes the exact similarity of pairs: first one pair for each node, then those of the
 others whose nodes aren't in one component yet, which leaves the components as they would be with all.
@@ -38,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, mixed, parts, ragged, run_hashes, word_runs
 from panelreg.llm.registry import register, table
@@ -52,6 +58,10 @@ SMALL = 6
 ORDERS = 4
 #: Nodes to verify are sent to the tasks that read the texts up to so many, joined by a shuffle above.
 SENT_ROWS = 1_000_000
+#: Counts of elements in crowds are kept for so many bits of their hash.
+SLOT_BITS = 18
+#: Bounds of sizes and places give way by so much to rounding.
+SLACK = 1e-6
 #: Components left empty at the first attempt: SIZE * exp(-SPARE) of a text's SIZE components.
 SPARE = np.log(SIZE) + 4
 
@@ -177,27 +187,73 @@ def signed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name binary, bands array<bigint>")
 
 
+def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Nodes, their elements one after the other, and where each node's end, of rows (node, name, text).
+
+    Elements are shingles with the number of the repeat mixed in. Rows whose text doesn't have the name, as
+    repeated doc_ids bring about, are left out."""
+    for batch in batches:
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        for part in parts([len(t) for t in texts]):
+            n = part.stop - part.start
+            owner, code, weight = shingle_bags(texts[part])
+            asked = batch["name"][part].to_pylist()
+            same = np.array([x == y for x, y in zip(asked, bag_names(owner, code, weight, n), strict=True)])
+            mine = same[owner]
+            owner, code, weight = (np.cumsum(same) - 1)[owner[mine]], code[mine], weight[mine]
+            cuts = np.searchsorted(owner, np.arange(int(same.sum()) + 1))
+            repeat = ragged(np.zeros(len(code), np.int64), weight).astype(np.uint64)
+            flat = mixed(np.repeat(code, weight) + repeat * _REPEAT)
+            yield batch["node"][part].filter(pa.array(same)), flat, np.append(0, np.cumsum(weight))[cuts]
+
+
 def bags(texts: DataFrame) -> DataFrame:
-    """node and elements, its shingles with the number of the repeat mixed in, of rows (node, name, text).
+    """node and elements of rows (node, name, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, flat, ends in read_bags(batches):
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([node, lists], ["node", "elements"])
 
-    Rows whose text doesn't have the name, as repeated doc_ids bring about, are left out."""
+    return texts.mapInArrow(run, "node bigint, elements array<bigint>")
+
+
+def slots_of(flat: np.ndarray) -> np.ndarray:
+    return (flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many elements of the rows (node, name, text) fall in each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in parts([len(t) for t in texts]):
-                n = part.stop - part.start
-                owner, code, weight = shingle_bags(texts[part])
-                cuts = np.searchsorted(owner, np.arange(n + 1))
-                repeat = ragged(np.zeros(len(code), np.int64), weight).astype(np.uint64)
-                flat = mixed(np.repeat(code, weight) + repeat * _REPEAT).astype(np.int64)
-                ends = np.append(0, np.cumsum(weight))[cuts].astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(flat))
-                made = pa.RecordBatch.from_arrays([batch["node"][part], lists], ["node", "elements"])
-                asked = batch["name"][part].to_pylist()
-                yield made.filter(pa.array([x == y for x, y in zip(asked, bag_names(owner, code, weight, n), strict=True)]))
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, flat, _ in read_bags(batches):
+            total += np.bincount(slots_of(flat), minlength=len(total))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+
+    found = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    # only the order counts
+    return np.unique(counts, return_inverse=True)[1].astype(np.int32)
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, near: float) -> DataFrame:
+    """node, size (elements) and, rarest first, the elements of which near nodes share one."""
 
-    return texts.select("node", "name", "text").mapInArrow(run, "node bigint, elements array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, flat, ends in read_bags(batches):
+            size = np.diff(ends)
+            owner = np.repeat(np.arange(len(size)), size)
+            flat = flat[np.lexsort((flat, counts[slots_of(flat)], owner))]
+            place = ragged(np.zeros(len(size), np.int64), size)
+            kept = place <= (1 - near) * size[owner] + SLACK
+            cuts = np.append(0, np.cumsum(np.bincount(owner[kept], minlength=len(size)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(cuts, pa.array(flat[kept].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(size), lists], ["node", "size", "elements"])
+
+    return texts.mapInArrow(run, "node bigint, size bigint, elements array<bigint>")
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
@@ -220,24 +276,68 @@ def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.unionByName(star), many.drop("n", "leader")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a band."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of nodes that share a band, leader pairs in large buckets; and bucket and node of those."""
     rank = F.xxhash64("node", F.col("band") % ORDERS)
     rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     pairs, large = bucket_pairs(rows.select("bucket", rank.alias("rank"), "node"))
     split = large.join(nodes.select("node", "bands"), "node").select("node", "rank", "bucket", F.explode("bands").alias("key"))
     again = split.where("key <> bucket").select(F.xxhash64("bucket", "key").alias("bucket"), "rank", "node")
-    return pairs.unionByName(bucket_pairs(again)[0]).distinct()
+    return pairs.unionByName(bucket_pairs(again)[0]).distinct(), large.select("bucket", "node")
 
 
-def links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, near: float = NEAR) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity is at least ``near``."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def crowds(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """node and root of the nodes in large buckets that hold more than one component."""
+    rows = with_root(large, roots, "node").withColumnRenamed("root_node", "root")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rows.join(several.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
+
+
+def crowd_pairs(crowd: DataFrame, nodes: DataFrame, documents: DataFrame, near: float) -> DataFrame:
+    """Distinct pairs (a < b) from rows (node, root): all of at least ``near`` and different roots, and some others."""
+    texts = texts_of(crowd.select("node"), nodes, documents)
+    kept = prefixes(texts, slot_counts(texts), near).groupBy("node").agg(
+        F.first("size").alias("size"), F.first("elements").alias("elements")
+    )
+    placed = kept.join(crowd, "node").select("node", "root", "size", F.posexplode("elements").alias("place", "element"))
+    rows = written(placed.select("element", "node", "root", "size", (F.col("size") - F.col("place")).alias("after")), "prefixes")
+    several = rows.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = written(rows.join(several.select("element"), "element", "left_semi"), "prefixes")
+
+    def side(frame: DataFrame, label: str) -> DataFrame:
+        return frame.withColumnsRenamed({c: f"{c}_{label}" for c in frame.columns if c != "element"})
+
+    def enough(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
+        """Sizes are near enough, and what follows the shared element can make up the similarity."""
+        alike = (F.col(high_a) + SLACK >= F.col(low_b) * near) & (F.col(high_b) + SLACK >= F.col(low_a) * near)
+        needed = (F.col(low_a) + F.col(low_b)) * (near / (1 + near))
+        return alike & (F.least("after_a", "after_b") + SLACK >= needed)
+
+    # components first, so that nodes of one component never meet
+    parts_ = rows.groupBy("element", "root").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("after").alias("after")
+    )
+    met = side(parts_, "a").join(side(parts_, "b"), "element").where("root_a < root_b").where(
+        enough("low_a", "high_a", "low_b", "high_b")
+    )
+    met = met.select("element", "root_a", "root_b")
+    both = met.join(side(rows, "a"), ["element", "root_a"]).join(side(rows, "b"), ["element", "root_b"])
+    pairs = both.where(enough("size_a", "size_a", "size_b", "size_b"))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def texts_of(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, name and text of the asked nodes."""
     named = written(nodes.join(asked, "node").select("node", "name", F.col("least").alias("doc_id")), "asked")
     if named.count() <= SENT_ROWS:
         named = F.broadcast(named)
-    texts = documents.select("doc_id", "text").join(named, "doc_id")
-    elements = bags(texts).groupBy("node").agg(F.first("elements").alias("elements"))
+    return documents.select("doc_id", "text").join(named, "doc_id").select("node", "name", "text")
+
+
+def links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, near: float = NEAR) -> DataFrame:
+    """The pairs whose weighted Jaccard similarity is at least ``near``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    elements = bags(texts_of(asked, nodes, documents)).groupBy("node").agg(F.first("elements").alias("elements"))
     shared = F.size(F.array_intersect("ea", "eb"))
     a = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
@@ -275,6 +375,19 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def joined(pairs: DataFrame, found: DataFrame | None, nodes: DataFrame, documents: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
+    """Links and components of the pairs and of the links found before."""
+    # one pair for each node first; of the others only those that would join two components
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    fresh = written(links(first, nodes, documents, near), "links")
+    found = found.unionByName(fresh) if found is not None else fresh
+    roots = components(found)
+    apart = with_root(with_root(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
+    rest = written(apart.join(first, ["a", "b"], "left_anti"), "pairs")
+    found = written(found.unionByName(links(rest, nodes, documents, near)), "links")
+    return found, components(found)
+
+
 def near_classes(documents: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents) for every document."""
     rows = written(signed(documents), "signatures")
@@ -282,14 +395,12 @@ def near_classes(documents: DataFrame, near: float = NEAR) -> DataFrame:
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
     nodes = written(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = written(candidates(nodes), "pairs")
-    # one pair for each node first; of the others only those that would join two components
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = written(links(first, nodes, documents, near), "links")
-    roots = components(found)
-    apart = with_root(with_root(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
-    rest = written(apart.join(first, ["a", "b"], "left_anti"), "pairs")
-    roots = components(found.unionByName(links(rest, nodes, documents, near)))
+    pairs, large = candidates(nodes)
+    found, roots = joined(written(pairs, "pairs"), None, nodes, documents, near)
+    crowd = written(crowds(large, roots), "crowd")
+    if not crowd.isEmpty():
+        pairs = written(crowd_pairs(crowd, nodes, documents, near), "pairs")
+        found, roots = joined(pairs, found, nodes, documents, near)
     placed = with_root(nodes.select("node", "name", "least", "copies"), roots, "node")
     classes = placed.groupBy("root_node").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     known = placed.join(classes, "root_node").select("name", "class_id", "class_size")

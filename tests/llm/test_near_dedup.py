@@ -89,6 +89,23 @@ def test_groups_and_odd_rows(spark):
     assert near_classes(frame.limit(0)).count() == 0
 
 
+def test_pairs_that_share_a_passage(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(150)]
+    docs = []
+    for pair in range(150):
+        own = [f"o{pair}x{i}" for i in range(30)]
+        docs.append((2 * pair, " ".join(passage + own)))
+        for at in (4, 14, 22):
+            own[at + rng.randrange(3)] = f"n{pair}x{at}"
+        docs.append((2 * pair + 1, " ".join(passage + own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_classes(frame).collect()}
+    x, y = bag(docs[0][1]), bag(docs[1][1])
+    assert sum((x & y).values()) / sum((x | y).values()) >= 0.8
+    assert [k for k, c in found.items() if c != k - k % 2] == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60) if i % 13] + [(100, i) for i in range(101, 140)]
