@@ -5,8 +5,8 @@ folder and reads them again, so a lost executor costs at most one stage. Stages
 of documents, the last adds the token ids and their number. A stage reads the other tables it needs from
 ``sf_dir``.
 
-Repeated doc_ids count as one document where documents are dropped by name; a row without doc_id is only
-dropped by the stages that look at its text alone.
+Every row is a document, also those with a repeated doc_id or none: the stages that drop by name write their
+rows with a key first, and drop by that key.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelreg.llm.byte_bpe import encode_documents
 from panelreg.llm.decontamination import contaminated
 from panelreg.llm.language import UNKNOWN, held_out, labelled_texts, predict_language
-from panelreg.llm.near_dedup import near_classes
+from panelreg.llm.near_dedup import near_classes, written
 from panelreg.llm.registry import table
 from panelreg.llm.toxicity import fit, score_toxicity, with_labels
 from panelreg.session import new_path
 
+#: The column of a row's key inside a stage.
+KEY = "_row_key"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, learned from the labelled ones among them, doesn't call toxic."""
@@ -35,16 +38,33 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return predicted.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row, written, so that it is the same whenever it is read."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """key (as doc_id) and text."""
+    return docs.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class."""
-    gone = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least doc_id of each near-duplicate class; those without doc_id come last."""
+    rows = keyed(docs)
+    classes = near_classes(by_key(rows)).where("class_size > 1").select(F.col("doc_id").alias(KEY), "class_id")
+    named = written(rows.select(KEY, "doc_id").join(classes, KEY), "classes")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))
+    kept = named.groupBy("class_id").agg(best[KEY].alias("kept"))
+    gone = named.join(kept, "class_id").where(F.col(KEY) != F.col("kept")).select(KEY)
+    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = contaminated(by_key(rows), table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
     together = laid[0]
     for more in laid[1:]:
         together = together.unionByName(more)
-    return together.dropDuplicates(["doc_id", "size", "start"])
+    return together.dropDuplicates(["doc_id", "size", "start", "words"])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:

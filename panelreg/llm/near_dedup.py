@@ -32,9 +32,9 @@ Signatures are made batch by batch; buckets, leaders and components are grouped
 and joins on hot buckets have a unique key on their other side, so adaptive execution can split them.
 
 Defined results: null texts are empty ones; texts without words are alike if equal; texts of fewer than
-``SHINGLE`` words are one shingle; a repeated doc_id counts once per text; an empty table gives no rows;
-rows without doc_id take part as copies only; other columns
-are ignored.
+``SHINGLE`` words are one shingle; every row is a document, also those with a repeated doc_id or none (a
+class_id is null if no document of the class has a doc_id); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -169,8 +169,13 @@ def bag_names(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: in
     return [hashlib.md5(both[a:b].tobytes()).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def read_key() -> Column:
+    """What a text is found by: null and repeated doc_ids don't matter, and ``read_bags`` tells equal keys apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, name (of the multiset) and bands (keys) of every document."""
+    """doc_id, key, name (of the multiset) and bands (keys) of every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,17 +186,18 @@ def signed(documents: DataFrame) -> DataFrame:
                 owner, code, weight = shingle_bags(texts[part])
                 keys = band_keys(signatures(owner, code, weight, n))
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [batch["doc_id"][part], pa.array(bag_names(owner, code, weight, n), pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "bands"])
+                columns = [batch["doc_id"][part], batch["key"][part], pa.array(bag_names(owner, code, weight, n), pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "name", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name binary, bands array<bigint>")
+    rows = documents.select("doc_id", read_key().alias("key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, name binary, bands array<bigint>")
 
 
 def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Nodes, their elements one after the other, and where each node's end, of rows (node, name, text).
 
     Elements are shingles with the number of the repeat mixed in. Rows whose text doesn't have the name, as
-    repeated doc_ids bring about, are left out."""
+    equal keys can bring about, are left out."""
     for batch in batches:
         texts = [t or "" for t in batch["text"].to_pylist()]
         for part in parts([len(t) for t in texts]):
@@ -328,10 +334,10 @@ def crowd_pairs(crowd: DataFrame, nodes: DataFrame, documents: DataFrame, near:
 
 def texts_of(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """node, name and text of the asked nodes."""
-    named = written(nodes.join(asked, "node").select("node", "name", F.col("least").alias("doc_id")), "asked")
+    named = written(nodes.join(asked, "node").select("node", "name", "key"), "asked")
     if named.count() <= SENT_ROWS:
         named = F.broadcast(named)
-    return documents.select("doc_id", "text").join(named, "doc_id").select("node", "name", "text")
+    return documents.select(read_key().alias("key"), "text").join(named, "key").select("node", "name", "text")
 
 
 def links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, near: float = NEAR) -> DataFrame:
@@ -392,7 +398,7 @@ def near_classes(documents: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents) for every document."""
     rows = written(signed(documents), "signatures")
     named = rows.groupBy("name").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
     nodes = written(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs, large = candidates(nodes)

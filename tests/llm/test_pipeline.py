@@ -8,6 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from panelreg.llm.byte_bpe import merger
+from panelreg.llm.decontamination import contaminated
 from tests.llm.test_decontamination import brute
 from tests.llm.test_near_dedup import brute_classes
 
@@ -36,6 +37,24 @@ def test_stages(spark):
     assert single.columns == free.columns == columns
 
 
+def test_rows_without_or_with_equal_ids(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    near = [" ".join(f"w{i}" for i in range(100)) + end for end in ("", " x")]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first()["text"]
+    texts = [(None, "one two three"), (None, "one two three"), (1, "a b c"), (1, "a b c"), (2, "p q r"), (3, "p q r"), (3, "own text")]
+    docs = spark.createDataFrame([*texts, (None, near[0]), (None, near[1])], "doc_id long, text string")
+    single = sorted(map(str, (tuple(r) for r in stages["near_dedup"](spark, docs, SF).collect())))
+    left = [r for r in single if "w1 " not in r]
+    assert left == sorted(map(str, [(None, "one two three"), (1, "a b c"), (2, "p q r"), (3, "own text")]))
+    assert len(single) == len(left) + 1
+    docs = spark.createDataFrame([(None, item), (None, "own text"), (1, item), (1, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, near[0])], "item_id long, text string")
+    anonymous = spark.createDataFrame([(None, item), (None, near[0])], "doc_id long, text string")
+    assert {r["item_id"] for r in contaminated(anonymous, items).collect()} == {1, 2}
+    free = stages["decontamination"](spark, docs, SF).collect()
+    assert sorted(map(str, (tuple(r) for r in free))) == sorted(map(str, [(None, "own text"), (1, "other")]))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "n_tokens"]
