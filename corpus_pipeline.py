@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelreg.llm.byte_bpe import encode_documents
 from panelreg.llm.decontamination import contaminated
-from panelreg.llm.language import UNKNOWN, held_out, labelled_texts, predict_language
+from panelreg.llm.language import held_out, labelled_texts, predict_language
 from panelreg.llm.near_dedup import near_classes, written
 from panelreg.llm.registry import table
 from panelreg.llm.toxicity import fit, score_toxicity, with_labels
@@ -33,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those without any letter go."""
+    """Documents whose text has a letter, whether or not a language could be learned."""
     predicted = predict_language(docs, labelled_texts(docs.where(~held_out())))
-    return predicted.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return predicted.where("parsed > 0").select(*docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from panelreg.llm.batches import LETTER, char_classes, codepoints, parts, ragged, worker_store
 from panelreg.llm.registry import register, table
@@ -164,17 +164,18 @@ class Parser:
             np.add.at(row, owner[order], count)
         return totals, sizes
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
+        """Language, score and parsed characters of each text."""
         totals, sizes = self.phrases(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), sizes.tolist()
         entropy = totals * np.array(self.bits)[:, None] / np.maximum(sizes, 1)
         best = entropy.argmin(0)
         names = [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
         ranked = np.sort(entropy, 0)
         second = ranked[1] if len(self.languages) > 1 else np.full(len(texts), np.inf)
         score = np.where(np.isinf(second), 1.0, second / np.maximum(ranked[0] + second, 1e-300))
-        return names, np.where(sizes > 0, score, 0.0).tolist()
+        return names, np.where(sizes > 0, score, 0.0).tolist(), sizes.tolist()
 
 
 def parser(texts: dict[str, list[str]]) -> Parser:
@@ -187,9 +188,9 @@ def parser(texts: dict[str, list[str]]) -> Parser:
 
 
 def predict_language(documents: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
-    """All columns, and lang_pred and score in place of columns of these names."""
-    documents = documents.drop("lang_pred", "score")
-    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    """All columns, and lang_pred, score and parsed (characters; 0 without a letter) in place of columns of these names."""
+    documents = documents.drop("lang_pred", "score", "parsed")
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("parsed", LongType())]
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +198,11 @@ def predict_language(documents: DataFrame, texts: dict[str, list[str]]) -> DataF
         for batch in batches:
             rows = [t or "" for t in batch.column(at).to_pylist()]
             for part in parts([len(t) for t in rows]):
-                names, scores = rules.predict(rows[part])
+                names, scores, parsed = rules.predict(rows[part])
                 piece = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    [*piece.schema.names, "lang_pred", "score"],
+                    [*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(parsed, pa.int64())],
+                    [*piece.schema.names, "lang_pred", "score", "parsed"],
                 )
 
     return documents.mapInArrow(run, StructType([*documents.schema.fields, *added]))
@@ -218,4 +219,4 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     texts = labelled_texts(documents.where(~held_out()))
     rows = documents.select("doc_id", held_out().alias("held_out"), "text")
-    return predict_language(rows, texts).drop("text")
+    return predict_language(rows, texts).drop("text", "parsed")

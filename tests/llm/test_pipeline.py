@@ -55,6 +55,11 @@ def test_rows_without_or_with_equal_ids(spark):
     assert sorted(map(str, (tuple(r) for r in free))) == sorted(map(str, [(None, "own text"), (1, "other")]))
 
 
+def test_texts_without_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "der die das", None), (2, "12 !!", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).collect()] == [1]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "n_tokens"]
