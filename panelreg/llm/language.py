@@ -8,7 +8,8 @@ the least wins. The score is the runner-up's entropy over the sum of both, from
 
 Before, text is mapped to lower-case letters; everything between letters becomes one blank. Missing
 transitions are filled with those of the root and a phrase mark, so that all automata run in lockstep
-over many segments of ``SEGMENT`` characters as one table look-up per step. A phrase also ends at the end
+over many segments of ``SEGMENT`` characters as one table look-up per step; letters beyond the
+``LETTERS_KEPT`` commonest of the sample are looked up in a sorted list of moves. A phrase also ends at the end
 of a segment; that costs every language the same half phrase.
 
 Learning takes whole texts in the order of a hash of the text, ``LEARN_CHARS`` characters over all
@@ -37,6 +38,7 @@ from panelreg.llm.registry import register, table
 LEARN_CHARS = 160_000
 #: So many labelled texts per language are drawn, of which those that fit the bound are used.
 LEARN_TEXTS = 120
+#: The commonest letters have columns in the table; moves by the others are looked up by key.
 LETTERS_KEPT = 60
 SEGMENT = 512
 UNKNOWN = "und"
@@ -120,16 +122,21 @@ class Parser:
         seen = Counter(c for s in streams.values() for c in s.tolist() if c != 0x20)
         self.symbol_of = np.full(0x110000, RARE, np.int32)
         self.symbol_of[0x20] = BLANK
-        for i, (char, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS_KEPT]):
+        for i, (char, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             self.symbol_of[char] = i + 2
         self.width = min(len(seen), LETTERS_KEPT) + 2
+        self.symbols = len(seen) + 2
         tables, self.roots, self.bits, base = [], [], [], 0
+        sparse: dict[int, int] = {}
         for lang in self.languages:
             symbols = self.symbol_of[streams[lang]].tolist()
             moves = suffix_automaton(symbols)
             table_ = np.full((len(moves), self.width), -1, np.int64)
             for state, row in enumerate(moves):
-                table_[state, list(row)] = list(row.values())
+                near = {c: to for c, to in row.items() if c < self.width}
+                table_[state, list(near)] = list(near.values())
+                for c in row.keys() - near.keys():
+                    sparse[(state + base) * self.symbols + c] = (row[c] + base) * self.width * 2 + (state == 0)
             root = np.maximum(table_[0], 0)
             missing = table_ < 0
             table_ = np.where(missing, root, table_)
@@ -140,6 +147,25 @@ class Parser:
             base += len(moves)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+        self.sparse_keys = np.array(sorted(sparse), np.int64)
+        self.sparse_moves = np.array([sparse[k] for k in self.sparse_keys.tolist()], np.int32)
+
+    def sparse_step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the table would say for letters beyond it."""
+
+        def look(states: np.ndarray) -> np.ndarray:
+            keys = states.astype(np.int64) // self.width * self.symbols + symbols
+            if not len(self.sparse_keys):
+                return np.full(keys.shape, -1)
+            at = np.minimum(np.searchsorted(self.sparse_keys, keys), len(self.sparse_keys) - 1)
+            return np.where(self.sparse_keys[at] == keys, self.sparse_moves[at], -1)
+
+        roots = np.array(self.roots, np.int64)[:, None]
+        begun = look(np.broadcast_to(roots, states.shape))
+        begun = np.where(begun < 0, roots * 2 + 1, begun)
+        found = look(states)
+        return np.where(found < 0, begun, found)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per language and text, and the characters that were parsed per text."""
         cps, ends = letters_only(texts)
@@ -156,7 +182,10 @@ class Parser:
         counts = np.zeros((len(self.languages), len(starts)), np.int32)
         live = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
         for step, n in enumerate(live.tolist()):
-            found = self.table[states[:, :n] + symbols[starts[:n] + step]]
+            symbol = symbols[starts[:n] + step]
+            found = self.table[states[:, :n] + np.where(symbol < self.width, symbol, RARE)]
+            if len(far := np.flatnonzero(symbol >= self.width)):
+                found[:, far] = self.sparse_step(states[:, far], symbol[far])
             counts[:, :n] += found & 1
             states[:, :n] = found >> 1
         totals = np.zeros((len(self.languages), len(texts)))

@@ -41,6 +41,26 @@ def test_phrases_are_those_of_a_plain_parse():
     assert BLANK == 0
 
 
+def test_letters_beyond_the_table():
+    rng = random.Random(5)
+    latin, one, two = ([chr(c) for c in span] for span in (range(0x430, 0x430 + 32), range(0x4E00, 0x4E50), range(0x4E30, 0x4E80)))
+    latin += list("abcdefghijklmnopqrstuvwxyz")
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    texts = {"a": [words(one, 300)], "b": [words(two, 300)], "c": [words(latin, 3_000)]}
+    rules = Parser(texts)
+    asked = [words(one, 60), words(two, 60), words(latin, 60), words(one + two + latin, 90) + " \u9fa5\u9fa5"]
+    totals, _ = rules.phrases(asked)
+    for i, text in enumerate(asked):
+        letters = "".join(map(chr, letters_only([text])[0].tolist()))
+        for j, lang in enumerate("abc"):
+            known = "".join(map(chr, letters_only(["\n".join(texts[lang])])[0].tolist()))
+            assert totals[j, i] == sum(plain_phrases(letters[k : k + SEGMENT], known) for k in range(0, len(letters), SEGMENT))
+    assert rules.predict(asked)[0][:3] == ["a", "b", "c"]
+
+
 def test_held_out_accuracy(spark):
     rows = QUERIES["op7_cross_parsing"](spark, SF).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").toPandas().set_index("doc_id")
