@@ -7,7 +7,8 @@ states, and a linear layer gives the window's logit. All overlapping windows (ev
 a text are scored, and the largest logit is that of the text.
 
 Learning: whole texts of labelled rows, drawn by a hash of the text, at most ``LEARN_ROWS`` per label and
-``LEARN_CHARS`` characters long (bounds of the learning sample; scoring has none). A text is labelled,
+``LEARN_CHARS`` characters long (bounds of the learning sample; scoring has none); a label that has only longer
+texts gives its shortest ones. A text is labelled,
 not its windows: after a first pass over windows at random, each step takes the window of each text that
 the network itself finds most toxic. Adam, fixed seeds, so equal samples give equal networks.
 
@@ -298,16 +299,24 @@ def score_texts(params: Params | None, texts: list[str]) -> np.ndarray:
 def labelled_sample(labelled: DataFrame) -> tuple[list[str], list[int]]:
     """A bounded sample of (text, toxic 0 or 1), from columns of these names."""
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.where(F.col("toxic").isin(0, 1) & F.length("text").between(1, LEARN_CHARS))
+    every = rows.where(F.col("toxic").isin(0, 1) & (F.length("text") > 0))
+    rows = every.where(F.length("text") <= LEARN_CHARS)
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
-        return [], []
-    shares = [min(1.0, LEARN_ROWS / counts[label]) for label in (0, 1)]
+    shares = [min(1.0, LEARN_ROWS / counts.get(label, 1)) for label in (0, 1)]
     order = F.xxhash64("text")
     draw = F.shiftrightunsigned(order, 11) / float(1 << 53)
     drawn = rows.where(draw < F.when(F.col("toxic") == 0, shares[0]).otherwise(shares[1]))
     picked = sorted(drawn.distinct().select(order, "text", "toxic").collect())
-    return [r["text"] for r in picked], [r["toxic"] for r in picked]
+    for label in {0, 1} - counts.keys():
+        # its texts are all longer than the bound: the shortest ones stand for it, in the same room altogether
+        mine = every.where(F.col("toxic") == label)
+        sizes = mine.select(F.length("text").alias("n"), order.alias("o")).distinct().orderBy("n", "o").limit(LEARN_ROWS).collect()
+        kept = [r["o"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if total <= LEARN_ROWS * LEARN_CHARS]
+        kept = kept or [r["o"] for r in sizes[:1]]
+        picked += sorted(mine.where(order.isin(kept)).distinct().select(order, "text", "toxic").collect()) if kept else []
+    if len({toxic for _, _, toxic in picked}) < 2:
+        return [], []
+    return [text for _, text, _ in picked], [toxic for _, _, toxic in picked]
 
 
 def fit(labelled: DataFrame) -> Params | None:

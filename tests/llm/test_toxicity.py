@@ -6,7 +6,7 @@ import numpy as np
 
 from panelreg.llm import toxicity
 from panelreg.llm.queries import QUERIES
-from panelreg.llm.toxicity import STRIDE, WINDOW, first_params, fit, gradient, learn, logits, read_words, score_texts, score_toxicity
+from panelreg.llm.toxicity import STRIDE, WINDOW, first_params, fit, gradient, labelled_sample, learn, logits, read_words, score_texts, score_toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -75,3 +75,10 @@ def test_odd_rows(spark):
     assert score_toxicity(rows.limit(0), None).count() == 0
     labelled = spark.createDataFrame([("a", 1), ("b", 1), (None, 0), ("c", None), ("d", 7)], "text string, toxic int")
     assert fit(labelled) is None and toxicity.THRESHOLD == 0.3
+
+
+def test_label_on_long_texts_only(spark):
+    rows = [(f"fine text {i}", 0) for i in range(5)] + [("bad " * 2_000, 1), ("bad " * 3_000, 1)]
+    texts, labels = labelled_sample(spark.createDataFrame(rows, "text string, toxic int"))
+    assert sorted(labels) == [0] * 5 + [1] * 2 and "bad " * 2_000 in texts
+    assert labelled_sample(spark.createDataFrame(rows[:5], "text string, toxic int")) == ([], [])
