@@ -1,6 +1,36 @@
 """All queries of this subpackage."""
 
-from panelreg.llm import byte_bpe, chat, decontamination, language, near_dedup, piecewise, sharding, token_files, toxicity, warc
+from panelreg.llm import (
+    alignment,
+    byte_bpe,
+    chat,
+    decontamination,
+    hard_negatives,
+    language,
+    mixing,
+    near_dedup,
+    piecewise,
+    sharding,
+    token_files,
+    toxicity,
+    warc,
+)
 from panelreg.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "byte_bpe", "chat", "decontamination", "language", "near_dedup", "piecewise", "sharding", "token_files", "toxicity", "warc"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "alignment",
+    "byte_bpe",
+    "chat",
+    "decontamination",
+    "hard_negatives",
+    "language",
+    "mixing",
+    "near_dedup",
+    "piecewise",
+    "sharding",
+    "token_files",
+    "toxicity",
+    "warc",
+]
