@@ -119,7 +119,7 @@ def fit_forest(
 
     rule = RowRule(("key", "y"), bag, lambda columns, table: -columns["y"])
     rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12, tried=share, seed=seed)
-    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees))
+    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees), rows=binned.count())
     rows.unpersist()
     return Forest(preparation, space, tuple(trees), seed), binned
 

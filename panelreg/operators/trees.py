@@ -3,7 +3,8 @@
 One scan per level serves every tree that is growing: each task reduces its rows to sums per
 (tree, node, feature, bin), those cells are added up in one shuffle whose size does not depend
 on the number of rows, and the best split per node is picked with window functions. Only the
-chosen splits, one row per growing node, reach the driver.
+chosen splits, one row per growing node, reach the driver. Nodes that have become small leave this
+scheme: their subtrees are finished by ``subtrees``, so the table is scanned for the upper levels only.
 
 Boosting and forests share this: with gradient g and hessian h per row the split gain is the
 second-order one; with g = -w*y and h = w it is variance reduction and a leaf is a mean.
@@ -24,13 +25,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.preprocess import Preparation
+from panelreg.operators.subtrees import LOCAL_ROWS, child_name, finish_subtrees, lots
 
 MAX_BINS = 256
 SKETCH_ACCURACY = 10_000
 CELL_BUDGET = 4_000_000
 TOTALS = -1
 ERRORS = -2
-CELL_SCHEMA = "tree int, node int, feature int, bin int, g double, h double, c double"
+CELL_SCHEMA = "tree int, node long, feature int, bin int, g double, h double, c double"
 
 
 @dataclass(frozen=True)
@@ -87,10 +89,13 @@ class Tree:
     value: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
     weight: list[float] = field(default_factory=lambda: [0.0])
+    #: What a node is called where its features are drawn, whichever way it was grown.
+    name: list[int] = field(default_factory=lambda: [0])
     depth: int = 0
 
-    def add_leaf(self, value: float, weight: float) -> int:
+    def add_leaf(self, value: float, weight: float, name: int) -> int:
         node = len(self.feature)
+        self.name.append(name)
         for name, item in (("feature", -1), ("slot", 0), ("level", -1), ("bin", 0), ("cut", 0.0), ("gain", 0.0)):
             getattr(self, name).append(item)
         self.left.append(node)
@@ -101,7 +106,7 @@ class Tree:
 
     def packed(self) -> "PackedTree":
         return PackedTree(
-            *[np.array(v) for v in (self.slot, self.level, self.bin, self.cut, self.left, self.right, self.value)],
+            *[np.array(v) for v in (self.slot, self.level, self.bin, self.cut, self.left, self.right, self.value, self.name)],
             self.depth,
         )
 
@@ -117,6 +122,7 @@ class PackedTree:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    name: np.ndarray
     depth: int
 
     def leaves(self, table: np.ndarray, binned: bool) -> np.ndarray:
@@ -267,7 +273,7 @@ def best_splits(cells: DataFrame, rules: SplitRules) -> DataFrame:
     """One row per node. Gains within one part in 10^9 are a tie: lowest feature, then lowest bin."""
     return cells.sparkSession.sql(
         f"""
-        SELECT tree, node, feature, bin, g_right, h_right, g_all, h_all, gain FROM (
+        SELECT tree, node, feature, bin, g_right, h_right, c_right, g_all, h_all, c_all, gain FROM (
           SELECT *, row_number() OVER (PARTITION BY tree, node
                                        ORDER BY round(gain / top, 9) DESC NULLS LAST, feature, bin) AS place
           FROM (SELECT *, max(gain) OVER (PARTITION BY tree, node) AS top FROM ({rules.visited(candidates_sql(rules))}))
@@ -296,6 +302,35 @@ def _table(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]])
 
 
+def drawn_rows(
+    batch: pa.RecordBatch,
+    space: FeatureSpace,
+    rule: RowRule,
+    growing: dict[int, tuple[PackedTree, list[int]]],
+    report: Callable[[dict[str, np.ndarray], np.ndarray], None] | None = None,
+) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tree, nodes, place among the nodes, g, h, bins) of a batch's rows in each tree's growing nodes.
+
+    Codes start at -1 for an unknown level, so bins of a coded slot are shifted by one."""
+    columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(rule.inputs)}
+    table = _table(batch, len(rule.inputs)) if space.columns else np.zeros((batch.num_rows, 1), dtype=int)
+    gradient = rule.gradient(columns, table)
+    if report is not None:
+        report(columns, gradient)
+    bins = table + np.array([0 if slot in space.cuts else 1 for slot in range(len(space.sizes))]) if space.columns else table
+    for t, (tree, nodes) in growing.items():
+        place = np.full(len(tree.slot), -1)
+        place[nodes] = np.arange(len(nodes))
+        at = place[tree.leaves(table, binned=True)]
+        weight = rule.weights(t, columns["key"])
+        if "fold" in columns:
+            weight = (columns["fold"] == 0) * (1.0 if weight is None else weight)
+        used = at >= 0 if weight is None else (at >= 0) & (weight > 0)
+        at = at[used]
+        h = np.ones(len(at)) if weight is None else weight[used].astype(float)
+        yield t, nodes, at, gradient[used] * h, h, bins[used]
+
+
 def scan_source(binned: DataFrame, space: FeatureSpace, rule: RowRule) -> DataFrame:
     """The columns a level scan reads."""
     return binned.select(*rule.inputs, *space.columns)
@@ -315,8 +350,6 @@ def histogram_cells(
     """
     sizes, offsets = space.sizes, space.offsets
     width = int(offsets[-1])
-    # codes start at -1 for an unknown level, so bins of a coded slot are shifted by one
-    shift = np.array([0 if slot in space.cuts else 1 for slot in range(len(sizes))])
     cell_feature, cell_bin, cell_position = space.cells()
     masks = {
         (t, node): chosen(t, node) if chosen else np.ones(len(space.features), dtype=bool)
@@ -328,24 +361,12 @@ def histogram_cells(
         sums = {t: np.zeros((3, len(nodes), width)) for t, (_, nodes) in growing.items()}
         totals = {t: np.zeros((3, len(nodes))) for t, (_, nodes) in growing.items()}
         error = np.zeros(2)
+
+        def report(columns: dict[str, np.ndarray], gradient: np.ndarray) -> None:
+            error[:] += rule.errors(columns, gradient)
+
         for batch in batches:
-            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(rule.inputs)}
-            table = _table(batch, len(rule.inputs)) if space.columns else np.zeros((batch.num_rows, 1), dtype=int)
-            gradient = rule.gradient(columns, table)
-            if rule.errors is not None:
-                error += rule.errors(columns, gradient)
-            bins = table + shift
-            for t, (tree, nodes) in growing.items():
-                place = np.full(len(tree.slot), -1)
-                place[nodes] = np.arange(len(nodes))
-                at = place[tree.leaves(table, binned=True)]
-                weight = rule.weights(t, columns["key"])
-                if "fold" in columns:
-                    weight = (columns["fold"] == 0) * (1.0 if weight is None else weight)
-                used = at >= 0 if weight is None else (at >= 0) & (weight > 0)
-                at, drawn = at[used], bins[used]
-                h = np.ones(len(at)) if weight is None else weight[used].astype(float)
-                g = gradient[used] * h
+            for t, nodes, at, g, h, drawn in drawn_rows(batch, space, rule, growing, report if rule.errors is not None else None):
                 for k, w in enumerate((g, h, None)):
                     totals[t][k] += np.bincount(at, weights=w, minlength=len(nodes))
                 for slot, size in enumerate(sizes):
@@ -363,14 +384,14 @@ def histogram_cells(
         values = sums[:, :, cell_position]
         place, cell = np.nonzero((values[2] > 0) & allowed)
         seen = np.flatnonzero(totals[2] > 0)
-        node_id = np.array(nodes)[np.concatenate([seen, place])]
+        node_id = growing[t][0].name[nodes][np.concatenate([seen, place])]
         feature_id = np.concatenate([np.full(len(seen), TOTALS), cell_feature[cell]])
         bin_id = np.concatenate([np.zeros(len(seen), dtype=int), cell_bin[cell]])
         return [np.full(len(node_id), t), node_id, feature_id, bin_id, *np.hstack([totals[:, seen], values[:, place, cell]])]
 
     def _batch(columns) -> pa.RecordBatch:
         names = ["tree", "node", "feature", "bin", "g", "h", "c"]
-        types = [pa.int32()] * 4 + [pa.float64()] * 3
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.float64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(columns, types)], names=names)
 
     partial = source.mapInArrow(cells, CELL_SCHEMA)
@@ -401,43 +422,79 @@ def grow_trees(
     tree_ids: Sequence[int],
     chosen: Callable[[int, int], np.ndarray] | None = None,
     on_errors: Callable[[float, float], None] | None = None,
+    rows: int | None = None,
 ) -> list[Tree]:
-    """Grow all the given trees together, one level at a time."""
+    """Grow all the given trees together, one level at a time, and finish all nodes of up to LOCAL_ROWS rows in the end.
+
+    ``rows`` is the number of rows a tree's root can have, if known. The root is grown by histograms where
+    errors are to be reported."""
     trees = {t: Tree() for t in tree_ids}
-    open_nodes = {t: [0] for t in tree_ids}
+    # the rows of each open node
+    open_nodes = {t: {0: rows if rows is not None and on_errors is None else np.inf} for t in tree_ids}
+    # (tree, node) of nodes to be finished: their rows and depth
+    small: dict[tuple[int, int], tuple[int, int]] = {}
     depth = 0
     source = scan_source(binned, space, rule)
     most_tasks = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while open_nodes:
-        grown: dict[int, list[int]] = {}
+        for t, nodes in open_nodes.items():
+            small |= {(t, node): (int(n), depth) for node, n in nodes.items() if n <= LOCAL_ROWS}
+        large = {t: [node for node, n in nodes.items() if n > LOCAL_ROWS] for t, nodes in open_nodes.items()}
+        grown: dict[int, dict[int, float]] = {}
         splitting = rules.max_depth is None or depth < rules.max_depth
-        for group in _passes(open_nodes, int(space.offsets[-1])):
+        for group in _passes({t: nodes for t, nodes in large.items() if nodes}, int(space.offsets[-1])):
             packed = {t: (trees[t].packed(), nodes) for t, nodes in group.items()}
+            by_name = {(t, trees[t].name[node]): node for t, nodes in group.items() for node in nodes}
             # all cells of a node meet in one task; there are as many tasks as open nodes, up to the default
-            nodes = sum(map(len, group.values()))
-            tasks = min(nodes, most_tasks)
+            tasks = min(len(by_name), most_tasks)
             # added up by cell first: the partial sums of the root would crowd the task of its node
             cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
-            # in a fixed order: node numbers decide which features a node may try
             for row in sorted(best_splits(cells, rules).collect(), key=lambda r: (r["tree"], r["node"])):
                 if row["tree"] == TOTALS:
                     if on_errors is not None:
                         on_errors(row["g_right"], row["h_right"])
                     continue
-                tree, node = trees[row["tree"]], row["node"]
+                tree, node = trees[row["tree"]], by_name[row["tree"], row["node"]]
                 if depth == 0:
                     tree.value[0], tree.weight[0] = rules.leaf(row["g_all"], row["h_all"]), row["h_all"]
                 if row["gain"] is None or not splitting:
                     continue
-                children = _split(tree, node, row, space, rules, depth)
-                grown.setdefault(row["tree"], []).extend(children)
+                left, right = _split(tree, node, row, space, rules, depth)
+                grown.setdefault(row["tree"], {}).update({left: row["c_all"] - row["c_right"], right: row["c_right"]})
         depth += 1
         on_errors = None
         at_limit = rules.max_depth is not None and depth >= rules.max_depth
-        open_nodes = {} if at_limit else {t: sorted(nodes) for t, nodes in sorted(grown.items())}
+        open_nodes = {} if at_limit else dict(sorted(grown.items()))
+    for lot in lots([(t, node, n) for (t, node), (n, _) in sorted(small.items())]):
+        _finish(source, space, rule, rules, trees, lot, {pair: level for pair, (_, level) in small.items()}, chosen)
     return [trees[t] for t in tree_ids]
 
 
+def _finish(
+    source: DataFrame,
+    space: FeatureSpace,
+    rule: RowRule,
+    rules: SplitRules,
+    trees: dict[int, Tree],
+    lot: dict[int, list[int]],
+    depths: dict[tuple[int, int], int],
+    chosen: Callable[[int, int], np.ndarray] | None,
+) -> None:
+    """Hang the finished subtrees of a lot of nodes into their trees."""
+    handed = {t: (trees[t].packed(), nodes) for t, nodes in lot.items()}
+    pairs = [(t, node) for t, nodes in lot.items() for node in nodes]
+    places = {(t, node): (trees[t].name[node], depths[t, node]) for t, node in pairs}
+    masks = {pair: chosen(*pair) for pair in pairs} if chosen else None
+    for found in finish_subtrees(source, space, rule, rules, handed, places, masks).toLocalIterator():
+        tree, node = trees[found["tree"]], found["node"]
+        if node == 0:
+            tree.value[0], tree.weight[0] = rules.leaf(found["g"], found["h"]), found["h"]
+        nodes = [node]
+        fields = ("feature", "bin", "gain", "g_all", "h_all", "g_right", "h_right")
+        for i, (parent, level) in enumerate(zip(found["parent"], found["depth"], strict=True)):
+            nodes += _split(tree, nodes[parent], {f: found[f][i] for f in fields}, space, rules, level)
+
+
 def _split(tree: Tree, node: int, row, space: FeatureSpace, rules: SplitRules, depth: int) -> list[int]:
     feature = space.features[row["feature"]]
     tree.feature[node], tree.slot[node], tree.gain[node] = row["feature"], feature.slot, row["gain"]
@@ -449,7 +506,9 @@ def _split(tree: Tree, node: int, row, space: FeatureSpace, rules: SplitRules, d
         (row["g_all"] - row["g_right"], row["h_all"] - row["h_right"]),
         (row["g_right"], row["h_right"]),
     )
-    tree.left[node], tree.right[node] = (tree.add_leaf(rules.leaf(g, h), h) for g, h in sides)
+    tree.left[node], tree.right[node] = (
+        tree.add_leaf(rules.leaf(g, h), h, child_name(tree.name[node], side)) for side, (g, h) in enumerate(sides)
+    )
     tree.depth = max(tree.depth, depth + 1)
     return [tree.left[node], tree.right[node]]
 

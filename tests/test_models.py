@@ -174,6 +174,7 @@ def test_cells_of_one_level_may_need_several_scans(sample, monkeypatch):
 
     _, prepared, preparation, _ = sample
     settings = ForestSettings(n_trees=3, max_depth=3, max_features=1.0)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
     whole, _ = fit_forest(prepared, preparation, settings)
     monkeypatch.setattr(trees, "CELL_BUDGET", 300)
     parts, _ = fit_forest(prepared, preparation, settings)
