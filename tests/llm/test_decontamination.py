@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from panelreg.llm.decontamination import RADIUS, contaminated, described, words_of
+from panelreg.llm.decontamination import RADIUS, contaminated, described, fingerprint_of, words_of
 from panelreg.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,28 @@ def test_edited_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == set(expected)
 
 
+def test_items_that_repeat_their_shingles(spark):
+    items = [(0, "x y " * 6 + "x"), (1, "a b " * 20 + "a"), (2, "p q r " * 9), (3, "k " * 40), (4, "m n " * 8 + "o")]
+    docs = [
+        (0, "y x " * 6 + "y"),
+        (1, "b a " * 20 + "b"),
+        (2, "before q r p " * 1 + "q r p " * 8 + "after"),
+        (3, "k " * 34 + "end"),
+        (4, "m n " * 8 + "m n o"),
+        (5, "x y " * 3),
+    ]
+    expected = brute(docs, items)
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)} <= set(expected)
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == set(expected)
+
+
+def test_bits_are_counted_beyond_sixteen_bits(spark):
+    element = F.lit(-1).cast("long")
+    rows = spark.range(1).select(fingerprint_of(F.array_repeat(element, 70_000)).alias("all"), fingerprint_of(F.concat(F.array_repeat(element, 70_000), F.array_repeat(F.lit(0).cast("long"), 69_999))).alias("most"))
+    assert tuple(rows.first()) == (-1, -1)
+
+
 def test_fingerprints_and_empty_tables(spark):
     rows = spark.createDataFrame([("a b c d e f g",), ("a b c d e f g",), ("a b c d e f h",)], "text string")
     frame = described(rows.select(words_of(F.col("text")).alias("words")))
