@@ -33,7 +33,7 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def missing(self, keys: Sequence[int]) -> list[int]:
+    def missing(self, keys: Sequence[str]) -> list[int]:
         """Places of the keys that aren't known; the others are in ``new`` afterwards."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
@@ -108,7 +108,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run ``values[start:end]``, from one prefix sum over all values."""
+    """A 64-bit hash of each run ``values[start:end]``, from one prefix sum over all values.
+
+    Long runs can be made that share it: it draws features, and doesn't tell runs apart."""
     up, down = powers(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(mixed(values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -122,6 +124,30 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def distinct_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of equal runs ``values[start:end]``, and for each run its set; compared value by value.
+
+    Values are below 2 ** 21."""
+    sizes = ends - starts
+    at, place = ragged(starts, sizes), ragged(np.zeros(len(sizes), np.int64), sizes)
+    cells = mixed(values[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21)) + np.uint64(1))
+    sums = np.append(np.uint64(0), np.cumsum(cells, dtype=np.uint64))
+    cuts = np.append(0, np.cumsum(sizes))
+    names = sums[cuts[1:]] - sums[cuts[:-1]]
+    _, first, group = np.unique(names, return_index=True, return_inverse=True)
+    model = first[group]
+    other = sizes != sizes[model]
+    if not other.any():
+        differs = values[at] != values[ragged(starts[model], sizes)]
+        other = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[differs], minlength=len(sizes)) > 0
+    if not other.any():
+        return first, group
+    # runs that share a sum without being equal: all runs are told apart one by one
+    known: dict[bytes, int] = {}
+    group = np.array([known.setdefault(values[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(group, return_index=True)[1], group
+
+
 def word_runs(cps: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of characters marked ``inside``; no run crosses two texts."""
     before = np.zeros(len(cps) + 1, bool)

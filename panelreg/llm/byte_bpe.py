@@ -32,8 +32,8 @@ from panelreg.llm.batches import (
     Recent,
     char_classes,
     codepoints,
+    distinct_runs,
     parts,
-    run_hashes,
     worker_store,
 )
 from panelreg.llm.registry import register, table
@@ -218,12 +218,12 @@ def encode_texts(texts: list[str], rules: Merger, known: Recent) -> list[list[in
     cps, ends = codepoints(texts)
     starts = word_cuts(cps, ends)
     stops = np.append(starts[1:], len(cps))
-    hashes, first, place = np.unique(run_hashes(cps, starts, stops), return_index=True, return_inverse=True)
-    names = hashes.tolist()
+    first, place = distinct_runs(cps, starts, stops)
+    text = "".join(texts)
+    names = [text[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
     new = known.missing(names)
     if new:
-        text = "".join(texts)
-        words = [text[starts[first[i]] : stops[first[i]]].encode("utf-8", "surrogatepass") for i in new]
+        words = [names[i].encode("utf-8", "surrogatepass") for i in new]
         for i, ids in zip(new, rules.encode_words(words), strict=True):
             known.new[names[i]] = ids.tolist()
     words = list(map(known.new.__getitem__, names))

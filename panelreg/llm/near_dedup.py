@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, mixed, parts, ragged, run_hashes, word_runs
+from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, distinct_runs, mixed, parts, ragged, word_runs
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
@@ -69,12 +69,21 @@ _GOLD, _REPEAT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _UNIT = 1.0 / (1 << 53)
 
 
+def name_of(text: str) -> int:
+    """64 bits of a digest: words and texts are told apart by it."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def shingle_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle hash, weight) of the distinct shingles, in this order."""
-    cps, ends = codepoints([t.lower() for t in texts])
+    texts = [t.lower() for t in texts]
+    cps, ends = codepoints(texts)
     kinds = char_classes()[cps]
     starts, stops = word_runs(cps, ends, (kinds == LETTER) | (kinds == NUMBER))
-    words = run_hashes(cps, starts, stops)
+    unlike, place = distinct_runs(cps, starts, stops)
+    text = "".join(texts)
+    names = [name_of(text[a:b]) for a, b in zip(starts[unlike].tolist(), stops[unlike].tolist(), strict=True)]
+    words = np.array(names, np.uint64)[place]
     cuts = np.searchsorted(starts, ends)
     counts = np.diff(cuts)
     # one shingle for short texts; texts without words are shingles themselves
@@ -90,7 +99,7 @@ def shingle_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = np.flatnonzero(counts == 0)
     if len(bare):
         place = np.cumsum(number)[bare] - 1
-        code[place] = mixed(run_hashes(cps, ends[:-1][bare], ends[1:][bare]) + _GOLD)
+        code[place] = mixed(np.array([name_of(texts[i]) for i in bare.tolist()], np.uint64) + _GOLD)
     order = np.lexsort((code, owner))
     owner, code = owner[order], code[order]
     fresh = np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]))[: len(code)]

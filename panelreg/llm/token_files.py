@@ -38,7 +38,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelreg.llm.batches import Recent, codepoints, parts, ragged, run_hashes, worker_store
+from panelreg.llm.batches import Recent, codepoints, distinct_runs, parts, ragged, worker_store
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
@@ -119,9 +119,11 @@ class PieceEncoder:
         stops = np.append(starts[1:], len(cps))
         real = kind[starts] != _BLANK
         starts, stops = starts[real], stops[real]
-        hashes, first, place = np.unique(run_hashes(chars, starts, stops), return_index=True, return_inverse=True)
-        self.learn(hashes, chars, kind, starts[first], stops[first])
-        data = list(map(self.known.new.__getitem__, hashes.tolist()))
+        first, place = distinct_runs(chars, starts, stops)
+        text = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        names = [text[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        self.learn(names, kind, starts[first], stops[first])
+        data = list(map(self.known.new.__getitem__, names))
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.width
         flat = np.frombuffer(b"".join(data), f"<u{self.width}")
         offsets = np.cumsum(sizes) - sizes
@@ -135,19 +137,17 @@ class PieceEncoder:
                 made[i] = np.array(self.ids([text])[0], f"<u{self.width}")
         return made
 
-    def learn(self, hashes: np.ndarray, chars: np.ndarray, kind: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+    def learn(self, names: list[str], kind: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         """Encode the pieces that aren't known yet: single words many at a time, mixtures one by one."""
-        names = hashes.tolist()
         new = np.array(self.known.missing(names), np.int64)
         if not len(new):
             return
-        text = chars.tobytes().decode("utf-32-le", "surrogatepass")
         glued = np.append(0, np.cumsum(kind == _GLUE))
         mixture = glued[stops[new]] > glued[starts[new]]
         for group, encode in ((new[~mixture], self.joined_ids), (new[mixture], lambda x: map(self.packed, self.ids(x)))):
-            pieces = [text[a:b] for a, b in zip(starts[group].tolist(), stops[group].tolist(), strict=True)]
-            for i, data in zip(group.tolist(), encode(pieces), strict=True):
-                self.known.new[names[i]] = data
+            pieces = [names[i] for i in group.tolist()]
+            for piece, data in zip(pieces, encode(pieces), strict=True):
+                self.known.new[piece] = data
 
 
 def piece_encoder(path: str) -> PieceEncoder:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
+from panelreg.llm import batches
 from panelreg.llm.batches import Recent
 from panelreg.llm.byte_bpe import digest_tokens, encode_documents, encode_texts, merger
 from panelreg.llm.queries import QUERIES
@@ -34,6 +36,22 @@ def test_long_words():
     assert encode_texts(texts, RULES, Recent(50)) == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_share_polynomial_hashes():
+    texts = [thue_morse(n, pair) for n in (1024, 4096) for pair in ("ab", "ba", "cd", "dc")]
+    assert encode_texts(texts, RULES, Recent(50)) == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_equal_sums_are_compared_value_by_value(monkeypatch):
+    monkeypatch.setattr(batches, "mixed", lambda x: x * np.uint64(0))
+    values = np.array([1, 2, 1, 2, 2, 1, 1, 2, 3])
+    first, group = batches.distinct_runs(values, np.array([0, 2, 4, 6, 6]), np.array([2, 4, 6, 8, 9]))
+    assert group.tolist() == [0, 0, 1, 0, 2] and first.tolist() == [0, 2, 4]
+
+
 def test_query(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op3_byte_bpe"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -41,6 +41,13 @@ def brute_classes(docs, near=0.8):
     return {k: find(k) for k in root}
 
 
+def test_words_that_share_polynomial_hashes(spark):
+    texts = ["".join(pair[bin(i).count("1") % 2] for i in range(n)) for n in (1024, 4096) for pair in ("ab", "ba")]
+    docs = [(i, t + " and one two three four") for i, t in enumerate(texts)] + [(9, "".join(".!"[bin(i).count("1") % 2] for i in range(1024))), (10, "".join("!."[bin(i).count("1") % 2] for i in range(1024)))]
+    rows = near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["class_size"] == 1 for r in rows)
+
+
 def test_estimates_are_weighted_jaccard():
     plain = [f"w{i}" for i in range(200)]
     pairs = [

@@ -30,6 +30,11 @@ def test_library_agrees(texts):
     assert [i.tolist() for i in piece_encoder(PATH).encode(texts)] == [library_ids(t) for t in texts]
 
 
+def test_words_that_share_polynomial_hashes():
+    texts = ["".join(pair[bin(i).count("1") % 2] for i in range(n)) for n in (1024, 4096) for pair in ("ab", "ba", "éè", "èé")]
+    assert [i.tolist() for i in piece_encoder(PATH).encode(texts)] == [library_ids(t) for t in texts]
+
+
 def test_frames():
     data = frame(7, b"abcd") + b"\n" + frame(None, b"") + b"\n"
     assert read_frame(data, 0) == (7, b"abcd", len(frame(7, b"abcd")) + 1)
