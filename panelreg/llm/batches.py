@@ -6,12 +6,15 @@ depends on the longest text and not on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 PART_CHARS = 600_000
 
@@ -27,6 +30,19 @@ def worker_store(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def forget_others(*names: str) -> None:
+    """Give back the memory of stores that earlier stages of this Python process filled, but for the named ones."""
+    home = sys.modules.get("_panelreg_worker_store")
+    stale = [n for n, store in (vars(home).items() if home else ()) if isinstance(store, dict) and not n.startswith("__") and n not in names and store]
+    for name in stale:
+        vars(home)[name].clear()
+    if stale:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 class Recent:
     """A dictionary of at most about twice ``size`` entries that forgets what wasn't asked for lately."""
 

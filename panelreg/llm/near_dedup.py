@@ -24,7 +24,9 @@ Crowds. A node's elements are put in one order for all, by how often they occur
 nodes of similarity ``NEAR`` the first element they share lies in the first 1 - ``NEAR`` of both, so nodes meet at those
 elements, if they are in different components and the elements that can still follow suffice.
 
-Verification computes the exact similarity of pairs: first one pair for each node, then those of the
+Verification first bounds the similarity of a pair by its nodes' sketches, the numbers of their elements in each
+of ``SKETCH`` slots of a hash: what two nodes share is at most the sum of the lesser numbers. Pairs whose bound
+stays below ``NEAR`` go, and their texts aren't read. Then it computes the exact similarity: first one pair for each node, then those of the
 others whose nodes aren't in one component yet, which leaves the components as they would be with all.
 Components come from large-star and small-star rounds, each written to the shared folder.
 
@@ -46,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, distinct_runs, mixed, parts, ragged, word_runs
+from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, distinct_runs, forget_others, mixed, parts, ragged, word_runs
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
@@ -60,6 +62,8 @@ ORDERS = 4
 SENT_ROWS = 1_000_000
 #: Counts of elements in crowds are kept for so many bits of their hash.
 SLOT_BITS = 18
+#: Numbers in a node's sketch, the largest that it holds, and characters that are worked off at once.
+SKETCH, FULL, PART = 128, 65_535, 300_000
 #: Bounds of sizes and places give way by so much to rounding.
 SLACK = 1e-6
 #: Components left empty at the first attempt: SIZE * exp(-SPARE) of a text's SIZE components.
@@ -178,28 +182,45 @@ def bag_names(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: in
     return [hashlib.md5(both[a:b].tobytes()).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def elements_of(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash for each shingle and each of its repeats."""
+    repeat = ragged(np.zeros(len(code), np.int64), weight).astype(np.uint64)
+    return mixed(np.repeat(code, weight) + repeat * _REPEAT)
+
+
+def sketches(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, texts: int) -> list[bytes]:
+    """How many elements of each text fall in each slot."""
+    slot = (elements_of(code, weight) % np.uint64(SKETCH)).astype(np.int64)
+    counts = np.bincount(np.repeat(owner, weight) * SKETCH + slot, minlength=texts * SKETCH)
+    rows = np.minimum(counts, FULL).astype("<u2").reshape(texts, SKETCH)
+    return [row.tobytes() for row in rows]
+
+
 def read_key() -> Column:
     """What a text is found by: null and repeated doc_ids don't matter, and ``read_bags`` tells equal keys apart."""
     return F.xxhash64("doc_id", "text")
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, key, name (of the multiset) and bands (keys) of every document."""
+    """doc_id, key, name (of the multiset), sketch and bands (keys) of every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("classes")
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in parts([len(t) for t in texts]):
+            for part in parts([len(t) for t in texts], PART):
                 n = part.stop - part.start
                 owner, code, weight = shingle_bags(texts[part])
                 keys = band_keys(signatures(owner, code, weight, n))
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
-                columns = [batch["doc_id"][part], batch["key"][part], pa.array(bag_names(owner, code, weight, n), pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "name", "bands"])
+                both = (pa.array(f(owner, code, weight, n), pa.binary()) for f in (bag_names, sketches))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"][part], batch["key"][part], *both, lists], ["doc_id", "key", "name", "sketch", "bands"]
+                )
 
     rows = documents.select("doc_id", read_key().alias("key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, name binary, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, name binary, sketch binary, bands array<bigint>")
 
 
 def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -209,7 +230,7 @@ def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
     equal keys can bring about, are left out."""
     for batch in batches:
         texts = [t or "" for t in batch["text"].to_pylist()]
-        for part in parts([len(t) for t in texts]):
+        for part in parts([len(t) for t in texts], PART):
             n = part.stop - part.start
             owner, code, weight = shingle_bags(texts[part])
             asked = batch["name"][part].to_pylist()
@@ -217,9 +238,7 @@ def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
             mine = same[owner]
             owner, code, weight = (np.cumsum(same) - 1)[owner[mine]], code[mine], weight[mine]
             cuts = np.searchsorted(owner, np.arange(int(same.sum()) + 1))
-            repeat = ragged(np.zeros(len(code), np.int64), weight).astype(np.uint64)
-            flat = mixed(np.repeat(code, weight) + repeat * _REPEAT)
-            yield batch["node"][part].filter(pa.array(same)), flat, np.append(0, np.cumsum(weight))[cuts]
+            yield batch["node"][part].filter(pa.array(same)), elements_of(code, weight), np.append(0, np.cumsum(weight))[cuts]
 
 
 def bags(texts: DataFrame) -> DataFrame:
@@ -341,6 +360,27 @@ def crowd_pairs(crowd: DataFrame, nodes: DataFrame, documents: DataFrame, near:
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, near: float) -> DataFrame:
+    """The pairs whose sketches allow a similarity of ``near``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 10_000):
+                piece = batch.slice(at, 10_000)
+                one, two = (np.frombuffer(b"".join(piece[c].to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int64) for c in ("sa", "sb"))
+                shared = np.minimum(one, two).sum(1)
+                kept = shared * (1 + near) >= near * (one.sum(1) + two.sum(1)) - SLACK
+                # a full slot may hold more than it says
+                kept |= (one == FULL).any(1) | (two == FULL).any(1)
+                yield pa.RecordBatch.from_arrays([piece[c].filter(pa.array(kept)) for c in "ab"], ["a", "b"])
+
+    known = nodes.select("node", "sketch")
+    both = pairs
+    for side in "ab":
+        both = both.join(known.withColumnsRenamed({"node": side, "sketch": f"s{side}"}), side)
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
 def texts_of(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """node, name and text of the asked nodes."""
     named = written(nodes.join(asked, "node").select("node", "name", "key"), "asked")
@@ -407,14 +447,15 @@ def near_classes(documents: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (documents) for every document."""
     rows = written(signed(documents), "signatures")
     named = rows.groupBy("name").agg(
-        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
     nodes = written(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs, large = candidates(nodes)
-    found, roots = joined(written(pairs, "pairs"), None, nodes, documents, near)
+    found, roots = joined(written(possible(pairs, nodes, near), "pairs"), None, nodes, documents, near)
     crowd = written(crowds(large, roots), "crowd")
     if not crowd.isEmpty():
-        pairs = written(crowd_pairs(crowd, nodes, documents, near), "pairs")
+        pairs = written(possible(crowd_pairs(crowd, nodes, documents, near), nodes, near), "pairs")
         found, roots = joined(pairs, found, nodes, documents, near)
     placed = with_root(nodes.select("node", "name", "least", "copies"), roots, "node")
     classes = placed.groupBy("root_node").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
