@@ -25,31 +25,39 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from panelreg.llm.batches import parts, ragged, worker_store
 from panelreg.llm.near_dedup import written
 from panelreg.llm.registry import register, table
 
 #: A worker forgets its chunks beyond so many of them, or so many characters.
-KEPT_CHUNKS, KEPT_CHARS = 350_000, 6_000_000
+KEPT_CHUNKS, KEPT_CHARS = 400_000, 8_000_000
+#: Text that is cut and gathered at once.
+PART_BYTES = 300_000
 #: New chunks that are encoded together.
-JOINED_CHARS = 100_000
+JOINED_CHARS = 50_000
 #: Id pairs that are sent to the tasks: the most frequent ones.
 SENT_PAIRS = 1_000_000
 #: Pairs a task adds up before it hands them on.
 HELD_PAIRS = 1_000_000
 #: Tokens of both tokenizers worked off at once, and links of a group beyond which its equal ids are merged.
-PART_TOKENS, GROUP_LINKS = 500_000, 4_096
+PART_TOKENS, GROUP_LINKS = 200_000, 4_096
 #: A pair is one number: the first id times this, and the second.
 PAIR = 1 << 20
 
+#: Rows that a task gets at a time: lists of ids are long.
+BATCH_ROWS = 256
+
 ADDED = ("a_ids", "b_ids", "a_sizes", "b_sizes")
+PACKED = {"a_ids": "<u2", "b_ids": "<u2", "a_sizes": "<u4", "b_sizes": "<u4"}
 
 
 def byte_level() -> dict[str, int]:
@@ -201,6 +209,18 @@ class Aligner:
         return made
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile hands at most BATCH_ROWS rows to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def aligner(path_a: str, path_b: str) -> Aligner:
     store = worker_store("aligners")
     if (path_a, path_b) not in store:
@@ -208,36 +228,68 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return store[path_a, path_b]
 
 
-def align_documents(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """All columns, a_ids and b_ids, and a_sizes and b_sizes: how many of them each group has."""
+def listed(values: np.ndarray, cuts: np.ndarray, kind: str | None) -> pa.Array:
+    """Lists of numbers, or their bytes where a kind is given."""
+    if kind is None:
+        return pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
+    data = values.astype(kind)
+    offsets = (cuts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def align_documents(documents: DataFrame, path_a: str, path_b: str, packed: bool = False) -> DataFrame:
+    """All columns, a_ids and b_ids, and a_sizes and b_sizes: how many of them each group has.
+
+    They are arrays of integers; ``packed`` ones are the bytes of little-endian numbers, of 16 bits for ids and
+    32 for sizes, which Spark stores and hands on many times faster."""
     documents = documents.drop(*ADDED)
-    schema = StructType([*documents.schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in ADDED)])
+    kinds = PACKED if packed else dict.fromkeys(ADDED)
+    if packed and max(map(len, aligner(path_a, path_b).widths)) > 1 << 16:
+        raise ValueError("ids of a vocabulary beyond 65536 can't be packed")
+    schema = StructType([*documents.schema.fields, *(StructField(c, BinaryType() if packed else ArrayType(IntegerType())) for c in ADDED)])
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = aligner(path_a, path_b)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for part in parts([len(t) for t in texts]):
-                found = rules.align(texts[part])
-                added = [pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values)) for values, cuts in found]
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for part in parts(sizes, PART_BYTES):
                 piece = batch.slice(part.start, part.stop - part.start)
+                found = rules.align([t or "" for t in piece.column(at).to_pylist()])
+                added = [listed(values, cuts, kind) for (values, cuts), kind in zip(found, kinds.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *added], [*piece.schema.names, *ADDED])
+        # other stages of this worker need the memory
+        rules.forget()
 
     return documents.mapInArrow(run, schema)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def offsets_of(column: pa.Array) -> np.ndarray:
+    """Where each list of a column begins in its numbers; the last entry is the end."""
+    if not pa.types.is_binary(column.type):
+        return column.offsets.to_numpy().astype(np.int64)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def flat(piece: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a column of lists, and where each list begins; the last entry is the end."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
+    column = piece[name]
+    offsets = offsets_of(column)
+    if pa.types.is_binary(column.type):
+        kind = np.dtype(PACKED[name])
+        data = column.buffers()[2] or b""
+        values = np.frombuffer(memoryview(data)[offsets[0] : offsets[-1]], kind)
+        return values.astype(np.int64), (offsets - offsets[0]) // kind.itemsize
     values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     return values.astype(np.int64), offsets - offsets[0]
 
 
-def merged_repeats(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def merged_repeats(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
     """Ids and their weights by both tokenizers, equal ids of large groups being one; the sizes are changed in place."""
     made = []
     large = np.flatnonzero(sizes_a * sizes_b > GROUP_LINKS).tolist()
+    if not large:
+        return [(a, None), (b, None)]
     for ids, sizes in ((a, sizes_a), (b, sizes_b)):
         ends = np.cumsum(sizes)
         kept, weights, last = [], [], 0
@@ -251,32 +303,48 @@ def merged_repeats(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: n
     return made
 
 
+def flat_cuts(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """Where each list of a column begins."""
+    cuts = offsets_of(batch[name])
+    return cuts // np.dtype(PACKED[name]).itemsize if pa.types.is_binary(batch.schema.field(name).type) else cuts
+
+
 def token_parts(batch: pa.RecordBatch) -> Iterator[slice]:
     """Neighbouring rows with at most PART_TOKENS tokens, or a single row."""
-    n_a, n_b = (np.diff(batch[c].offsets.to_numpy()) for c in ("a_ids", "b_ids"))
+    n_a, n_b = (np.diff(flat_cuts(batch, c)) for c in ("a_ids", "b_ids"))
     return parts((n_a + n_b).tolist(), PART_TOKENS)
 
 
 def links_of(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, pair and number of links of the distinct id pairs of each row, sorted by row and pair."""
-    (a, _), (b, _) = flat(piece["a_ids"]), flat(piece["b_ids"])
-    (sizes_a, cuts), (sizes_b, _) = flat(piece["a_sizes"]), flat(piece["b_sizes"])
+    (a, _), (b, _) = flat(piece, "a_ids"), flat(piece, "b_ids")
+    (sizes_a, cuts), (sizes_b, _) = flat(piece, "a_sizes"), flat(piece, "b_sizes")
     row = np.repeat(np.arange(len(piece)), np.diff(cuts))
     (a, times_a), (b, times_b) = merged_repeats(a, b, sizes_a, sizes_b)
     # each first id of a group with all second ids of the group
     times = np.repeat(sizes_b, sizes_a)
     place = ragged(np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a), times)
     pair = np.repeat(a, times) * PAIR + b[place]
-    return distinct_pairs(np.repeat(row, sizes_a * sizes_b), pair, np.repeat(times_a, times) * times_b[place])
-
-
-def distinct_pairs(row: np.ndarray, pair: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, pair and sum of weights, sorted by row and pair."""
-    order = np.lexsort((pair, row))
-    row, pair = row[order], pair[order]
-    begins = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))[: len(row)])
-    sums = np.add.reduceat(weight[order], begins) if len(begins) else np.zeros(0, np.int64)
-    return row[begins], pair[begins], sums
+    weight = None if times_a is None else np.repeat(times_a, times) * times_b[place]
+    return distinct_pairs(np.repeat(row, sizes_a * sizes_b), pair, weight)
+
+
+def distinct_pairs(row: np.ndarray, pair: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, pair and sum of weights (ones, if None), sorted by row and pair."""
+    # a pair has twice the bits of PAIR, which leaves enough for the rows of a batch
+    bits = 2 * (PAIR.bit_length() - 1)
+    key = (row << bits) + pair
+    if weight is None:
+        key.sort()
+    else:
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if weight is None:
+        sums = np.diff(np.append(begins, len(key)))
+    else:
+        sums = np.add.reduceat(weight, begins)
+    return key[begins] >> bits, key[begins] & (1 << bits) - 1, sums
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -307,7 +375,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         yield handed(*added(*zip(*waiting, strict=True)))
 
     partial = aligned.select(*ADDED).mapInArrow(run, "pair long, n long")
-    counts = written(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    with small_batches(aligned.sparkSession):
+        counts = written(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     first = F.shiftright("pair", PAIR.bit_length() - 1)
     highest = counts.groupBy(first.alias("a")).agg(F.max("n").alias("highest"))
     return written(counts.join(highest, first == F.col("a")).select("pair", "n", (F.col("n") == F.col("highest")).alias("best")), "pairs")
@@ -334,10 +403,8 @@ def digest_links(aligned: DataFrame, limit: int = SENT_PAIRS) -> DataFrame:
         (sent["pair"].to_numpy(), sent["n"].to_numpy(), sent["best"].to_numpy(zero_copy_only=False))
     )
     sums = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    schema = StructType([aligned.schema[c] for c in kept])
     digest_kind = StructType([StructField(c, LongType()) for c in sums])
     digest_kind = digest_kind.add("groups_sha256", "string").add("rare", ArrayType(LongType())).add("links", ArrayType(LongType()))
-    schema = schema.add("digest", digest_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, best = known.value
@@ -355,7 +422,7 @@ def digest_links(aligned: DataFrame, limit: int = SENT_PAIRS) -> DataFrame:
                 np.add.at(n_best, mine, times * best[at])
                 np.add.at(count_sum, mine, times * counts[at])
                 left = np.append(0, np.cumsum(np.bincount(owner[~there], minlength=n))).astype(np.int32)
-                sizes = [np.diff(flat(piece[c])[1]) for c in ("a_ids", "b_ids", "a_sizes")]
+                sizes = [np.diff(flat_cuts(piece, c)) for c in ("a_ids", "b_ids", "a_sizes")]
                 digest = pa.StructArray.from_arrays(
                     [
                         *(pa.array(x.astype(np.int64)) for x in (*sizes, n_links, n_best, count_sum)),
@@ -365,13 +432,15 @@ def digest_links(aligned: DataFrame, limit: int = SENT_PAIRS) -> DataFrame:
                     ],
                     [*sums, "groups_sha256", "rare", "links"],
                 )
-                yield pa.RecordBatch.from_arrays([*(piece[c] for c in kept), digest], [*kept, "digest"])
+                yield pa.RecordBatch.from_arrays([piece["kept"], digest], ["kept", "digest"])
 
-    rows = aligned.select(*kept, *ADDED).mapInArrow(run, schema)
-    columns = [f"digest.{c}" for c in (*sums, "groups_sha256")]
+    rows = aligned.select(F.struct(*kept).alias("kept"), *ADDED)
+    schema = StructType([rows.schema["kept"], StructField("digest", digest_kind)])
+    rows = rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
+    with small_batches(spark):
+        rows = written(rows, "digests")
     if len(sent) == total:
-        return rows.select(*kept, *columns)
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
+        return rows.select("kept.*", *(f"digest.{c}" for c in (*sums, "groups_sha256")))
     rare = rows.select("_row", F.explode(F.arrays_zip("digest.rare", "digest.links")).alias("x")).select("_row", "x.*")
     rare = rare.join(pairs.withColumnRenamed("pair", "rare"), "rare")
     more = rare.groupBy("_row").agg(
@@ -381,7 +450,7 @@ def digest_links(aligned: DataFrame, limit: int = SENT_PAIRS) -> DataFrame:
     both = rows.join(more, "_row", "left")
     summed = {"n_best": "more_best", "count_sum": "more_sum"}
     return both.select(
-        *kept,
+        "kept.*",
         *(
             (F.col(f"digest.{c}") + F.coalesce(summed[c], F.lit(0))).alias(c) if c in summed else F.col(f"digest.{c}")
             for c in (*sums, "groups_sha256")
@@ -399,8 +468,8 @@ def endings() -> dict[str, list[bytes]]:
 
 def group_digests(piece: pa.RecordBatch, texts: dict[str, list[bytes]]) -> list[str]:
     """The digest of each row's groups."""
-    (a, cuts_a), (b, cuts_b) = flat(piece["a_ids"]), flat(piece["b_ids"])
-    (sizes_a, cuts), (sizes_b, _) = flat(piece["a_sizes"]), flat(piece["b_sizes"])
+    (a, cuts_a), (b, cuts_b) = flat(piece, "a_ids"), flat(piece, "b_ids")
+    (sizes_a, cuts), (sizes_b, _) = flat(piece, "a_sizes"), flat(piece, "b_sizes")
     top = int(max(a.max(initial=0), b.max(initial=0))) + 1
     for end, known in texts.items():
         known.extend(b"%d%s" % (i, end.encode()) for i in range(len(known), top))
@@ -428,5 +497,6 @@ def op13_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents aligned, with the corpus-wide counts of their links."""
     paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = written(align_documents(documents, *paths).drop("text"), "aligned")
+    with small_batches(spark):
+        aligned = written(align_documents(documents, *paths, packed=True).drop("text"), "aligned")
     return digest_links(aligned)
