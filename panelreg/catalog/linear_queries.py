@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
-    FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, TRAIN_YEARS, households, metrics_sql, query, rounded, settings,
+    FITTED, HH, LABEL, NUMERIC_ROLES, PREPARED, ROLES, TEST_YEAR, TRAIN_YEARS, households, is_train, metrics_sql, query, rounded, settings,
 )
 from panelreg.catalog.prep_queries import numeric_fit
 from panelreg.catalog.source_queries import _finish
+from panelreg.functions.target import to_learning_scale
 from panelreg.operators import evaluate
 from panelreg.operators.evaluate import metric_columns
 from panelreg.operators.linear import LinearFit, cross_products, fit_huber, fit_ols, huber_gradient, huber_objective
@@ -19,6 +20,7 @@ from panelreg.operators.preprocess import PrepSettings, fit_preparation
 from panelreg.plans.common import ModelRun, prepare_split
 from panelreg.plans.linear_job import linear_report, run_linear
 from panelreg.session import new_path
+from panelreg.sources.roles import FeatureColumns
 from panelreg.sources.sinks import write_small
 
 LABELS = f"'time' AS run, '{','.join(map(str, TRAIN_YEARS))}' AS train_years, {TEST_YEAR} AS test_year, 'revenue' AS target"
@@ -67,6 +69,27 @@ def ols_two_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ols_run(spark, sf_dir).coefficient_table(), coef=6)
 
 
+NEAR = 0.0001
+
+
+# the same plane over acctbal and n_lines, whose axes are far from collinear
+@query(
+    f"""WITH {HH}, d AS (SELECT acctbal AS a, n_lines::DOUBLE AS n, {LABEL} AS y FROM tr WHERE acctbal IS NOT NULL AND n_lines IS NOT NULL),
+s AS (SELECT var_pop(a) AS va, var_pop(n) AS vn, covar_pop(a, n) AS can, covar_pop(y, a) AS cya, covar_pop(y, n) AS cyn,
+  avg(a) AS ma, avg(n) AS mn, avg(y) AS my FROM d),
+c AS (SELECT *, (cya * vn - cyn * can) / (va * vn - can * can) AS ca, (cyn * va - cya * can) / (va * vn - can * can) AS cn FROM s)
+SELECT 'acctbal' AS feature, round(ca - cn / {NEAR}, 2) AS coef FROM c UNION ALL SELECT 'beside', round(cn / {NEAR}, 2) FROM c
+UNION ALL SELECT 'intercept', round(my - ca * ma - cn * mn, 6) FROM c"""
+)
+def ols_near_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns that differ by a ten-thousandth of a third: cross products would lose all digits of their coefficients."""
+    rows = households(spark, sf_dir).filter(is_train()).where("acctbal IS NOT NULL AND n_lines IS NOT NULL")
+    rows = rows.withColumn("label", to_learning_scale(F.col("revenue"), "log1p")).withColumn("beside", F.col("acctbal") + NEAR * F.col("n_lines"))
+    preparation = fit_preparation(rows, FeatureColumns(("acctbal", "beside"), ()), PrepSettings())
+    lines = fit_ols(preparation.apply(rows), preparation).rows()
+    return spark.createDataFrame([(n, round(c, 6 if n == "intercept" else 2)) for n, c in lines], "feature string, coef double")
+
+
 @query("SELECT feature, true AS balanced FROM (VALUES ('intercept'), ('acctbal'), ('n_lines'), ('is_f_1.0'), ('is_f_0.0'), "
        "('priority_1-URGENT'), ('priority_2-HIGH'), ('priority_3-MEDIUM'), ('priority_4-NOT SPECIFIED'), ('priority_5-LOW')) t(feature)")
 def ols_full_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:

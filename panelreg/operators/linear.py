@@ -1,4 +1,10 @@
-"""Linear models: least squares through the cross-product matrix, and Huber regression."""
+"""Linear models: least squares by a tall-skinny QR decomposition, and Huber regression.
+
+Cross products square the condition number of a design, so that nearly collinear columns lose all digits
+of their coefficients. Here every task reduces its rows to the triangular factor of [1, features, label],
+factors are stacked and reduced again in a tree, and the last one, which has the singular values of the
+design, is solved. A factor has as many cells as the cross products, whatever the number of rows.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +20,10 @@ from panelreg.operators.preprocess import Preparation
 
 # Partial sums are added up in so many parts first, then the parts.
 SUM_PARTS = 64
+# Cells of the dense block that a task reduces at once.
+DENSE_CELLS = 2_000_000
+# Singular values below this share of the largest, for each of them, are rounding.
+RANK_TOLERANCE = 1e-14
 
 
 @dataclass(frozen=True)
@@ -58,28 +68,66 @@ def cross_products(prepared: DataFrame, preparation: Preparation, label: str = "
     return parts.groupBy("i", "j").agg(F.sum("v").alias("value"))
 
 
-def solve_normal_equations(cells: list[tuple[int, int, float]], size: int) -> np.ndarray:
+def triangle(blocks: list[np.ndarray]) -> np.ndarray:
+    """The triangular factor of the blocks below each other, always square."""
+    stacked = np.vstack(blocks)
+    size = stacked.shape[1]
+    if len(stacked) < size:
+        stacked = np.vstack([stacked, np.zeros((size - len(stacked), size))])
+    return np.linalg.qr(stacked, mode="r")
+
+
+def triangular_factor(prepared: DataFrame, preparation: Preparation, label: str = "label") -> np.ndarray | None:
+    """The triangular factor of [1, features, label] over all rows; None for no rows."""
+    inputs = prepared.select(*preparation.prepared_columns, F.col(label).cast("double"))
+    size = len(preparation.feature_names()) + 2
+
+    def reduced(blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for block in blocks:
+            held = triangle([block] if held is None else [held, block])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["factor"])
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[np.ndarray]:
+            for batch in batches:
+                # few rows at a time: the block is dense
+                step = max(size, DENSE_CELLS // size)
+                for piece in (batch.slice(at, step) for at in range(0, len(batch), step)):
+                    *columns, y = [c.to_numpy(zero_copy_only=False) for c in piece.columns]
+                    design = preparation.design_array(columns) if columns else np.empty((len(y), 0))
+                    yield np.column_stack([np.ones(len(y)), design, y])
+
+        yield from reduced(blocks())
+
+    def of_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from reduced(np.frombuffer(f, float).reshape(size, size) for batch in batches for f in batch["factor"].to_pylist())
+
+    factors = inputs.mapInArrow(of_rows, "factor binary")
+    for parts in (SUM_PARTS, SUM_PARTS // 8):
+        factors = factors.repartition(parts).mapInArrow(of_factors, "factor binary")
+    last = factors.coalesce(1).mapInArrow(of_factors, "factor binary").collect()
+    return np.frombuffer(last[0]["factor"], float).reshape(size, size) if last else None
+
+
+def solve_triangular(factor: np.ndarray) -> np.ndarray:
     """Least-squares solution [intercept, coefficients...]; the shortest one if features are collinear."""
-    full = np.zeros((size, size))
-    for i, j, value in cells:
-        full[i, j] = full[j, i] = value
-    gram, moment = full[:-1, :-1], full[:-1, -1]
-    unit = np.sqrt(np.diag(gram))
+    design, moment = factor[:, :-1], factor[:, -1]
+    unit = np.sqrt((design * design).sum(0))
     unit[unit == 0] = 1.0
-    values, vectors = np.linalg.eigh(gram / np.outer(unit, unit))
-    solid = values > values.max() * len(values) * 1e-13
-    inverse = (vectors[:, solid] / values[solid]) @ vectors[:, solid].T
-    beta = inverse @ (moment / unit) / unit
+    left, values, right = np.linalg.svd(design / unit, full_matrices=False)
+    solid = values > values.max(initial=0.0) * len(values) * RANK_TOLERANCE
+    beta = right[solid].T @ ((left[:, solid].T @ moment) / values[solid]) / unit
     if not solid.all():
-        null = vectors[:, ~solid] / unit[:, None]
+        null = right[~solid].T / unit[:, None]
         beta = beta - null @ np.linalg.lstsq(null, beta, rcond=None)[0]
     return beta
 
 
 def fit_ols(prepared: DataFrame, preparation: Preparation, label: str = "label") -> LinearFit:
-    size = len(preparation.feature_names()) + 2
-    cells = cross_products(prepared, preparation, label).collect()
-    beta = solve_normal_equations([tuple(row) for row in cells], size)
+    factor = triangular_factor(prepared, preparation, label)
+    beta = np.zeros(len(preparation.feature_names()) + 1) if factor is None else solve_triangular(factor)
     return LinearFit("OLS", preparation, float(beta[0]), tuple(map(float, beta[1:])))
 
 
