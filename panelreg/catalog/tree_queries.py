@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -318,9 +320,9 @@ rows1 AS (SELECT rows0.* EXCLUDE (node), CASE WHEN {side_sql("0")} THEN 2 ELSE 1
 drawn1 AS (SELECT * FROM rows1 WHERE w > 0), {forest_level_sql("1")}"""
 
 
-def _two_levels(spark: SparkSession, sf_dir: str):
+def _levels(spark: SparkSession, sf_dir: str, depth: int, local_rows: int):
     prepared, preparation = small_fit(spark, sf_dir)
-    forest_settings = ForestSettings(n_trees=TREES, max_depth=2, max_features=TRIED, seed=SEED)
+    forest_settings = ForestSettings(n_trees=TREES, max_depth=depth, max_features=TRIED, seed=SEED, local_rows=local_rows)
     forest, binned = fit_forest(prepared.filter(is_train()), preparation, forest_settings)
     binned.unpersist()
     return prepared, forest
@@ -333,8 +335,8 @@ def _two_levels(spark: SparkSession, sf_dir: str):
 SELECT hh_id, round(avg(p), 6) AS pred FROM leaves GROUP BY hh_id"""
 )
 def forest_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean prediction of five trees of depth two over line count and dummies, two features tried per node."""
-    prepared, forest = _two_levels(spark, sf_dir)
+    """Mean prediction of five trees of depth two over line count and dummies, two features tried per node; by histograms alone."""
+    prepared, forest = _levels(spark, sf_dir, 2, 0)
     return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
 
 
@@ -345,10 +347,34 @@ SELECT {NAME_SQL} AS feature, round(coalesce(share, 0) / sum(share) OVER (), 6)
 )
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impurity importances of the same trees."""
-    rows = [(name, round(share, 6)) for name, share in _two_levels(spark, sf_dir)[1].importances()]
+    rows = [(name, round(share, 6)) for name, share in _levels(spark, sf_dir, 2, 0)[1].importances()]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+THREE_LEVELS_SQL = f"""{TWO_LEVELS_SQL},
+rows2 AS (SELECT rows1.* EXCLUDE (node), 2 * node + CASE WHEN {side_sql("1")} THEN 2 ELSE 1 END AS node FROM rows1 JOIN best1 USING (tree, node)),
+drawn2 AS (SELECT * FROM rows2 WHERE w > 0), {forest_level_sql("2")}"""
+
+
+@query(
+    f"""{THREE_LEVELS_SQL}, ended AS (SELECT hh_id, nodes1.sa / nodes1.ha AS p FROM rows1 JOIN nodes1 USING (tree, node) LEFT JOIN best1 USING (tree, node)
+  WHERE best1.feature IS NULL),
+leaves AS (SELECT hh_id, CASE WHEN best2.feature IS NULL THEN nodes2.sa / nodes2.ha WHEN {side_sql('2')} THEN best2.sr / best2.hr
+  ELSE (best2.sa - best2.sr) / (best2.ha - best2.hr) END AS p
+  FROM rows2 JOIN nodes2 USING (tree, node) LEFT JOIN best2 USING (tree, node))
+SELECT hh_id, round(avg(p), 6) AS pred FROM (FROM ended UNION ALL FROM leaves) GROUP BY hh_id"""
+)
+def forest_three_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trees one level deeper: roots by histograms, the nodes below that have become small finished in a task each."""
+    prepared, forest = _levels(spark, sf_dir, 3, prepared_rows(spark, sf_dir) * 4 // 10)
+    return prepared.select("hh_id", F.round(forest.score(), 6).alias("pred"))
+
+
+def prepared_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Training rows."""
+    return households(spark, sf_dir).filter(is_train()).count()
+
+
 ALPHA, GAMMA, CHILD, SUBSAMPLE, SHARE = 3.0, 2000.0, 40.0, 0.8, 0.7
 DEEP = BoostSettings(
     n_rounds=2, learning_rate=RATE, max_depth=2, subsample=SUBSAMPLE, column_share=SHARE, lambda_=LAMBDA, alpha=ALPHA,
@@ -382,14 +408,23 @@ b{number + 1} AS (SELECT * EXCLUDE (g, tree, node, pred, leaf), pred + {RATE} *
   FROM b{number}n JOIN nodes{high} USING (tree, node) LEFT JOIN best{high} USING (tree, node)))"""
 
 
-@query(
-    f"""{SMALL_SQL}, b0 AS (SELECT *, (SELECT avg(y) FROM sm WHERE yr <= 2000) AS pred FROM sm), {deep_round_sql(0)}, {deep_round_sql(1)}
+BOOST_SQL = f"""{SMALL_SQL}, b0 AS (SELECT *, (SELECT avg(y) FROM sm WHERE yr <= 2000) AS pred FROM sm), {deep_round_sql(0)}, {deep_round_sql(1)}
 SELECT hh_id, round(pred, 6) AS pred FROM b2"""
-)
+
+
+@query(BOOST_SQL)
 def boost_regularized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of depth two with both penalties, least gain and child weight, and rows and columns drawn by hash."""
     prepared, preparation = small_fit(spark, sf_dir)
-    model = fit_boosting(prepared.filter(is_train()), preparation, DEEP)
+    model = fit_boosting(prepared.filter(is_train()), preparation, replace(DEEP, local_rows=0))
+    return prepared.select("hh_id", F.round(model.score(), 6).alias("pred"))
+
+
+@query(BOOST_SQL)
+def boost_handed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two rounds with each tree finished in one pass over the rows."""
+    prepared, preparation = small_fit(spark, sf_dir)
+    model = fit_boosting(prepared.filter(is_train()), preparation, replace(DEEP, local_rows=10**9))
     return prepared.select("hh_id", F.round(model.score(), 6).alias("pred"))
 
 

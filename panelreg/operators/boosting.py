@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.functions.hashing import stream_word, uniform_array
 from panelreg.operators.preprocess import Preparation
+from panelreg.operators.subtrees import LOCAL_ROWS
 from panelreg.operators.trees import (
     MAX_BINS, FeatureSpace, PackedTree, RowRule, SplitRules, Tree,
     bin_columns, feature_space, grow_trees, prediction_column, split_gains,
@@ -34,6 +35,8 @@ class BoostSettings:
     seed: int = 42
     patience: int = 0
     max_bins: int = MAX_BINS
+    #: Nodes of so many rows are finished in one task.
+    local_rows: int = LOCAL_ROWS
     refresh_rounds: int = 5
 
     @property
@@ -100,7 +103,8 @@ def fit_boosting(
     ).persist()
     training = rows.filter("fold = 0")
     space = feature_space(training, preparation, settings.max_bins)
-    base = float(training.agg(F.avg("y")).first()[0])
+    base, count = training.agg(F.avg("y"), F.count(F.lit(1))).first()
+    base = float(base)
     table = StoredTable(bin_columns(rows, space, ["key", "y", "fold", F.lit(base).alias("pred")]), "boost")
     rows.unpersist()
     trees: list[Tree] = []
@@ -116,7 +120,9 @@ def fit_boosting(
                 settings.rules,
                 [number],
                 chosen=None if mask is None else lambda _tree, _node, mask=mask: mask,
-                on_errors=lambda total, count: curve.append((total / count) ** 0.5) if count else None,
+                on_errors=lambda total, held: curve.append((total / held) ** 0.5) if held else None,
+                rows=count,
+                local_rows=settings.local_rows,
             )
             # the error that comes back with a round is that of the trees before it
             kept = stop_round(curve[1:], settings.patience) if fold and len(curve) > 1 else None

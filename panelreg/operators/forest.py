@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.functions.hashing import poisson_array, stream_word
 from panelreg.operators.preprocess import Preparation
+from panelreg.operators.subtrees import LOCAL_ROWS
 from panelreg.operators.trees import (
     MAX_BINS, FeatureSpace, PackedTree, RowRule, SplitRules, Tree,
     bin_columns, feature_space, grow_trees, prediction_column, split_gains,
@@ -29,6 +30,8 @@ class ForestSettings:
     max_features: str | int | float = "sqrt"
     seed: int = 42
     max_bins: int = MAX_BINS
+    #: Nodes of so many rows are finished in one task.
+    local_rows: int = LOCAL_ROWS
 
     @property
     def depth_limit(self) -> int | None:
@@ -119,7 +122,7 @@ def fit_forest(
 
     rule = RowRule(("key", "y"), bag, lambda columns, table: -columns["y"])
     rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12, tried=share, seed=seed)
-    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees), rows=binned.count())
+    trees = grow_trees(binned, space, rule, rules, range(settings.n_trees), rows=binned.count(), local_rows=settings.local_rows)
     rows.unpersist()
     return Forest(preparation, space, tuple(trees), seed), binned
 

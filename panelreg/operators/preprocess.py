@@ -19,7 +19,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.levels import OTHER_LEVEL, sort_levels, summarize_levels
-from panelreg.operators.quantiles import exact_quantiles
+from panelreg.operators.quantiles import filled_quantiles
 from panelreg.sources.roles import FeatureColumns
 
 UNKNOWN = -1
@@ -214,19 +214,10 @@ def _fit_numeric(
         return [], []
     shape = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     counts = {c: shape[f"c{i}"] for i, c in enumerate(columns)}
-    used = [c for c in columns if counts[c]]
-    medians = exact_quantiles(train, {c: (F.col(c), [0.5]) for c in used}, counts=counts)
-    steps = [NumericStep(c, medians[c][0]) for c in used]
-    if settings.winsorizes and steps:
-        bounds = exact_quantiles(
-            train,
-            {s.column: (s.imputed(), [max(settings.winsor_lower, 0.0), min(settings.winsor_upper, 1.0)]) for s in steps},
-            counts=dict.fromkeys(used, shape["n"]),
-        )
-        steps = [
-            NumericStep(s.column, s.median, bounds[s.column][0], max(bounds[s.column][1], bounds[s.column][0] + 1e-12))
-            for s in steps
-        ]
+    used = {c: counts[c] for c in columns if counts[c]}
+    bounds = [max(settings.winsor_lower, 0.0), min(settings.winsor_upper, 1.0)] if settings.winsorizes else []
+    found = filled_quantiles(train, used, shape["n"], bounds)
+    steps = [NumericStep(c, median, *((low_high[0], max(low_high[1], low_high[0] + 1e-12)) if low_high else ())) for c, (median, low_high) in found.items()]
     if settings.scale_numeric and steps:
         moments = train.agg(
             *[F.avg(s.clipped()).alias(f"m{i}") for i, s in enumerate(steps)],

@@ -140,3 +140,36 @@ def exact_quantiles(
             for h in positions
         ]
     return result
+
+
+def filled_quantiles(
+    df: DataFrame, counts: Mapping[str, int], rows: int, bounds: Sequence[float], kept_rows: int = KEPT_ROWS
+) -> dict[str, tuple[float, list[float]]]:
+    """Median of each column, and the quantiles ``bounds`` of it after its gaps were filled with the median.
+
+    One search serves both: ``gaps`` more medians move a rank of the filled column by at most that many
+    places, so its value is the middle one of the median and the values at both ranks of the raw column.
+    """
+    inner = {name: (count - 1) / 2 for name, count in counts.items()}
+    outer = [q * (rows - 1) for q in bounds]
+    wanted, edges = {}, dict.fromkeys(r for h in outer for r in (math.floor(h), math.ceil(h)))
+    for name, count in counts.items():
+        ranks = [math.floor(inner[name]), math.ceil(inner[name])]
+        ranks += [r for edge in edges for r in (edge, edge - (rows - count)) if 0 <= r < count]
+        wanted[name] = (F.col(name), count, ranks)
+    values = order_statistics(df, wanted, kept_rows)
+    result = {}
+    for name, count in counts.items():
+        h, gaps = inner[name], rows - count
+        low, high = values[name, math.floor(h)], values[name, math.ceil(h)]
+        median = low + (high - low) * (h - math.floor(h))
+
+        def filled(rank: int) -> float:
+            return sorted((values.get((name, rank), math.inf), median, values.get((name, rank - gaps), -math.inf)))[1]
+
+        found = []
+        for h in outer:
+            low, high = filled(math.floor(h)), filled(math.ceil(h))
+            found.append(low + (high - low) * (h - math.floor(h)))
+        result[name] = (median, found)
+    return result

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 if TYPE_CHECKING:
     from panelreg.operators.trees import FeatureSpace, PackedTree, RowRule, SplitRules
 
-LOCAL_ROWS = 20_000
+LOCAL_ROWS = 100_000
 HANDED_ROWS = 20_000_000
 #: Nodes with fewer rows are searched by sorting them, larger ones by sums per bin.
 SORTED_ROWS = 512
@@ -170,17 +170,27 @@ def child_name(name: int, side: int) -> int:
 
 
 def handed_rows(source: DataFrame, space: FeatureSpace, rule: RowRule, handed: dict[int, tuple[PackedTree, list[int]]]) -> DataFrame:
-    """tree, node, g, h and the bins of the drawn rows of the handed nodes."""
-    from panelreg.operators.trees import drawn_rows
+    """tree, node, g, h and the bins of the drawn rows of the handed nodes; and of each task the errors, under the tree TOTALS."""
+    from panelreg.operators.trees import TOTALS, drawn_rows
 
     names = ["tree", "node", "g", "h", *(f"s{i}" for i in range(len(space.sizes)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        error = np.zeros(2)
+
+        def report(columns: dict[str, np.ndarray], gradient: np.ndarray) -> None:
+            error[:] += rule.errors(columns, gradient)
+
+        def made(columns: list, bins: np.ndarray) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64())
+            fixed = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*fixed, *(pa.array(bins[:, i].astype(np.int32)) for i in range(len(space.sizes)))], names)
+
         for batch in batches:
-            for t, nodes, at, g, h, bins in drawn_rows(batch, space, rule, handed):
-                columns = [pa.array(np.full(len(at), t, np.int32)), pa.array(np.array(nodes, np.int64)[at]), pa.array(g), pa.array(h)]
-                columns += [pa.array(bins[:, i].astype(np.int32)) for i in range(len(space.sizes))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for t, nodes, at, g, h, bins in drawn_rows(batch, space, rule, handed, report if rule.errors is not None else None):
+                yield made([np.full(len(at), t), np.array(nodes)[at], g, h], bins)
+        if rule.errors is not None:
+            yield made([[TOTALS], [0], error[:1], error[1:]], np.zeros((1, len(space.sizes)), int))
 
     kinds = ["int", "long", "double", "double", *["int"] * len(space.sizes)]
     return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
@@ -197,13 +207,17 @@ def finish_subtrees(
 ) -> DataFrame:
     """A row for each handed (tree, node): its sums, and the splits of its subtree in the order they were made.
 
-    ``places`` has each node's name and depth."""
+    ``places`` has each node's name and depth. Errors come as the sums of a row of the tree TOTALS."""
+
     def finish(table: pa.Table) -> pa.Table:
         tree, node = table["tree"][0].as_py(), table["node"][0].as_py()
         g, h = (table[c].to_numpy() for c in "gh")
-        bins = np.column_stack([table[f"s{i}"].to_numpy() for i in range(len(space.sizes))]) if space.sizes else np.zeros((len(g), 0), np.int64)
-        mask = masks[tree, node] if masks else None
-        made = NodeSearch(space, rules).grow(tree, *places[tree, node], bins, g, h, mask)
+        made = []
+        if (tree, node) in places:
+            slots = [table[f"s{i}"].to_numpy() for i in range(len(space.sizes))]
+            bins = np.column_stack(slots) if slots else np.zeros((len(g), 0), np.int64)
+            mask = masks[tree, node] if masks else None
+            made = NodeSearch(space, rules).grow(tree, *places[tree, node], bins, g, h, mask)
         columns = {"tree": [tree], "node": [node], "g": [g.sum()], "h": [h.sum()]}
         columns |= {"parent": [[n for n, _, _ in made]], "depth": [[d for _, d, _ in made]]}
         columns |= {f: [[getattr(s, f) for _, _, s in made]] for f in FINISHED if f not in columns}

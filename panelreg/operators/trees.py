@@ -423,14 +423,14 @@ def grow_trees(
     chosen: Callable[[int, int], np.ndarray] | None = None,
     on_errors: Callable[[float, float], None] | None = None,
     rows: int | None = None,
+    local_rows: int = LOCAL_ROWS,
 ) -> list[Tree]:
-    """Grow all the given trees together, one level at a time, and finish all nodes of up to LOCAL_ROWS rows in the end.
+    """Grow all the given trees together, one level at a time, and finish all nodes of up to ``local_rows`` rows in the end.
 
-    ``rows`` is the number of rows a tree's root can have, if known. The root is grown by histograms where
-    errors are to be reported."""
+    ``rows`` is the number of rows a tree's root can have, if known."""
     trees = {t: Tree() for t in tree_ids}
     # the rows of each open node
-    open_nodes = {t: {0: rows if rows is not None and on_errors is None else np.inf} for t in tree_ids}
+    open_nodes = {t: {0: np.inf if rows is None else rows} for t in tree_ids}
     # (tree, node) of nodes to be finished: their rows and depth
     small: dict[tuple[int, int], tuple[int, int]] = {}
     depth = 0
@@ -438,8 +438,8 @@ def grow_trees(
     most_tasks = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while open_nodes:
         for t, nodes in open_nodes.items():
-            small |= {(t, node): (int(n), depth) for node, n in nodes.items() if n <= LOCAL_ROWS}
-        large = {t: [node for node, n in nodes.items() if n > LOCAL_ROWS] for t, nodes in open_nodes.items()}
+            small |= {(t, node): (int(n), depth) for node, n in nodes.items() if n <= local_rows}
+        large = {t: [node for node, n in nodes.items() if n > local_rows] for t, nodes in open_nodes.items()}
         grown: dict[int, dict[int, float]] = {}
         splitting = rules.max_depth is None or depth < rules.max_depth
         for group in _passes({t: nodes for t, nodes in large.items() if nodes}, int(space.offsets[-1])):
@@ -461,12 +461,13 @@ def grow_trees(
                     continue
                 left, right = _split(tree, node, row, space, rules, depth)
                 grown.setdefault(row["tree"], {}).update({left: row["c_all"] - row["c_right"], right: row["c_right"]})
+            on_errors = None
         depth += 1
-        on_errors = None
         at_limit = rules.max_depth is not None and depth >= rules.max_depth
         open_nodes = {} if at_limit else dict(sorted(grown.items()))
     for lot in lots([(t, node, n) for (t, node), (n, _) in sorted(small.items())]):
-        _finish(source, space, rule, rules, trees, lot, {pair: level for pair, (_, level) in small.items()}, chosen)
+        _finish(source, space, rule, rules, trees, lot, {pair: level for pair, (_, level) in small.items()}, chosen, on_errors)
+        on_errors = None
     return [trees[t] for t in tree_ids]
 
 
@@ -479,13 +480,18 @@ def _finish(
     lot: dict[int, list[int]],
     depths: dict[tuple[int, int], int],
     chosen: Callable[[int, int], np.ndarray] | None,
+    on_errors: Callable[[float, float], None] | None,
 ) -> None:
     """Hang the finished subtrees of a lot of nodes into their trees."""
     handed = {t: (trees[t].packed(), nodes) for t, nodes in lot.items()}
     pairs = [(t, node) for t, nodes in lot.items() for node in nodes]
     places = {(t, node): (trees[t].name[node], depths[t, node]) for t, node in pairs}
     masks = {pair: chosen(*pair) for pair in pairs} if chosen else None
-    for found in finish_subtrees(source, space, rule, rules, handed, places, masks).toLocalIterator():
+    for found in finish_subtrees(source, space, rule, rules, handed, places, masks).collect():
+        if found["tree"] == TOTALS:
+            if on_errors is not None:
+                on_errors(found["g"], found["h"])
+            continue
         tree, node = trees[found["tree"]], found["node"]
         if node == 0:
             tree.value[0], tree.weight[0] = rules.leaf(found["g"], found["h"]), found["h"]

@@ -79,6 +79,35 @@ def test_collinear_ols_is_the_shortest_solution_and_predicts_alike(sample):
     assert ours == pytest.approx(theirs)
 
 
+def test_nearly_collinear_columns_keep_their_digits(spark):
+    """Against exact fractions; the cross products' condition is beyond what doubles hold."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(a) + 2.0**-12 * float(d), float(3 * a - 500 * d + e)) for a, d, e in rng.integers(0, 4096, (400, 3))]
+    frame = spark.createDataFrame(rows, "a double, b double, label double").repartition(7)
+    preparation = fit_preparation(frame, FeatureColumns(("a", "b"), ()), PrepSettings())
+    design = [[Fraction(1), Fraction(a), Fraction(b)] for a, b, _ in rows]
+    target = [Fraction(y) for _, _, y in rows]
+    system = [[sum(r[i] * r[j] for r in design) for j in range(3)] + [sum(r[i] * y for r, y in zip(design, target))] for i in range(3)]
+    for i in range(3):
+        for j in range(3):
+            if i != j:
+                factor = system[j][i] / system[i][i]
+                system[j] = [x - factor * z for x, z in zip(system[j], system[i])]
+    expected = [float(system[i][3] / system[i][i]) for i in range(3)]
+    assert [c for _, c in fit_ols(preparation.apply(frame), preparation).rows()] == pytest.approx(expected, rel=1e-7)
+
+
+def test_least_squares_without_rows_or_with_fewer_than_columns(sample):
+    _, prepared, preparation, _ = sample
+    assert set(c for _, c in fit_ols(prepared.limit(0), preparation).rows()) == {0.0}
+    few = prepared.where("key < 3")
+    fit = fit_ols(few, preparation)
+    scored = few.select("label", fit.score().alias("p")).toPandas()
+    assert scored["p"].to_numpy() == pytest.approx(scored["label"].to_numpy(), abs=1e-8)
+
+
 def test_huber_is_stationary_and_resists_outliers(sample):
     _, prepared, preparation, _ = sample
     spoiled = prepared.withColumn("label", F.when(F.col("key") % 50 == 0, 500.0).otherwise(F.col("label")))
@@ -114,13 +143,13 @@ def grow_by_hand(x, g, h, depth, lam, alpha, gamma, mcw, rows, level=0):
     return out
 
 
-@pytest.mark.parametrize("refresh", [1, 10])
-def test_boosting_matches_plain_numpy(sample, refresh):
+@pytest.mark.parametrize(("refresh", "local"), [(1, 0), (10, 0), (1, 100_000)])
+def test_boosting_matches_plain_numpy(sample, refresh, local):
     _, prepared, preparation, design = sample
     x, y = matrix(design)
     settings = BoostSettings(
         n_rounds=3, learning_rate=0.4, max_depth=3, subsample=1.0, column_share=1.0, lambda_=2.0, alpha=0.5,
-        gamma=0.5, min_child_weight=5, refresh_rounds=refresh,
+        gamma=0.5, min_child_weight=5, refresh_rounds=refresh, local_rows=local,
     )
     model = fit_boosting(prepared, preparation, settings)
     expected = np.full(len(y), y.mean())
@@ -132,10 +161,11 @@ def test_boosting_matches_plain_numpy(sample, refresh):
     assert sum(shares) == pytest.approx(1.0) and shares == sorted(shares, reverse=True)
 
 
-def test_forest_matches_plain_numpy(sample):
+@pytest.mark.parametrize("local", [0, 100_000])
+def test_forest_matches_plain_numpy(sample, local):
     _, prepared, preparation, design = sample
     x, y = matrix(design)
-    settings = ForestSettings(n_trees=3, max_depth=4, min_rows_leaf=7, max_features=1.0, seed=9)
+    settings = ForestSettings(n_trees=3, max_depth=4, min_rows_leaf=7, max_features=1.0, seed=9, local_rows=local)
     forest, binned = fit_forest(prepared, preparation, settings)
     keys = design["key"].to_numpy()
     trees, total, count = [], np.zeros(len(y)), np.zeros(len(y))
@@ -173,8 +203,7 @@ def test_cells_of_one_level_may_need_several_scans(sample, monkeypatch):
     from panelreg.operators import trees
 
     _, prepared, preparation, _ = sample
-    settings = ForestSettings(n_trees=3, max_depth=3, max_features=1.0)
-    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
+    settings = ForestSettings(n_trees=3, max_depth=3, max_features=1.0, local_rows=0)
     whole, _ = fit_forest(prepared, preparation, settings)
     monkeypatch.setattr(trees, "CELL_BUDGET", 300)
     parts, _ = fit_forest(prepared, preparation, settings)

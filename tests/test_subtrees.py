@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -56,24 +58,22 @@ def test_forests_do_not_depend_on_where_nodes_are_finished(sample, settings, mon
     prepared, preparation = sample
     grown = []
     for rows, sorted_rows in ((0, 512), (700, 512), (100_000, 512), (100_000, 10**9), (100_000, 0)):
-        monkeypatch.setattr(trees, "LOCAL_ROWS", rows)
         monkeypatch.setattr(subtrees, "SORTED_ROWS", sorted_rows)
-        forest, binned = fit_forest(prepared, preparation, settings)
+        forest, binned = fit_forest(prepared, preparation, replace(settings, local_rows=rows))
         binned.unpersist()
         grown.append([shape(t) for t in forest.trees])
     assert all(g == grown[0] for g in grown[1:])
 
 
-def test_boosting_with_column_masks_and_held_rows(sample, monkeypatch):
+def test_boosting_with_column_masks_and_held_rows(sample):
     prepared, preparation = sample
     rows = prepared.withColumn("fold", (prepared["key"] % 5 == 0).cast("int"))
     settings = BoostSettings(n_rounds=4, learning_rate=0.5, max_depth=5, subsample=0.8, column_share=0.5, alpha=0.5, gamma=0.5, min_child_weight=4, refresh_rounds=2)
     grown = []
-    for limit in (0, 900):
-        monkeypatch.setattr(trees, "LOCAL_ROWS", limit)
-        model = fit_boosting(rows, preparation, settings, fold="fold")
+    for limit in (0, 900, 100_000):
+        model = fit_boosting(rows, preparation, replace(settings, local_rows=limit), fold="fold")
         grown.append(([shape(t) for t in model.trees], [round(e, 9) for e in model.curve]))
-    assert grown[0] == grown[1]
+    assert len(grown[0][1]) == 4 and grown[0] == grown[1] == grown[2]
 
 
 def test_few_scans_for_many_deep_trees(sample, monkeypatch):
@@ -83,13 +83,11 @@ def test_few_scans_for_many_deep_trees(sample, monkeypatch):
     monkeypatch.setattr(trees, "histogram_cells", lambda *a, real=trees.histogram_cells: scans.append("level") or real(*a))
     monkeypatch.setattr(trees, "finish_subtrees", lambda *a, real=trees.finish_subtrees: scans.append("lot") or real(*a))
     settings = ForestSettings(n_trees=12, max_depth=9, max_features=1.0)
-    monkeypatch.setattr(trees, "LOCAL_ROWS", 1_500)
-    fit_forest(prepared, preparation, settings)
+    fit_forest(prepared, preparation, replace(settings, local_rows=1_500))
     with_lots = list(scans)
     assert with_lots.count("level") <= 6 and with_lots.count("lot") == 1
     scans.clear()
-    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
-    fit_forest(prepared, preparation, settings)
+    fit_forest(prepared, preparation, replace(settings, local_rows=0))
     assert scans == ["level"] * 9
 
 
