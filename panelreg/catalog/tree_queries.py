@@ -16,7 +16,7 @@ from panelreg.functions.target import to_learning_scale
 from panelreg.operators.boosting import ROWS, BoostSettings, column_mask, fit_boosting, fit_ml_boosting
 from panelreg.operators.evaluate import metric_columns
 from panelreg.operators.forest import ForestSettings, bag_stream, fit_forest, fit_ml_forest
-from panelreg.operators.permutation import SHUFFLE, permutation_importance
+from panelreg.operators.permutation import ROUNDS as FEISTEL_ROUNDS, SHUFFLE, permutation_importance
 from panelreg.operators.preprocess import Preparation, PrepSettings, fit_preparation
 from panelreg.operators.trees import (
     RowRule, SplitRules, Tree, bin_columns, feature_space, histogram_cells, scan_source, split_candidates,
@@ -429,22 +429,35 @@ def boost_handed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPEATS = 3
-BLOCKS = 7
-SHUFFLES_SQL = "shuffles(place, repeat, stream) AS (VALUES " + ", ".join(
-    f"({p}, {r}, {stream_word(SEED, SHUFFLE, p, r)}::BIGINT)" for p in range(2) for r in range(REPEATS)
+
+ROUND_SQL = f"""SELECT * EXCLUDE (l, r), l * lower + r AS target FROM (
+  SELECT * REPLACE ((r + {hash_word_sql("l", "s3")}) % lower AS r) FROM (
+  SELECT * REPLACE ((l + {hash_word_sql("r", "s2")}) % upper AS l) FROM (
+  SELECT * REPLACE ((r + {hash_word_sql("l", "s1")}) % lower AS r) FROM (
+  SELECT * EXCLUDE (l), (l + {hash_word_sql("r", "s0")}) % upper AS l FROM (
+  SELECT * EXCLUDE (target), target // lower AS l, target % lower AS r FROM {{rows}})))))"""
+SHUFFLES_SQL = "shuffles(repeat, s0, s1, s2, s3) AS (VALUES " + ", ".join(
+    f"({r}, " + ", ".join(f"{stream_word(SEED, SHUFFLE, r, k)}::BIGINT" for k in range(FEISTEL_ROUNDS)) + ")" for r in range(REPEATS)
 ) + ")"
+# numbers beyond the last one go through the rounds again; more than five times is unheard of
+WALKS = 5
+WALK_SQL = ", ".join(
+    f"w{i + 1} AS ({ROUND_SQL.format(rows=f'w{i}' if not i else f'(FROM w{i} WHERE target >= rows_)')}"
+    + (f" UNION ALL BY NAME FROM w{i} WHERE target < rows_" if i else "")
+    + ")"
+    for i in range(WALKS)
+)
 
 
 @query(
     f"""WITH {HH}, med AS (SELECT median(acctbal) AS ma, median(n_lines) AS mn FROM tr), {SHUFFLES_SQL},
-rows0 AS (SELECT hh_id, {LABEL} AS y, coalesce(acctbal, ma) AS a, coalesce(n_lines, mn) AS n,
-  floor({digest_sql('hh_id', SEED, 8)} / {RANGE} * {BLOCKS}) AS block
-  FROM te, med),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY hh_id) AS i FROM rows0),
-mixed AS (SELECT block, place, repeat, a, n, row_number() OVER (PARTITION BY block, place, repeat
-  ORDER BY {hash_word_sql('hh_id', 'stream')}, hh_id) AS i FROM rows0, shuffles),
-errors AS (SELECT m.place, m.repeat, avg(abs(y - (9 + 0.0001 * CASE WHEN m.place = 0 THEN m.a ELSE o.a END
-  + 0.6 * CASE WHEN m.place = 1 THEN m.n ELSE o.n END))) AS e FROM numbered o JOIN mixed m ON o.block = m.block AND o.i = m.i GROUP BY 1, 2),
+rows0 AS (SELECT {LABEL} AS y, coalesce(acctbal, ma) AS a, coalesce(n_lines, mn) AS n, row_number() OVER (ORDER BY hh_id) - 1 AS number,
+  count(*) OVER () AS rows_ FROM te, med),
+sized AS (SELECT *, CAST(floor(sqrt(rows_ - 1)) AS BIGINT) + 1 AS upper FROM rows0),
+w0 AS (SELECT *, number AS target, CAST(ceil(rows_ / upper) AS BIGINT) AS lower FROM sized, shuffles), {WALK_SQL},
+errors AS (SELECT place, d.repeat, avg(abs(o.y - (9 + 0.0001 * CASE WHEN place = 0 THEN d.a ELSE o.a END
+  + 0.6 * CASE WHEN place = 1 THEN d.n ELSE o.n END))) AS e
+  FROM w{WALKS} d JOIN rows0 o ON o.number = d.target, (VALUES (0), (1)) p(place) GROUP BY 1, 2),
 base AS (SELECT avg(abs(y - (9 + 0.0001 * a + 0.6 * n))) AS b FROM rows0)
 SELECT CASE place WHEN 0 THEN 'acctbal' ELSE 'n_lines' END AS feature, round(avg(e - b), 6) AS pi_mean, round(stddev_pop(e - b), 6) AS pi_std
 FROM errors, base GROUP BY place"""
@@ -455,8 +468,7 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     preparation = fit_preparation(split.train, split.features, PrepSettings())
     test = preparation.apply(split.test).withColumn("key", F.col("hh_id"))
     table = permutation_importance(
-        test, preparation, lambda columns: 9 + 0.0001 * columns[0] + 0.6 * columns[1], repeats=REPEATS, seed=SEED,
-        blocks=BLOCKS,
+        test, preparation, lambda columns: 9 + 0.0001 * columns[0] + 0.6 * columns[1], repeats=REPEATS, seed=SEED
     )
     return rounded(table, pi_mean=6, pi_std=6)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelreg.operators.evaluate import r2
 from panelreg.operators.forest import ForestSettings, fit_forest
-from panelreg.operators.permutation import BLOCKS, permutation_importance
+from panelreg.operators.permutation import permutation_importance
 from panelreg.operators.preprocess import fit_preparation
 from panelreg.plans.common import ModelRun, RunSettings, as_table, fit_scored, prepare_split, store_training, write_report
 from panelreg.session import StoredTable
@@ -24,7 +24,6 @@ def run_forest(
     oob: bool = False,
     permutation: bool = False,
     repeats: int = 5,
-    blocks: int = BLOCKS,
 ) -> ModelRun:
     """Areas count as features down to the district unless the settings name a level."""
     settings = replace(settings, geography=settings.geography or "district")
@@ -53,10 +52,9 @@ def run_forest(
                 lambda columns: sum(t.predict(as_table(columns), binned=False) for t in trees) / len(trees),
                 repeats=repeats,
                 seed=forest.seed,
-                blocks=blocks,
             )
-            # one row per column: kept as rows, so the stored table can go
-            run.permutation = run.spark.createDataFrame(table.collect(), table.schema)
+            # one row per column, from lines that are kept already
+            run.permutation = table
         finally:
             stored.drop()
     return run

@@ -10,7 +10,7 @@ from panelreg.operators.evaluate import group_mae, metric_columns
 from panelreg.operators.forest import ForestSettings, bag_stream, feature_share, fit_forest, fit_ml_forest
 from panelreg.operators.linear import fit_huber, fit_ols, huber_gradient
 from panelreg.functions.hashing import poisson_array
-from panelreg.operators.permutation import permutation_importance, shuffled_errors
+from panelreg.operators.permutation import permutation_importance, permuted, shuffled_errors
 from panelreg.operators.preprocess import PrepSettings, fit_preparation
 from panelreg.operators.validation import split_by_share, split_exact
 from panelreg.sources.roles import FeatureColumns
@@ -259,14 +259,39 @@ def predictor(columns):
 
 def test_permutation_importance_ranks_the_inputs(sample):
     pdf, prepared, preparation, _ = sample
-    table = permutation_importance(prepared, preparation, predictor, repeats=3, blocks=2)
+    table = permutation_importance(prepared, preparation, predictor, repeats=3)
     rows = {r["feature"]: r for r in table.collect()}
     assert list(rows)[0] == "a" and rows["b"]["pi_mean"] == pytest.approx(0) and rows["a"]["pi_mean"] > rows["c"]["pi_mean"] > 0
 
 
-def test_shuffling_in_blocks_keeps_every_value(sample):
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 90, 1000, 4099])
+def test_permutations_are_bijections(n):
+    rows = [permuted(np.arange(n), n, 42, repeat) for repeat in range(3)]
+    assert all(np.array_equal(np.sort(r), np.arange(n)) for r in rows)
+    if n > 50:
+        assert not np.array_equal(rows[0], rows[1]) and (rows[0] == np.arange(n)).sum() < 10
+        # neighbours part
+        assert (np.abs(np.diff(rows[0])) == 1).mean() < 0.1
+
+
+def test_shuffled_errors_by_hand(sample):
+    _, prepared, preparation, _ = sample
+    rows = prepared.where("key < 777").repartition(5)
+    table = rows.orderBy("key").select("label", *preparation.prepared_columns).toPandas().to_numpy()
+    expected = {(-1, 0): np.abs(table[:, 0] - predictor(table[:, 1:].T)).mean()}
+    for repeat in range(2):
+        target = permuted(np.arange(777), 777, 5, repeat)
+        for place in range(3):
+            mixed = table[:, 1:].copy()
+            mixed[target, place] = table[:, 1 + place]
+            expected[place, repeat] = np.abs(table[:, 0] - predictor(mixed.T)).mean()
+    found = shuffled_errors(rows, preparation.prepared_columns, predictor, repeats=2, seed=5).collect()
+    assert {(r["place"], r["repeat"]): r["error"] for r in found} == pytest.approx(expected)
+
+
+def test_shuffling_keeps_every_value(sample):
     _, prepared, preparation, _ = sample
     # with the label zero and the column itself as prediction, the error is the column's mean
     rows = prepared.withColumn("label", F.lit(0.0))
-    errors = shuffled_errors(rows, preparation.prepared_columns, lambda c: c[0], repeats=2, blocks=5).toPandas()
+    errors = shuffled_errors(rows, preparation.prepared_columns, lambda c: c[0], repeats=2).toPandas()
     assert errors["error"].to_numpy() == pytest.approx(np.full(len(errors), errors["error"].iloc[0]))
