@@ -6,11 +6,14 @@ of documents, the last adds the token ids and their number. A stage reads the ot
 ``sf_dir``.
 
 Every row is a document, also those with a repeated doc_id or none: the stages that drop by name write their
-rows with a key first, and drop by that key.
+rows with a key first, and drop by that key. Extra columns come out as they went in, whatever their names:
+those that a stage's operator would replace are set aside meanwhile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,49 +25,68 @@ from panelreg.llm.registry import table
 from panelreg.llm.toxicity import fit, score_toxicity, with_labels
 from panelreg.session import new_path
 
-#: The column of a row's key inside a stage.
-KEY = "_row_key"
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or the first one made longer that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with columns of these names called otherwise, and what restores the columns of a result."""
+    moved = {c: unused(docs, f"_own_{c}") for c in docs.columns if c.lower() in names}
+
+    def restored(result: DataFrame) -> DataFrame:
+        return result.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))
+
+    return docs.withColumnsRenamed(moved), restored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, learned from the labelled ones among them, doesn't call toxic."""
     params = fit(with_labels(docs, table(spark, sf_dir, "labels")))
-    return score_toxicity(docs, params).where("predicted = 0").select(*docs.columns)
+    rows, restored = set_aside(docs, "score", "predicted")
+    return restored(score_toxicity(rows, params).where("predicted = 0"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a letter, whether or not a language could be learned."""
-    predicted = predict_language(docs, labelled_texts(docs.where(~held_out())))
-    return predicted.where("parsed > 0").select(*docs.columns)
+    texts = labelled_texts(docs.where(~held_out()))
+    rows, restored = set_aside(docs, "lang_pred", "score", "parsed")
+    return restored(predict_language(rows, texts).where("parsed > 0"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row, written, so that it is the same whenever it is read."""
-    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of each row, written, so that it is the same whenever it is read; and the key's name."""
+    key = unused(docs, "_row_key")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def by_key(docs: DataFrame) -> DataFrame:
+def by_key(docs: DataFrame, key: str) -> DataFrame:
     """key (as doc_id) and text."""
-    return docs.select(F.col(KEY).alias("doc_id"), "text")
+    return docs.select(F.col(key).alias("doc_id"), "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each near-duplicate class; those without doc_id come last."""
-    rows = keyed(docs)
-    classes = near_classes(by_key(rows)).where("class_size > 1").select(F.col("doc_id").alias(KEY), "class_id")
-    named = written(rows.select(KEY, "doc_id").join(classes, KEY), "classes")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))
-    kept = named.groupBy("class_id").agg(best[KEY].alias("kept"))
-    gone = named.join(kept, "class_id").where(F.col(KEY) != F.col("kept")).select(KEY)
-    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    classes = near_classes(by_key(rows, key)).where("class_size > 1").select(F.col("doc_id").alias("row"), "class_id")
+    named = written(rows.select(F.col(key).alias("row"), "doc_id").join(classes, "row"), "classes")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = named.groupBy("class_id").agg(best["row"].alias("kept"))
+    gone = named.join(kept, "class_id").where("row <> kept").select(F.col("row").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = keyed(docs)
-    found = contaminated(by_key(rows), table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias(KEY)).distinct()
-    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    found = contaminated(by_key(rows, key), table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
