@@ -55,6 +55,17 @@ def test_rows_without_or_with_equal_ids(spark):
     assert sorted(map(str, (tuple(r) for r in free))) == sorted(map(str, [(None, "own text"), (1, "other")]))
 
 
+def test_extra_columns_come_out_as_they_went_in(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["score", "predicted", "lang_pred", "Parsed", "_row_key", "class_id", "kept", "node", "row", "size", "start", "item_id", "_own_score"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names}).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, wide, SF)
+        assert kept.columns == wide.columns, name
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+
+
 def test_texts_without_labels_stay(spark):
     docs = spark.createDataFrame([(1, "der die das", None), (2, "12 !!", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).collect()] == [1]
