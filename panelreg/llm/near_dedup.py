@@ -21,8 +21,9 @@ buckets whose nodes it left in several components are a crowd, and all of a crow
 
 Crowds. A node's elements are put in one order for all, by how often they occur in the crowds (counted in
 2 ** ``SLOT_BITS`` slots of their hash; any order gives all pairs, the count keeps common passages behind). Of two
-nodes of similarity ``NEAR`` the first element they share lies in the first 1 - ``NEAR`` of both, so nodes meet at those
-elements, if they are in different components and the elements that can still follow suffice.
+nodes of similarity ``NEAR`` the first element they share lies in the first 1 - ``NEAR`` of the larger and in the first
+(1 - ``NEAR``) / (1 + ``NEAR``) of the smaller, so nodes meet at those elements, if they are in different components, their
+sizes are near enough and the elements that can still follow suffice.
 
 Verification first bounds the similarity of a pair by its nodes' sketches, the numbers of their elements in each
 of ``SKETCH`` slots of a hash: what two nodes share is at most the sum of the lesser numbers. Pairs whose bound
@@ -342,21 +343,24 @@ def crowd_pairs(crowd: DataFrame, nodes: DataFrame, documents: DataFrame, near:
         return frame.withColumnsRenamed({c: f"{c}_{label}" for c in frame.columns if c != "element"})
 
     def enough(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
-        """Sizes are near enough, and what follows the shared element can make up the similarity."""
-        alike = (F.col(high_a) + SLACK >= F.col(low_b) * near) & (F.col(high_b) + SLACK >= F.col(low_a) * near)
+        """a may be the smaller one, sizes are near enough, and what follows the shared element can make up the similarity."""
+        alike = (F.col(low_a) <= F.col(high_b)) & (F.col(high_a) + SLACK >= F.col(low_b) * near)
         needed = (F.col(low_a) + F.col(low_b)) * (near / (1 + near))
         return alike & (F.least("after_a", "after_b") + SLACK >= needed)
 
+    # the smaller one of two shares one of its first elements by a shorter measure
+    shorter = rows.where(F.col("size") - F.col("after") <= (1 - 2 * near / (1 + near)) * F.col("size") + SLACK)
+
+    def groups(frame: DataFrame) -> DataFrame:
+        return frame.groupBy("element", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("after").alias("after"))
+
     # components first, so that nodes of one component never meet
-    parts_ = rows.groupBy("element", "root").agg(
-        F.min("size").alias("low"), F.max("size").alias("high"), F.max("after").alias("after")
-    )
-    met = side(parts_, "a").join(side(parts_, "b"), "element").where("root_a < root_b").where(
-        enough("low_a", "high_a", "low_b", "high_b")
-    )
-    met = met.select("element", "root_a", "root_b")
-    both = met.join(side(rows, "a"), ["element", "root_a"]).join(side(rows, "b"), ["element", "root_b"])
-    pairs = both.where(enough("size_a", "size_a", "size_b", "size_b"))
+    met = side(groups(shorter), "a").join(side(groups(rows), "b"), "element").where("root_a <> root_b")
+    met = met.where(enough("low_a", "high_a", "low_b", "high_b"))
+    few = side(shorter, "a")
+    met = met.select("element", "root_a", "root_b", "low_b", "high_b", "after_b").join(few, ["element", "root_a"])
+    met = met.where(enough("size_a", "size_a", "low_b", "high_b")).drop("low_b", "high_b", "after_b")
+    pairs = met.join(side(rows, "b"), ["element", "root_b"]).where(enough("size_a", "size_a", "size_b", "size_b"))
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
