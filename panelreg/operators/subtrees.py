@@ -22,7 +22,7 @@ if TYPE_CHECKING:
     from panelreg.operators.trees import FeatureSpace, PackedTree, RowRule, SplitRules
 
 LOCAL_ROWS = 100_000
-HANDED_ROWS = 20_000_000
+HANDED_ROWS = 100_000_000
 #: Nodes with fewer rows are searched by sorting them, larger ones by sums per bin.
 SORTED_ROWS = 512
 

@@ -3,7 +3,8 @@
 One scan per level serves every tree that is growing: each task reduces its rows to sums per
 (tree, node, feature, bin), those cells are added up in one shuffle whose size does not depend
 on the number of rows, and the best split per node is picked with window functions. Only the
-chosen splits, one row per growing node, reach the driver. Nodes that have become small leave this
+chosen splits, one row per growing node, reach the driver. Of two siblings only the smaller one is summed: the
+cells of the other are those of their parent, kept from the level before, without it. Nodes that have become small leave this
 scheme: their subtrees are finished by ``subtrees``, so the table is scanned for the upper levels only.
 
 Boosting and forests share this: with gradient g and hessian h per row the split gain is the
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -398,6 +400,19 @@ def histogram_cells(
     return partial.groupBy("tree", "node", "feature", "bin").agg(*[F.expr(f"sum({v}) AS {v}") for v in "ghc"])
 
 
+def with_siblings(cells: DataFrame, parents: DataFrame, pairs: Sequence[tuple[int, int, int, int]]) -> DataFrame:
+    """The cells of summed nodes and those of their siblings, which are the parents' cells without them.
+
+    ``pairs`` are (tree, parent, summed node, sibling). Row counts are whole, so a cell without rows is known exactly."""
+    lines = F.broadcast(cells.sparkSession.createDataFrame(list(pairs), "tree int, parent long, summed long, sibling long"))
+    place = ["tree", F.col("sibling").alias("node"), "feature", "bin"]
+    whole = parents.join(lines.withColumnRenamed("parent", "node"), ["tree", "node"]).select(*place, "g", "h", "c")
+    own = cells.join(lines.withColumnRenamed("summed", "node"), ["tree", "node"])
+    rest = whole.unionByName(own.select(*place, *((-F.col(v)).alias(v) for v in "ghc")))
+    left = rest.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(v).alias(v) for v in "ghc"]).where("c > 0.5")
+    return cells.unionByName(left)
+
+
 def _passes(open_nodes: dict[int, list[int]], width: int) -> Iterator[dict[int, list[int]]]:
     """Groups of growing nodes whose sums fit a task's memory together."""
     limit = max(CELL_BUDGET // (3 * max(width, 1)), 1)
@@ -436,20 +451,35 @@ def grow_trees(
     depth = 0
     source = scan_source(binned, space, rule)
     most_tasks = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the cells of the level before, and for a summed node its sibling and parent
+    kept: list[DataFrame] = []
+    twins: dict[tuple[int, int], tuple[int, int]] = {}
     while open_nodes:
         for t, nodes in open_nodes.items():
             small |= {(t, node): (int(n), depth) for node, n in nodes.items() if n <= local_rows}
-        large = {t: [node for node, n in nodes.items() if n > local_rows] for t, nodes in open_nodes.items()}
+        derived = {(t, other) for (t, _), (other, _) in twins.items()}
+        large = {t: [node for node, n in nodes.items() if n > local_rows and (t, node) not in derived] for t, nodes in open_nodes.items()}
         grown: dict[int, dict[int, float]] = {}
+        parents = reduce(DataFrame.unionByName, kept) if kept else None
+        before, kept = kept, []
         splitting = rules.max_depth is None or depth < rules.max_depth
         for group in _passes({t: nodes for t, nodes in large.items() if nodes}, int(space.offsets[-1])):
             packed = {t: (trees[t].packed(), nodes) for t, nodes in group.items()}
-            by_name = {(t, trees[t].name[node]): node for t, nodes in group.items() for node in nodes}
+            summed = [(t, node) for t, nodes in group.items() for node in nodes]
+            cells = histogram_cells(source, space, rule, packed, chosen)
+            pairs = [(t, node, *twins[t, node]) for t, node in summed if (t, node) in twins]
+            if pairs or rules.max_depth is None or depth + 1 < rules.max_depth:
+                kept.append(cells.persist())
+            if pairs:
+                named = [(t, trees[t].name[parent], trees[t].name[node], trees[t].name[other]) for t, node, other, parent in pairs]
+                before.append(kept.pop())
+                cells = with_siblings(cells, parents, named).persist()
+                kept.append(cells)
+            by_name = {(t, trees[t].name[node]): node for t, node in [*summed, *((t, other) for t, _, other, _ in pairs)]}
             # all cells of a node meet in one task; there are as many tasks as open nodes, up to the default
             tasks = min(len(by_name), most_tasks)
             # added up by cell first: the partial sums of the root would crowd the task of its node
-            cells = histogram_cells(source, space, rule, packed, chosen).repartition(tasks, "tree", "node")
-            for row in sorted(best_splits(cells, rules).collect(), key=lambda r: (r["tree"], r["node"])):
+            for row in sorted(best_splits(cells.repartition(tasks, "tree", "node"), rules).collect(), key=lambda r: (r["tree"], r["node"])):
                 if row["tree"] == TOTALS:
                     if on_errors is not None:
                         on_errors(row["g_right"], row["h_right"])
@@ -462,15 +492,39 @@ def grow_trees(
                 left, right = _split(tree, node, row, space, rules, depth)
                 grown.setdefault(row["tree"], {}).update({left: row["c_all"] - row["c_right"], right: row["c_right"]})
             on_errors = None
+        for cells in before:
+            cells.unpersist()
         depth += 1
         at_limit = rules.max_depth is not None and depth >= rules.max_depth
         open_nodes = {} if at_limit else dict(sorted(grown.items()))
+        twins = _twins(trees, open_nodes, local_rows, chosen)
+    for cells in kept:
+        cells.unpersist()
     for lot in lots([(t, node, n) for (t, node), (n, _) in sorted(small.items())]):
         _finish(source, space, rule, rules, trees, lot, {pair: level for pair, (_, level) in small.items()}, chosen, on_errors)
         on_errors = None
     return [trees[t] for t in tree_ids]
 
 
+def _twins(
+    trees: dict[int, Tree],
+    open_nodes: dict[int, dict[int, float]],
+    local_rows: int,
+    chosen: Callable[[int, int], np.ndarray] | None,
+) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each pair of large siblings that may split on the features of their parent: the smaller one to the other and the parent."""
+    found = {}
+    for t, nodes in open_nodes.items():
+        tree = trees[t]
+        for parent, (left, right) in enumerate(zip(tree.left, tree.right, strict=True)):
+            if left not in nodes or right not in nodes or min(nodes[left], nodes[right]) <= local_rows or tree.feature[parent] < 0:
+                continue
+            if chosen is None or all(np.array_equal(chosen(t, parent), chosen(t, node)) for node in (left, right)):
+                summed, other = (left, right) if nodes[left] <= nodes[right] else (right, left)
+                found[t, summed] = other, parent
+    return found
+
+
 def _finish(
     source: DataFrame,
     space: FeatureSpace,

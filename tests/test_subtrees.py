@@ -91,6 +91,34 @@ def test_few_scans_for_many_deep_trees(sample, monkeypatch):
     assert scans == ["level"] * 9
 
 
+def test_of_two_siblings_one_is_summed(sample, monkeypatch):
+    """Rows that enter a level's histograms: all of them at the root, at most half of them below."""
+    prepared, preparation = sample
+    asked = []
+
+    def spy(source, space, rule, growing, chosen=None, real=trees.histogram_cells):
+        asked.append({t: (tree, list(nodes)) for t, (tree, nodes) in growing.items()})
+        return real(source, space, rule, growing, chosen)
+
+    monkeypatch.setattr(trees, "histogram_cells", spy)
+    forest, binned = fit_forest(prepared, preparation, ForestSettings(n_trees=2, max_depth=4, max_features=1.0, local_rows=0))
+    table = binned.select(*forest.space.columns).toPandas().to_numpy()
+    assert len(asked) == 4
+    for level, growing in enumerate(asked):
+        for tree, nodes in growing.values():
+            share = np.isin(tree.leaves(table, binned=True), nodes).mean()
+            assert share == 1.0 if level == 0 else share <= 0.55, (level, share)
+
+
+def test_siblings_by_subtraction(spark):
+    kind = "tree int, node long, feature int, bin int, g double, h double, c double"
+    parents = spark.createDataFrame([(0, 7, -1, 0, 10.0, 9.0, 9.0), (0, 7, 2, 1, 4.0, 5.0, 5.0), (0, 7, 2, 3, 6.0, 4.0, 4.0), (1, 7, 2, 1, 1.0, 1.0, 1.0)], kind)
+    cells = spark.createDataFrame([(0, 15, -1, 0, 3.0, 4.0, 4.0), (0, 15, 2, 1, 3.0, 1.0, 1.0), (0, 15, 2, 3, 0.0, 4.0, 4.0)], kind)
+    rows = {tuple(r)[:4]: tuple(r)[4:] for r in trees.with_siblings(cells, parents, [(0, 7, 15, 16)]).collect()}
+    assert rows[0, 16, -1, 0] == (7.0, 5.0, 5.0) and rows[0, 16, 2, 1] == (1.0, 4.0, 4.0)
+    assert (0, 16, 2, 3) not in rows and len(rows) == 5
+
+
 def test_lots():
     nodes = [(0, 3, 5), (0, 4, 6), (1, 1, 20), (2, 0, 1), (2, 5, 1)]
     assert list(lots(nodes, 10)) == [{0: [3]}, {0: [4]}, {1: [1]}, {2: [0, 5]}]
