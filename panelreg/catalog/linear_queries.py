@@ -21,7 +21,7 @@ from panelreg.plans.common import ModelRun, prepare_split
 from panelreg.plans.linear_job import linear_report, run_linear
 from panelreg.session import new_path
 from panelreg.sources.roles import FeatureColumns
-from panelreg.sources.sinks import write_small
+from panelreg.sources.sinks import write_rows, write_small
 
 LABELS = f"'time' AS run, '{','.join(map(str, TRAIN_YEARS))}' AS train_years, {TEST_YEAR} AS test_year, 'revenue' AS target"
 DIGITS = {"MAE": 6, "RMSE": 6, "R2": 6, "smearing": 6, "MAE_raw": 3, "RMSE_raw": 3, "R2_raw": 6}
@@ -122,9 +122,8 @@ def metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'province', province, round(avg(abs(y_true - y_pred)), 3) FROM scored GROUP BY 2"""
 )
 def group_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _ols_run(spark, sf_dir, group_columns=("region", "province")).group_errors()
-    named = [t.select(F.lit(g).alias("grouping"), F.col(g).alias("level"), F.round("MAE_group", 3).alias("MAE_group")) for g, t in tables.items()]
-    return reduce(DataFrame.unionByName, named)
+    """Errors of two group columns from one pass over the scored test year."""
+    return rounded(_ols_run(spark, sf_dir, group_columns=("region", "province")).group_error_lines(), MAE_group=3)
 
 
 # targets of segment BUILDING are unknown, so the level is listed without an error
@@ -180,6 +179,20 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(spark.read.csv(f"{folder}/report", header=True, schema=report.schema), folder)
 
 
+@query(
+    f"""WITH {HH}, {FITTED} SELECT hh_id, CAST(yr AS INT) AS yr, round(y_pred, 2) AS revenue_pred FROM scored
+UNION ALL SELECT hh_id, CAST(yr AS INT), -1.0 FROM hh WHERE yr <> {TEST_YEAR}"""
+)
+def predictions_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by years, written whole and then again with one year's predictions: the other years stay as they were."""
+    rows = households(spark, sf_dir).select("hh_id", F.lit(-1.0).alias("revenue_pred"), F.col("yr").cast("int").alias("yr"))
+    path = f"{new_path(spark, 'by-year')}/predictions"
+    write_rows(rows, path, "parquet", ("yr",))
+    found = _ols_run(spark, sf_dir).predictions().select("hh_id", F.round("revenue_pred", 2).alias("revenue_pred"), F.col("yr").cast("int").alias("yr"))
+    write_rows(found, path, "parquet", ("yr",))
+    return spark.read.parquet(path)
+
+
 HUBER_AT = {"intercept": 10.0, "acctbal": 0.01, "n_lines": 0.6, "scale": 0.5}
 
 

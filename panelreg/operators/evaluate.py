@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -41,3 +43,19 @@ def group_mae(scored: DataFrame, group: str, truth: str, prediction: str) -> Dat
         .agg(mae(F.col(truth), F.col(prediction)).alias("MAE_group"))
         .orderBy(group)
     )
+
+
+def group_mae_lines(scored: DataFrame, groups: Sequence[str], truth: str, prediction: str) -> DataFrame:
+    """(grouping, level, MAE_group) of several group columns from one pass over the rows, as ``group_mae`` has them."""
+    if not groups:
+        return scored.select(F.lit("").alias("grouping"), F.lit("").alias("level"), F.lit(0.0).alias("MAE_group")).limit(0)
+    rows = scored.select(*(F.col(g).cast("string").alias(f"_level_{i}") for i, g in enumerate(groups)), F.abs(F.col(truth) - F.col(prediction)).alias("_error"))
+    levels = [f"_level_{i}" for i in range(len(groups))]
+    summed = rows.groupingSets([[level] for level in levels], *levels).agg(
+        F.avg("_error").alias("MAE_group"), F.array(*(F.grouping(level) == 0 for level in levels)).alias("_kept")
+    )
+    place = F.array_position("_kept", True).cast("int")
+    named = summed.select(
+        F.element_at(F.array(*map(F.lit, groups)), place).alias("grouping"), F.element_at(F.array(*levels), place).alias("level"), "MAE_group"
+    )
+    return named.where(F.col("level").isNotNull())

@@ -41,7 +41,7 @@ def run_boosting(
     return run
 
 
-def write_boosting(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
+def write_boosting(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False, by_year: bool = False) -> None:
     with run.kept():
-        run.write(folder, fmt, save_predictions)
+        run.write(folder, fmt, save_predictions, by_year)
         write_report(run.report(), folder, "XGB", run.settings, fmt)

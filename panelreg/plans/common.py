@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelreg.functions.target import fit_smearing, invert, to_learning_scale, to_raw_prediction
-from panelreg.operators.evaluate import group_mae, metric_columns
+from panelreg.operators.evaluate import group_mae_lines, metric_columns
 from panelreg.operators.preprocess import Preparation, PrepSettings
 from panelreg.session import StoredTable
 from panelreg.sources.roles import (
@@ -162,13 +162,22 @@ class ModelRun:
         """One row for the model."""
         return self.known.agg(*self.report_columns())
 
-    def group_errors(self) -> dict[str, DataFrame]:
-        """Raw-scale error per group; coded groups list levels that only unknown targets have."""
-        coded = {step.column for step in self.preparation.categories}
+    def group_error_lines(self) -> DataFrame:
+        """(grouping, level, MAE_group) on the raw scale of all group columns, from one pass over the scored rows;
+        coded groups list levels that only unknown targets have."""
+        coded = [step.column for step in self.preparation.categories]
+        groups = [g for g in self.settings.group_columns if g in self.scored.columns]
+        lines = group_mae_lines(self.scored, groups, "y_true", "y_pred")
+        return lines.where(F.col("MAE_group").isNotNull() | F.col("grouping").isin(coded))
+
+    def group_errors(self, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The lines of each group column as a table of its own, by level."""
+        lines = self.group_error_lines() if lines is None else lines
+        kinds = dict(self.scored.dtypes)
         return {
-            g: group_mae(self.scored if g in coded else self.known, g, "y_true", "y_pred")
+            g: lines.where(F.col("grouping") == g).select(F.col("level").cast(kinds[g]).alias(g), "MAE_group").orderBy(g)
             for g in self.settings.group_columns
-            if g in self.scored.columns
+            if g in kinds
         }
 
     def predictions(self) -> DataFrame:
@@ -196,8 +205,10 @@ class ModelRun:
         finally:
             self.scored.unpersist()
 
-    def write(self, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
-        """Write the model's tables; the combined metrics table is written by its job."""
+    def write(self, folder: str, fmt: str = "csv", save_predictions: bool = False, by_year: bool = False) -> None:
+        """Write the model's tables; the combined metrics table is written by its job.
+
+        ``by_year`` puts the predictions into one table for all test years, a partition each, and replaces its own."""
         run = f"time_{self.settings.train_label}_{self.settings.test_year}"
         if self.coefficients:
             write_small(self.coefficient_table(), f"{folder}/{self.name}_coeffs_{run}", fmt)
@@ -205,9 +216,14 @@ class ModelRun:
             write_small(self.importance_table(), f"{folder}/{self.name}_feature_importance_{run}", fmt)
         if self.permutation is not None:
             write_small(self.permutation, f"{folder}/{self.name}_perm_importance_{run}", fmt)
-        for group, table in self.group_errors().items():
+        lines = self.group_error_lines().persist()
+        for group, table in self.group_errors(lines).items():
             write_small(table, f"{folder}/{self.name}_by_{group}_{run}", fmt)
-        if save_predictions:
+        lines.unpersist()
+        if save_predictions and by_year:
+            place = f"{folder}/{self.name}_preds_time_{self.settings.train_label}"
+            write_rows(self.predictions(), place, fmt, (self.settings.year_column,))
+        elif save_predictions:
             write_rows(self.predictions(), f"{folder}/{self.name}_preds_{run}", fmt)
 
 

@@ -60,7 +60,7 @@ def run_forest(
     return run
 
 
-def write_forest(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
+def write_forest(run: ModelRun, folder: str, fmt: str = "csv", save_predictions: bool = False, by_year: bool = False) -> None:
     with run.kept():
-        run.write(folder, fmt, save_predictions)
+        run.write(folder, fmt, save_predictions, by_year)
         write_report(run.report(), folder, "RF", run.settings, fmt)

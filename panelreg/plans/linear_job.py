@@ -65,10 +65,10 @@ def _shared_report(runs: list[ModelRun]) -> DataFrame:
     return frame.agg(F.array(*rows).alias("models")).select(F.inline("models"))
 
 
-def write_linear(runs: list[ModelRun], folder: str, fmt: str = "csv", save_predictions: bool = False) -> None:
+def write_linear(runs: list[ModelRun], folder: str, fmt: str = "csv", save_predictions: bool = False, by_year: bool = False) -> None:
     kind = "both" if len(runs) > 1 else runs[0].name.lower()
     with ExitStack() as stack:
         for run in runs:
             stack.enter_context(run.kept())
-            run.write(folder, fmt, save_predictions)
+            run.write(folder, fmt, save_predictions, by_year)
         write_report(linear_report(runs), folder, f"BASELINE_{kind}", runs[0].settings, fmt)

@@ -106,7 +106,9 @@ def test_missing_incomes_are_scored_as_zero_on_log1p_only(panel):
 def test_outputs_are_written(runs, spark, tmp_path):
     folder = str(tmp_path)
     write_linear(runs[:2], folder, save_predictions=True)
-    write_forest(runs[2], folder)
+    write_forest(runs[2], folder, save_predictions=True, by_year=True)
+    year = SETTINGS.year_column
+    assert {p.name for p in (tmp_path / "RF_preds_time_2010,2014").iterdir() if "=" in p.name} == {f"{year}=2016"}
     write_boosting(runs[3], folder, "parquet")
     names = {p.name for p in tmp_path.iterdir()}
     run = "time_2010,2014_2016"

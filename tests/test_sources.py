@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelreg.sources.roles import RoleSchema, cast_roles, geography_columns, related_columns, select_features
 from panelreg.sources.sinks import write_rows, write_small
@@ -109,3 +110,22 @@ def test_sinks_overwrite(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "small"), header=True).collect() == [("a", "1.5")]
     back = stack_years([spark.read.parquet(str(tmp_path / "rows"))])
     assert back.select("feature", "coef").collect() == [("a", 1.5)]
+
+
+def test_sinks_keep_the_old_table_if_a_write_fails(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1.5)], "feature string, coef double")
+    broken = table.select("feature", F.raise_error(F.lit("no")).cast("double").alias("coef"))
+    for write in (write_small, write_rows):
+        path = tmp_path / write.__name__
+        write(table, str(path), "parquet")
+        with pytest.raises(Exception, match="no"):
+            write(broken, str(path), "parquet")
+        assert [tuple(r) for r in spark.read.parquet(str(path)).collect()] == [("a", 1.5)]
+        assert [p.name for p in tmp_path.iterdir() if p.name.startswith(path.name)] == [path.name]
+
+
+def test_partitions_without_new_rows_stay(spark, tmp_path):
+    path = str(tmp_path / "years")
+    write_rows(spark.createDataFrame([(1, 2010), (2, 2012), (3, 2012)], "v int, year int"), path, "parquet", ("year",))
+    write_rows(spark.createDataFrame([(4, 2012)], "v int, year int"), path, "parquet", ("year",))
+    assert sorted(map(tuple, spark.read.parquet(path).select("v", "year").collect())) == [(1, 2010), (4, 2012)]
