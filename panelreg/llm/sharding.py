@@ -25,6 +25,8 @@ from panelreg.llm.registry import register, table
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 3
+#: A shard is numbered in so many parts, whatever the cluster, so that slots don't depend on it.
+BLOCKS = 128
 #: Offsets are sent to every task up to so many rows, joined by a shuffle above.
 SENT_OFFSETS = 200_000
 
@@ -80,5 +82,4 @@ def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         shard_of(F.col("doc_id"), [1.0] * 24).alias("shard"),
         shard_of(F.col("doc_id"), [1.0] * 25).alias("grown_shard"),
     )
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return with_slots(rows, "shard", 24, ("doc_id", "text_crc32", "size"), blocks)
+    return with_slots(rows, "shard", 24, ("doc_id", "text_crc32", "size"), BLOCKS)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from panelreg.llm.queries import QUERIES
@@ -56,3 +59,17 @@ def test_odd_rows(spark):
         slots = sorted(r["slot"] for r in found if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert with_slots(rows.limit(0).withColumn("shard", shard_of(F.col("doc_id"), [1.0])), "shard", 1, ("doc_id",), 4).count() == 0
+
+
+def test_draws_by_hand(spark):
+    """Every shard's draw from the library's hash, and the least one."""
+
+    def draw(key, shard, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    weights = [1.0, 2.0, 0.5] * 8
+    keys = [None, *range(-50, 400)]
+    rows = spark.createDataFrame([(k,) for k in keys], "doc_id long").select("doc_id", shard_of(F.col("doc_id"), weights).alias("shard")).collect()
+    assert {r["doc_id"]: r["shard"] for r in rows} == {k: min(range(24), key=lambda s: draw(k, s, weights[s])) for k in keys}
