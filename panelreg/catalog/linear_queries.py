@@ -90,6 +90,27 @@ def ols_near_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, round(c, 6 if n == "intercept" else 2)) for n, c in lines], "feature string, coef double")
 
 
+CELLS = 10_007
+
+
+# dummies of all cells take the cell means out of both sides
+@query(
+    f"""WITH {HH}, d AS (SELECT hh_id % {CELLS} AS cell, n_lines::DOUBLE AS n, {LABEL} AS y FROM tr WHERE n_lines IS NOT NULL),
+m AS (SELECT cell, avg(n) AS mn, avg(y) AS my FROM d GROUP BY cell),
+b AS (SELECT sum((n - mn) * (y - my)) / sum((n - mn) * (n - mn)) AS slope FROM d JOIN m USING (cell)),
+base AS (SELECT my - slope * mn AS level FROM m, b WHERE cell = (SELECT min(cell) FROM m))
+SELECT 'n_lines' AS feature, round(slope, 5) AS coef FROM b UNION ALL SELECT 'intercept', round(level, 5) FROM base
+UNION ALL SELECT 'cell_' || cell, round(my - slope * mn - level, 5) FROM m, b, base WHERE cell > (SELECT min(cell) FROM m)"""
+)
+def ols_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category with ten thousand levels, solved by gradients over codes."""
+    rows = households(spark, sf_dir).filter(is_train()).where("n_lines IS NOT NULL")
+    rows = rows.withColumn("label", to_learning_scale(F.col("revenue"), "log1p")).withColumn("cell", (F.col("hh_id") % CELLS).cast("string"))
+    preparation = fit_preparation(rows, FeatureColumns(("n_lines",), ("cell",)), PrepSettings(drop_first=True))
+    lines = fit_ols(preparation.apply(rows), preparation).rows()
+    return spark.createDataFrame([(n, round(c, 5)) for n, c in lines], "feature string, coef double")
+
+
 @query("SELECT feature, true AS balanced FROM (VALUES ('intercept'), ('acctbal'), ('n_lines'), ('is_f_1.0'), ('is_f_0.0'), "
        "('priority_1-URGENT'), ('priority_2-HIGH'), ('priority_3-MEDIUM'), ('priority_4-NOT SPECIFIED'), ('priority_5-LOW')) t(feature)")
 def ols_full_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,24 @@ def test_nearly_collinear_columns_keep_their_digits(spark):
     assert [c for _, c in fit_ols(preparation.apply(frame), preparation).rows()] == pytest.approx(expected, rel=1e-7)
 
 
+def test_gradients_give_the_solution_of_the_factor(sample):
+    _, prepared, preparation, _ = sample
+    dense = fit_ols(prepared, preparation)
+    sparse = fit_ols(prepared, preparation, dense_features=0)
+    assert [c for _, c in sparse.rows()] == pytest.approx([c for _, c in dense.rows()], rel=1e-8)
+    assert set(c for _, c in fit_ols(prepared.limit(0), preparation, dense_features=0).rows()) == {0.0}
+
+
+def test_gradients_fit_alike_under_collinearity(sample):
+    _, prepared, reduced, _ = sample
+    frame = prepared.drop(*reduced.prepared_columns)
+    full = fit_preparation(frame, BOTH, PrepSettings(drop_first=False))
+    rows = full.apply(frame)
+    columns = [fit_ols(rows, full, dense_features=n).score().alias(f"p{n}") for n in (0, 1000)]
+    found = rows.select(*columns).toPandas()
+    assert found["p0"].to_numpy() == pytest.approx(found["p1000"].to_numpy(), abs=1e-8)
+
+
 def test_least_squares_without_rows_or_with_fewer_than_columns(sample):
     _, prepared, preparation, _ = sample
     assert set(c for _, c in fit_ols(prepared.limit(0), preparation).rows()) == {0.0}
