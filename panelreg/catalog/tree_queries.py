@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelreg.catalog.base import (
-    HH, LABEL, NUMERIC_ROLES, ROLES, digest_sql, hash_uniform_sql, hash_word_sql, households, is_train, query, rounded, settings,
+    HH, LABEL, NUMERIC_ROLES, ROLES, TEST_YEAR, digest_sql, hash_uniform_sql, hash_word_sql, households, is_train, metrics_sql,
+    query, rounded, settings,
 )
 from panelreg.functions.hashing import RANGE, poisson_array, poisson_steps, stream_word
 from panelreg.functions.target import to_learning_scale
@@ -382,13 +383,15 @@ DEEP = BoostSettings(
 )
 
 
-def deep_round_sql(number: int) -> str:
+def deep_round_sql(number: int, chosen: BoostSettings = DEEP) -> str:
     """One round of depth two with L1, L2, least gain, least child weight, drawn rows and columns: ``b<n>`` to ``b<n+1>``."""
     soft = lambda g: f"greatest(abs({g}) - {ALPHA}, 0)"
     leaf = lambda g, h: f"-sign({g}) * {soft(g)} / ({h} + {LAMBDA})"
-    mask = column_mask(DEEP, number, len(FEATURES))
-    features = [k for k in range(len(FEATURES)) if mask[k]]
-    drawn = f"yr <= 2000 AND {hash_uniform_sql('hh_id', f'{stream_word(SEED, ROWS, number)}::BIGINT')} < {SUBSAMPLE}"
+    mask = column_mask(chosen, number, len(FEATURES))
+    features = [k for k in range(len(FEATURES)) if mask is None or mask[k]]
+    drawn = "yr <= 2000"
+    if chosen.subsample < 1:
+        drawn += f" AND {hash_uniform_sql('hh_id', f'{stream_word(SEED, ROWS, number)}::BIGINT')} < {SUBSAMPLE}"
 
     def level(name: str) -> str:
         return level_sql(
@@ -428,6 +431,25 @@ def boost_handed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared.select("hh_id", F.round(model.score(), 6).alias("pred"))
 
 
+WHOLE = replace(DEEP, subsample=1.0, column_share=1.0)
+FIRST_SQL = "b0 AS (SELECT *, (SELECT avg(y) FROM sm WHERE yr <= 2000) AS pred FROM sm)"
+RAW_METRICS_SQL = metrics_sql("(exp(y) - 1)", "greatest(factor * (exp(pred) - 1), 0)", "_raw", 3)
+
+
+@query(
+    f"""{SMALL_SQL}, {FIRST_SQL}, {deep_round_sql(0, WHOLE)}, {deep_round_sql(1, WHOLE)},
+f AS (SELECT least(greatest(avg(exp(y - pred)), 0.5), 1.5) AS factor FROM b2 WHERE yr <= 2000)
+SELECT {metrics_sql("y", "pred")}, round(any_value(factor), 6) AS smearing, {RAW_METRICS_SQL} FROM b2, f WHERE yr = {TEST_YEAR}"""
+)
+def boost_job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boosting job end to end with all rows and columns in every round: its report, smearing included."""
+    roles = replace(ROLES, numeric=("n_lines",))
+    choice = settings(prep=PrepSettings(drop_first=True))
+    report = run_boosting(households(spark, sf_dir), roles, choice, WHOLE).report()
+    kept = report.select("MAE", "RMSE", "R2", "smearing", "MAE_raw", "RMSE_raw", "R2_raw")
+    return rounded(kept, MAE=6, RMSE=6, R2=6, smearing=6, MAE_raw=3, RMSE_raw=3, R2_raw=6)
+
+
 REPEATS = 3
 
 ROUND_SQL = f"""SELECT * EXCLUDE (l, r), l * lower + r AS target FROM (
