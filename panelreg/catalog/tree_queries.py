@@ -376,6 +376,28 @@ def prepared_rows(spark: SparkSession, sf_dir: str) -> int:
     return households(spark, sf_dir).filter(is_train()).count()
 
 
+ALL_ROWS_SQL = TWO_LEVELS_SQL.replace(f"CASE WHEN yr <= 2000 THEN {WEIGHT_SQL} ELSE 0 END AS w", "CAST(yr <= 2000 AS INT) AS w")
+
+
+@query(
+    f"""{ALL_ROWS_SQL}, leaves AS (SELECT hh_id, yr, y, CASE WHEN best1.feature IS NULL THEN nodes1.sa / nodes1.ha WHEN {side_sql('1')} THEN best1.sr / best1.hr
+  ELSE (best1.sa - best1.sr) / (best1.ha - best1.hr) END AS p
+  FROM rows1 JOIN nodes1 USING (tree, node) LEFT JOIN best1 USING (tree, node)),
+scored AS (SELECT hh_id, yr, any_value(y) AS y, avg(p) AS pred FROM leaves GROUP BY hh_id, yr),
+f AS (SELECT least(greatest(avg(exp(y - pred)), 0.5), 1.5) AS factor FROM scored WHERE yr <= 2000)
+SELECT {metrics_sql("y", "pred")}, round(any_value(factor), 6) AS smearing,
+  {metrics_sql("(exp(y) - 1)", "greatest(factor * (exp(pred) - 1), 0)", "_raw", 3)} FROM scored, f WHERE yr = {TEST_YEAR}"""
+)
+def forest_job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest job end to end, every tree on all rows with two features tried per node: its report, smearing included."""
+    roles = replace(ROLES, numeric=("n_lines",))
+    choice = settings(prep=PrepSettings(drop_first=True), geography="none")
+    forest = ForestSettings(n_trees=TREES, max_depth=2, max_features=TRIED, seed=SEED, bootstrap=False)
+    report = run_forest(households(spark, sf_dir), roles, choice, forest).report()
+    kept = report.select("MAE", "RMSE", "R2", "smearing", "MAE_raw", "RMSE_raw", "R2_raw")
+    return rounded(kept, MAE=6, RMSE=6, R2=6, smearing=6, MAE_raw=3, RMSE_raw=3, R2_raw=6)
+
+
 ALPHA, GAMMA, CHILD, SUBSAMPLE, SHARE = 3.0, 2000.0, 40.0, 0.8, 0.7
 DEEP = BoostSettings(
     n_rounds=2, learning_rate=RATE, max_depth=2, subsample=SUBSAMPLE, column_share=SHARE, lambda_=LAMBDA, alpha=ALPHA,

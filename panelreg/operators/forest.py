@@ -29,6 +29,8 @@ class ForestSettings:
     min_rows_leaf: int = 3
     max_features: str | int | float = "sqrt"
     seed: int = 42
+    #: Rows are drawn with replacement for each tree; without, trees differ by their tried features alone.
+    bootstrap: bool = True
     max_bins: int = MAX_BINS
     #: Nodes of so many rows are finished in one task.
     local_rows: int = LOCAL_ROWS
@@ -117,8 +119,8 @@ def fit_forest(
     seed = settings.seed
     share = feature_share(settings.max_features, max(len(space.features), 1))
 
-    def bag(tree: int, keys: np.ndarray) -> np.ndarray:
-        return poisson_array(keys, bag_stream(seed, tree))
+    def bag(tree: int, keys: np.ndarray) -> np.ndarray | None:
+        return poisson_array(keys, bag_stream(seed, tree)) if settings.bootstrap else None
 
     rule = RowRule(("key", "y"), bag, lambda columns, table: -columns["y"])
     rules = SplitRules(min_rows=settings.min_rows_leaf, max_depth=settings.depth_limit, gamma=1e-12, tried=share, seed=seed)

@@ -26,6 +26,8 @@ def run_forest(
     repeats: int = 5,
 ) -> ModelRun:
     """Areas count as features down to the district unless the settings name a level."""
+    if oob and not forest.bootstrap:
+        raise ValueError("an out-of-bag score needs rows that a tree did not draw")
     settings = replace(settings, geography=settings.geography or "district")
     split = prepare_split(panel, roles, settings)
     stored, rows = store_training(split)
