@@ -22,6 +22,8 @@ if TYPE_CHECKING:
     from panelreg.operators.trees import FeatureSpace, PackedTree, RowRule, SplitRules
 
 LOCAL_ROWS = 100_000
+#: Bins that a task holds at most: fewer rows where there are many columns.
+LOCAL_CELLS = 20_000_000
 HANDED_ROWS = 100_000_000
 #: Nodes with fewer rows are searched by sorting them, larger ones by sums per bin.
 SORTED_ROWS = 512
