@@ -26,6 +26,9 @@ from panelreg.llm.toxicity import fit, score_toxicity, with_labels
 from panelreg.session import new_path
 
 
+#: Keys, of eight bytes each, that are sent to every task; more are joined by a shuffle of the rows.
+SENT_KEYS = 4_000_000
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """The name, or the first one made longer that no column has."""
@@ -70,6 +73,14 @@ def by_key(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), "text")
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the gone ones, which are sent to the tasks up to SENT_KEYS: the texts stay where they are."""
+    gone = written(gone.distinct(), "gone")
+    if gone.count() <= SENT_KEYS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each near-duplicate class; those without doc_id come last."""
     rows, key = keyed(docs)
@@ -78,15 +89,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     kept = named.groupBy("class_id").agg(best["row"].alias("kept"))
     gone = named.join(kept, "class_id").where("row <> kept").select(F.col("row").alias(key))
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return without(rows, key, gone).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     rows, key = keyed(docs)
     found = contaminated(by_key(rows, key), table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    gone = found.select(F.col("doc_id").alias(key))
+    return without(rows, key, gone).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
