@@ -55,6 +55,15 @@ def test_rows_without_or_with_equal_ids(spark):
     assert sorted(map(str, (tuple(r) for r in free))) == sorted(map(str, [(None, "own text"), (1, "other")]))
 
 
+def test_dropped_keys_are_sent_or_joined(spark, monkeypatch):
+    rows = spark.range(50).withColumn("text", F.lit("t"))
+    gone = spark.range(0, 50, 3).unionByName(spark.range(6))
+    for most in (0, 1_000):
+        monkeypatch.setattr(corpus_pipeline, "SENT_KEYS", most)
+        kept = corpus_pipeline.without(rows, "id", gone).collect()
+        assert sorted(r["id"] for r in kept) == [i for i in range(6, 50) if i % 3]
+
+
 def test_extra_columns_come_out_as_they_went_in(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     names = ["score", "predicted", "lang_pred", "Parsed", "_row_key", "class_id", "kept", "node", "row", "size", "start", "item_id", "_own_score"]
