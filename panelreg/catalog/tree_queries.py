@@ -447,7 +447,7 @@ def boost_regularized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BOOST_SQL)
 def boost_handed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same two rounds with each tree finished in one pass over the rows."""
+    """The same two rounds with each tree finished in one pass over the rows, as far as a task may hold them."""
     prepared, preparation = small_fit(spark, sf_dir)
     model = fit_boosting(prepared.filter(is_train()), preparation, replace(DEEP, local_rows=10**9))
     return prepared.select("hh_id", F.round(model.score(), 6).alias("pred"))

@@ -22,8 +22,10 @@ if TYPE_CHECKING:
     from panelreg.operators.trees import FeatureSpace, PackedTree, RowRule, SplitRules
 
 LOCAL_ROWS = 100_000
-#: Bins that a task holds at most: fewer rows where there are many columns.
-LOCAL_CELLS = 20_000_000
+#: Numbers that a task holds at most, the bins of a row and ``ROW_NUMBERS`` more for its gradient, weight and
+#: order: nodes of fewer rows are handed over where there are many columns, whatever ``local_rows`` says.
+LOCAL_CELLS = 4_000_000
+ROW_NUMBERS = 5
 HANDED_ROWS = 100_000_000
 #: Nodes with fewer rows are searched by sorting them, larger ones by sums per bin.
 SORTED_ROWS = 512
@@ -171,6 +173,11 @@ def child_name(name: int, side: int) -> int:
     return (2 * name + 1 + side) % MOST_NAME
 
 
+def most_local_rows(local_rows: int, slots: int) -> int:
+    """The rows of the largest node that is handed over."""
+    return min(local_rows, LOCAL_CELLS // (slots + ROW_NUMBERS))
+
+
 def handed_rows(source: DataFrame, space: FeatureSpace, rule: RowRule, handed: dict[int, tuple[PackedTree, list[int]]]) -> DataFrame:
     """tree, node, g, h and the bins of the drawn rows of the handed nodes; and of each task the errors, under the tree TOTALS."""
     from panelreg.operators.trees import TOTALS, drawn_rows

@@ -27,7 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelreg.operators.preprocess import Preparation
-from panelreg.operators.subtrees import LOCAL_CELLS, LOCAL_ROWS, child_name, finish_subtrees, lots
+from panelreg.operators.subtrees import LOCAL_ROWS, child_name, finish_subtrees, lots, most_local_rows
 
 MAX_BINS = 256
 SKETCH_ACCURACY = 10_000
@@ -442,10 +442,10 @@ def grow_trees(
 ) -> list[Tree]:
     """Grow all the given trees together, one level at a time, and finish all nodes of up to ``local_rows`` rows in the end.
 
-    ``rows`` is the number of rows a tree's root can have, if known. Wide tables finish smaller nodes, so that a
-    task holds at most LOCAL_CELLS bins."""
+    ``rows`` is the number of rows a tree's root can have, if known. Tasks that finish a node hold at most
+    LOCAL_CELLS numbers, so nodes of more rows than that allows are split by histograms, whatever ``local_rows`` is."""
     trees = {t: Tree() for t in tree_ids}
-    local_rows = min(local_rows, LOCAL_CELLS // max(len(space.sizes), 1))
+    local_rows = most_local_rows(local_rows, len(space.sizes))
     # the rows of each open node
     open_nodes = {t: {0: np.inf if rows is None else rows} for t in tree_ids}
     # (tree, node) of nodes to be finished: their rows and depth

@@ -119,6 +119,27 @@ def test_siblings_by_subtraction(spark):
     assert (0, 16, 2, 3) not in rows and len(rows) == 5
 
 
+def test_a_task_holds_a_bounded_part_however_many_rows_are_asked_for(sample, monkeypatch):
+    """Handed nodes stay within LOCAL_CELLS; the trees are those of one pass."""
+    prepared, preparation = sample
+    settings = BoostSettings(n_rounds=2, learning_rate=0.5, max_depth=4, min_child_weight=4, local_rows=10**9)
+    whole = fit_boosting(prepared, preparation, settings)
+    handed = []
+
+    def spy(given, limit=subtrees.HANDED_ROWS, real=trees.lots):
+        handed.extend(rows for _, _, rows in given)
+        return real(given, limit)
+
+    monkeypatch.setattr(trees, "lots", spy)
+    monkeypatch.setattr(subtrees, "LOCAL_CELLS", 9_000)
+    bounded = fit_boosting(prepared, preparation, settings)
+    assert handed and max(handed) <= 9_000 // (4 + subtrees.ROW_NUMBERS)
+    assert [shape(t) for t in bounded.trees] == [shape(t) for t in whole.trees]
+    # four columns are worth five more numbers a row, and a task may hold no more than four million
+    monkeypatch.undo()
+    assert subtrees.most_local_rows(10**9, 3) == 500_000 and subtrees.most_local_rows(100_000, 35) == 100_000
+
+
 def test_lots():
     nodes = [(0, 3, 5), (0, 4, 6), (1, 1, 20), (2, 0, 1), (2, 5, 1)]
     assert list(lots(nodes, 10)) == [{0: [3]}, {0: [4]}, {1: [1]}, {2: [0, 5]}]
