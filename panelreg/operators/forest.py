@@ -146,4 +146,6 @@ def fit_ml_forest(
         maxBins=settings.max_bins,
         cacheNodeIds=True,
     )
-    return estimator.fit(preparation.with_vector(prepared).select("features", label))
+    # of each row and tree the fit keeps a count and a node
+    with preparation.spread_vectors(prepared, label, 2 * settings.n_trees) as rows:
+        return estimator.fit(rows)

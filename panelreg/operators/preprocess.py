@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,10 @@ from panelreg.operators.quantiles import filled_quantiles
 from panelreg.sources.roles import FeatureColumns
 
 UNKNOWN = -1
+#: Numbers that a partition of a fit by Spark ML's trees holds, of about eight bytes with their share of objects.
+TASK_NUMBERS = 10_000_000
+#: What an object for a row takes beside its numbers.
+ROW_OVERHEAD = 50
 
 
 @dataclass(frozen=True)
@@ -161,6 +166,25 @@ class Preparation:
             blocks.append((np.asarray(codes)[:, None] == wanted).astype(float))
         return np.hstack(blocks) if blocks else np.empty((0, 0))
 
+    @property
+    def width(self) -> int:
+        """Entries of a feature vector."""
+        return len(self.numeric) + sum(len(step.dummies) for step in self.categories)
+
+    @contextmanager
+    def spread_vectors(self, prepared: DataFrame, label: str, numbers: int) -> Iterator[DataFrame]:
+        """``features`` and the label for ML's tree fits, which keep their rows in the partitions they come in.
+
+        ``numbers`` is how many the fit keeps of a row beside its features: a partition gets rows for TASK_NUMBERS.
+        The narrow prepared columns are kept meanwhile, and dealt before they become vectors."""
+        rows = prepared.select(*self.prepared_columns, label).persist()
+        try:
+            tasks = -(-rows.count() * (self.width + ROW_OVERHEAD + numbers) // TASK_NUMBERS)
+            dealt = rows.repartition(tasks) if tasks > 1 else rows
+            yield self.with_vector(dealt).select("features", label)
+        finally:
+            rows.unpersist()
+
     def with_vector(self, prepared: DataFrame, output: str = "features") -> DataFrame:
         """Add the (sparse) feature vector ML estimators take; attribute names travel along."""
         inputs, encoded = list(self.numeric_columns), []
