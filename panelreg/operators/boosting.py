@@ -205,4 +205,6 @@ def fit_ml_boosting(
         seed=settings.seed,
         cacheNodeIds=True,
     )
-    return estimator.fit(preparation.with_vector(prepared).select("features", label))
+    # of each row the fit keeps a count, a node, a prediction and its error
+    with preparation.spread_vectors(prepared, label, 4) as rows:
+        return estimator.fit(rows)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from panelreg.operators.boosting import BoostSettings, fit_boosting, fit_ml_boosting, stop_round
@@ -11,6 +12,7 @@ from panelreg.operators.forest import ForestSettings, bag_stream, feature_share,
 from panelreg.operators.linear import fit_huber, fit_ols, huber_gradient
 from panelreg.functions.hashing import poisson_array
 from panelreg.operators.permutation import permutation_importance, permuted, shuffled_errors
+from panelreg.operators import preprocess
 from panelreg.operators.preprocess import PrepSettings, fit_preparation
 from panelreg.operators.validation import split_by_share, split_exact
 from panelreg.sources.roles import FeatureColumns
@@ -262,6 +264,29 @@ def test_ml_models_learn_the_signal(sample):
         assert scored.agg(*metric_columns("label", "prediction")).first()["R2"] > 0.8
 
 
+def test_ml_fits_deal_their_rows_over_tasks(sample, monkeypatch):
+    """Rows that come in one partition are fitted in as many as they need, each with its share, all columns intact."""
+    _, prepared, preparation, _ = sample
+    n = prepared.count()
+    numbers = preparation.width + preprocess.ROW_OVERHEAD + 8
+    monkeypatch.setattr(preprocess, "TASK_NUMBERS", -(-n // 5) * numbers)
+    seen = []
+
+    def spy(self, rows):
+        seen.append([len(part) for part in rows.rdd.glom().collect()])
+        assert sorted(map(str, rows.collect())) == sorted(map(str, preparation.with_vector(prepared).select("features", "label").collect()))
+        raise InterruptedError
+
+    for estimator, fit, settings in (
+        (RandomForestRegressor, fit_ml_forest, ForestSettings(n_trees=4)),
+        (GBTRegressor, fit_ml_boosting, BoostSettings(n_rounds=2)),
+    ):
+        monkeypatch.setattr(estimator, "fit", spy)
+        with pytest.raises(InterruptedError):
+            fit(prepared.coalesce(1), preparation, settings)
+    assert [len(parts) for parts in seen] == [5, 5] and all(sum(p) == n and max(p) <= n / 5 + 8 for p in seen)
+
+
 def test_exact_split_has_the_exact_size(spark):
     frame = spark.range(1001).withColumnRenamed("id", "key")
     for kept in (20, 5000):
