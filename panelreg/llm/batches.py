@@ -53,14 +53,12 @@ class Recent:
         """Places of the keys that aren't known; the others are in ``new`` afterwards."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
-        new, old, found = self.new, self.old, []
-        for i, key in enumerate(keys):
-            if key not in new:
-                if key in old:
-                    new[key] = old[key]
-                else:
-                    found.append(i)
-        return found
+        new, old = self.new, self.old
+        found = [i for i, key in enumerate(keys) if key not in new]
+        if not old:
+            return found
+        new.update((key, old[key]) for i in found if (key := keys[i]) in old)
+        return [i for i in found if keys[i] not in new]
 
 
 def parts(lengths: Sequence[int], limit: int = PART_CHARS) -> Iterator[slice]:
@@ -102,11 +100,14 @@ def char_classes() -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x.astype(np.uint64)
-    x ^= x >> np.uint64(30)
+    high = x >> np.uint64(30)
+    x ^= high
     x *= _MIX[0]
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=high)
+    x ^= high
     x *= _MIX[1]
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=high)
+    x ^= high
     return x
 
 
@@ -137,7 +138,9 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions of all runs, one run after the other."""
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+    places = np.repeat(starts - before, lengths)
+    places += np.arange(len(places))
+    return places
 
 
 def distinct_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,17 +148,28 @@ def distinct_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
     Values are below 2 ** 21."""
     sizes = ends - starts
-    at, place = ragged(starts, sizes), ragged(np.zeros(len(sizes), np.int64), sizes)
-    cells = mixed(values[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21)) + np.uint64(1))
-    sums = np.append(np.uint64(0), np.cumsum(cells, dtype=np.uint64))
     cuts = np.append(0, np.cumsum(sizes))
+    # positions in four bytes where they fit: half the memory to go through
+    small = np.int32 if len(values) < 1 << 31 and cuts[-1] < 1 << 31 else np.int64
+    at = np.arange(int(cuts[-1]), dtype=small)
+    at += np.repeat((starts - cuts[:-1]).astype(small), sizes)
+    own = values[at]
+    # the place in the run above the value, and one for a value of zero
+    cells = (at - np.repeat(starts.astype(small), sizes)).astype(np.uint64)
+    cells <<= np.uint64(21)
+    cells += own.astype(np.uint64, copy=False)
+    cells += np.uint64(1)
+    sums = np.zeros(len(cells) + 1, np.uint64)
+    np.cumsum(mixed(cells), out=sums[1:])
     names = sums[cuts[1:]] - sums[cuts[:-1]]
     _, first, group = np.unique(names, return_index=True, return_inverse=True)
     model = first[group]
     other = sizes != sizes[model]
     if not other.any():
-        differs = values[at] != values[ragged(starts[model], sizes)]
-        other = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[differs], minlength=len(sizes)) > 0
+        at += np.repeat((starts[model] - starts).astype(small), sizes)
+        differs = own != values[at]
+        if differs.any():
+            other = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[differs], minlength=len(sizes)) > 0
     if not other.any():
         return first, group
     # runs that share a sum without being equal: all runs are told apart one by one

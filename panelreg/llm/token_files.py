@@ -50,6 +50,7 @@ MASK = 0xA282EAD8
 
 #: Kinds of characters for cutting: a cut lies between two different kinds, and between any two digits.
 _BLANK, _LETTER, _DIGIT, _SIGN, _GLUE = range(5)
+_CUTS = np.array([[_BLANK in (a, b) or a == b == _DIGIT or (a != b and _GLUE not in (a, b)) for b in range(5)] for a in range(5)])
 
 
 def _char_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +109,20 @@ class PieceEncoder:
         """The ids of each text."""
         plain = ["" if self.added.search(t) else t for t in texts]
         cps, ends = codepoints(plain)
-        short = np.minimum(cps, 0x250)
-        kind, chars = self.kinds[short], np.where(cps < 0x250, self.lower[short], cps)
+        # code points from 0x250 on take the last kind, and stay as they are
+        kind, chars = self.kinds.take(cps, mode="clip"), self.lower.take(cps, mode="clip")
+        if len(cps) and cps.max() >= 0x250:
+            chars = np.where(cps < 0x250, chars, cps)
         fresh = np.ones(len(cps), bool)
         if len(cps):
-            a, b = kind[:-1], kind[1:]
-            fresh[1:] = ((a != b) & (a != _GLUE) & (b != _GLUE)) | (a == _BLANK) | (b == _BLANK) | ((a == _DIGIT) & (b == _DIGIT))
+            fresh[1:] = _CUTS.take(kind[:-1] * np.uint8(len(_CUTS)) + kind[1:])
             fresh[ends[:-1][ends[:-1] < len(cps)]] = True
         starts = np.flatnonzero(fresh)
         stops = np.append(starts[1:], len(cps))
         real = kind[starts] != _BLANK
         starts, stops = starts[real], stops[real]
         first, place = distinct_runs(chars, starts, stops)
-        text = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        text = chars.astype("<u4", copy=False).tobytes().decode("utf-32-le", "surrogatepass")
         names = [text[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
         self.learn(names, kind, starts[first], stops[first])
         data = list(map(self.known.new.__getitem__, names))

@@ -23,6 +23,17 @@ def library_ids(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_cuts_between_kinds_of_characters():
+    """The table says what the rule says, and code points beyond it are glue that stays as it is."""
+    for a in range(5):
+        for b in range(5):
+            rule = (a != b and a != token_files._GLUE and b != token_files._GLUE) or token_files._BLANK in (a, b) or a == b == token_files._DIGIT
+            assert token_files._CUTS[a, b] == rule
+    texts = ["\u024f\u0250\u0251 Ä1ß22 x-y", "日本 語a 12", "\U0010ffff b", ""]
+    for text, ids in zip(texts, piece_encoder(PATH).encode(texts), strict=True):
+        assert ids.tolist() == library_ids(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(st.sampled_from("'sretAÉßİ日 \n ́é1².<|>"), max_size=60), st.text(max_size=30)), max_size=4))
 def test_library_agrees(texts):
