@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -33,13 +34,17 @@ from panelreg.llm.batches import (
     char_classes,
     codepoints,
     distinct_runs,
+    forget_others,
     parts,
+    ragged,
     worker_store,
 )
 from panelreg.llm.registry import register, table
 
 ROW_BYTES = 48
 CACHE_WORDS = 120_000
+#: Characters that a task works on at a time, one text at least.
+TASK_CHARS = 250_000
 NO_RANK = np.iinfo(np.int32).max
 
 #: The endings that the pattern cuts off behind an apostrophe.
@@ -99,7 +104,7 @@ class Merger:
             if piece[:i] in self.ranks and piece[i:] in self.ranks
         }
         # open addressing in numpy: each key lies in the first free place from its home on
-        self.bits = max(8, (len(pairs) * 8).bit_length())
+        self.bits = max(8, (len(pairs) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NO_RANK, np.int32)
         todo = np.array(list(pairs), np.int64)
@@ -213,8 +218,10 @@ def merger(path: str) -> Merger:
     return store[path]
 
 
-def encode_texts(texts: list[str], rules: Merger, known: Recent) -> list[list[int]]:
-    """Ids of each text; ``known`` carries the words of earlier texts."""
+def packed_ids(texts: list[str], rules: Merger, known: Recent) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one text after the other, and where each text's begin; the last entry is the end.
+
+    ``known`` carries the words of earlier texts, their ids in four bytes each."""
     cps, ends = codepoints(texts)
     starts = word_cuts(cps, ends)
     stops = np.append(starts[1:], len(cps))
@@ -225,17 +232,19 @@ def encode_texts(texts: list[str], rules: Merger, known: Recent) -> list[list[in
     if new:
         words = [names[i].encode("utf-8", "surrogatepass") for i in new]
         for i, ids in zip(new, rules.encode_words(words), strict=True):
-            known.new[names[i]] = ids.tolist()
+            known.new[names[i]] = ids.astype("<i4").tobytes()
     words = list(map(known.new.__getitem__, names))
-    cuts = np.searchsorted(starts, ends)
-    spread = map(words.__getitem__, place.tolist())
-    made = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        ids: list[int] = []
-        for _ in range(b - a):
-            ids += next(spread)
-        made.append(ids)
-    return made
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    flat = np.frombuffer(b"".join(words), "<i4")
+    before, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+    counts = np.append(0, np.cumsum(sizes))
+    return flat[ragged(before, sizes)], counts[np.searchsorted(starts, ends)]
+
+
+def encode_texts(texts: list[str], rules: Merger, known: Recent) -> list[list[int]]:
+    """Ids of each text; ``known`` carries the words of earlier texts."""
+    ids, cuts = packed_ids(texts, rules, known)
+    return [ids[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
@@ -245,13 +254,15 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("mergers", "words", "classes", "decimals")
         rules = merger(path)
         known = worker_store("words").setdefault(path, Recent(CACHE_WORDS))
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for part in parts([len(t) for t in texts]):
-                ids = pa.array(encode_texts(texts[part], rules, known), pa.list_(pa.int32()))
+            lengths = pc.utf8_length(batch.column(at)).fill_null(0).to_pylist()
+            for part in parts(lengths, TASK_CHARS):
                 piece = batch.slice(part.start, part.stop - part.start)
+                flat, cuts = packed_ids([t or "" for t in piece.column(at).to_pylist()], rules, known)
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, ids], [*piece.schema.names, "token_ids"])
 
     return documents.mapInArrow(run, schema)

@@ -10,10 +10,11 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelreg.llm import batches
 from panelreg.llm.batches import Recent
-from panelreg.llm.byte_bpe import digest_tokens, encode_documents, encode_texts, merger
+from panelreg.llm.byte_bpe import digest_tokens, encode_documents, encode_texts, merger, packed_ids
 from panelreg.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +32,38 @@ def test_library_agrees(texts):
     assert [RULES.decode(i) for i in ids] == [t.encode() for t in texts]
 
 
+def test_what_a_task_keeps_of_a_word():
+    """Four bytes an id and no object for each; ids of parts of a text are those of the whole."""
+    known = Recent(10_000)
+    texts = ["".join(f" w{i}é{i * i}" for i in range(2_000)), "", "it's 'tis"]
+    ids, cuts = packed_ids(texts, RULES, known)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert all(isinstance(v, bytes) and len(v) == 4 * len(LIBRARY.encode_ordinary(w)) for w, v in known.new.items())
+
+
+def test_earlier_stages_give_their_memory_back():
+    """The stores that other stages filled in this process are emptied before texts are encoded."""
+    import pyarrow as pa
+
+    batches.worker_store("powers")["up"] = np.zeros(9)
+    schema = pa.schema([("text", pa.string())])
+    rows = pa.RecordBatch.from_pylist([{"text": t} for t in ("a b", None, "é" * 9, "")], schema)
+
+    class Rows:
+        columns = ["text"]
+        schema = StructType([StructField("text", StringType())])
+
+        def drop(self, _):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([rows])))
+
+    (made,) = encode_documents(Rows(), PATH)
+    assert made["token_ids"].to_pylist() == [LIBRARY.encode_ordinary(t) for t in ("a b", "", "é" * 9, "")]
+    assert not batches.worker_store("powers") and batches.worker_store("words")
+
+
 def test_long_words():
     texts = ["a" * 30_000, "ab" * 9_000, "é" * 700, "x" * 49 + "'s"]
     assert encode_texts(texts, RULES, Recent(50)) == [LIBRARY.encode_ordinary(t) for t in texts]
