@@ -11,13 +11,16 @@ import gc
 import sys
 import types
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PART_CHARS = 600_000
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -38,9 +41,24 @@ def forget_others(*names: str) -> None:
         vars(home)[name].clear()
     if stale:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(run: Task) -> Task:
+    """The same function of a task's batches; freed memory goes back before the worker waits for its next task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidy
 
 
 class Recent:
@@ -73,6 +91,12 @@ def parts(lengths: Sequence[int], limit: int = PART_CHARS) -> Iterator[slice]:
         yield slice(first, len(lengths))
 
 
+def text_parts(column: pa.Array, limit: int = PART_CHARS) -> Iterator[tuple[slice, list[str]]]:
+    """The ``parts`` of a batch, and the texts of one after the other as Python's; null is empty."""
+    for part in parts(pc.utf8_length(column).fill_null(0).to_pylist(), limit):
+        yield part, [t or "" for t in column[part].to_pylist()]
+
+
 def codepoints(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters in one array, and where each text begins; the last entry is the end."""
     ends = np.cumsum([0, *map(len, texts)])

@@ -37,6 +37,7 @@ from panelreg.llm.batches import (
     forget_others,
     parts,
     ragged,
+    tidied,
     worker_store,
 )
 from panelreg.llm.registry import register, table
@@ -265,7 +266,7 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, ids], [*piece.schema.names, "token_ids"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidied(run), schema)
 
 
 def digest_tokens(tokens: DataFrame, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from panelreg.llm.batches import LETTER, char_classes, codepoints, parts, ragged, worker_store
+from panelreg.llm.batches import LETTER, char_classes, codepoints, forget_others, ragged, text_parts, tidied, worker_store
 from panelreg.llm.registry import register, table
 
 LEARN_CHARS = 160_000
@@ -41,6 +41,8 @@ LEARN_TEXTS = 120
 #: The commonest letters have columns in the table; moves by the others are looked up by key.
 LETTERS_KEPT = 60
 SEGMENT = 512
+#: Characters that are parsed at once, one text at least.
+TASK_CHARS = 250_000
 UNKNOWN = "und"
 BLANK, RARE = 0, 1
 
@@ -126,12 +128,15 @@ class Parser:
             self.symbol_of[char] = i + 2
         self.width = min(len(seen), LETTERS_KEPT) + 2
         self.symbols = len(seen) + 2
-        tables, self.roots, self.bits, base = [], [], [], 0
+        # an automaton has fewer than two states a symbol, beside its root; rows that aren't used take no memory
+        states = np.empty((sum(2 * len(s) + 1 for s in streams.values()), self.width), np.int32)
+        self.roots, self.bits, base = [], [], 0
         sparse: dict[int, int] = {}
         for lang in self.languages:
             symbols = self.symbol_of[streams[lang]].tolist()
             moves = suffix_automaton(symbols)
-            table_ = np.full((len(moves), self.width), -1, np.int64)
+            table_ = states[base : base + len(moves)]
+            table_[:] = -1
             for state, row in enumerate(moves):
                 near = {c: to for c, to in row.items() if c < self.width}
                 table_[state, list(near)] = list(near.values())
@@ -139,13 +144,15 @@ class Parser:
                     sparse[(state + base) * self.symbols + c] = (row[c] + base) * self.width * 2 + (state == 0)
             root = np.maximum(table_[0], 0)
             missing = table_ < 0
-            table_ = np.where(missing, root, table_)
+            np.copyto(table_, root, where=missing)
             missing[0] = True
-            tables.append(((table_ + base) * self.width * 2 + missing).astype(np.int32))
+            table_ += base
+            table_ *= self.width * 2
+            table_ += missing
             self.roots.append(base * self.width)
             self.bits.append(np.log2(max(2, len(symbols))))
             base += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table = states[:base].reshape(-1)
 
         self.sparse_keys = np.array(sorted(sparse), np.int64)
         self.sparse_moves = np.array([sparse[k] for k in self.sparse_keys.tolist()], np.int32)
@@ -223,18 +230,18 @@ def predict_language(documents: DataFrame, texts: dict[str, list[str]]) -> DataF
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("classes", "parsers")
         rules = parser(texts)
         for batch in batches:
-            rows = [t or "" for t in batch.column(at).to_pylist()]
-            for part in parts([len(t) for t in rows]):
-                names, scores, parsed = rules.predict(rows[part])
+            for part, rows in text_parts(batch.column(at), TASK_CHARS):
+                names, scores, parsed = rules.predict(rows)
                 piece = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(parsed, pa.int64())],
                     [*piece.schema.names, "lang_pred", "score", "parsed"],
                 )
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, *added]))
+    return documents.mapInArrow(tidied(run), StructType([*documents.schema.fields, *added]))
 
 
 def held_out() -> Column:

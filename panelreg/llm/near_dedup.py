@@ -49,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, distinct_runs, forget_others, mixed, parts, ragged, word_runs
+from panelreg.llm.batches import LETTER, NUMBER, char_classes, codepoints, distinct_runs, forget_others, mixed, ragged, text_parts, tidied, word_runs
 from panelreg.llm.registry import register, table
 from panelreg.session import new_path
 
@@ -65,6 +65,8 @@ SENT_ROWS = 1_000_000
 SLOT_BITS = 18
 #: Numbers in a node's sketch, the largest that it holds, and characters that are worked off at once.
 SKETCH, FULL, PART = 128, 65_535, 300_000
+#: Pairs whose sketches are compared at once.
+PAIRS = 2_000
 #: Bounds of sizes and places give way by so much to rounding.
 SLACK = 1e-6
 #: Components left empty at the first attempt: SIZE * exp(-SPARE) of a text's SIZE components.
@@ -209,10 +211,9 @@ def signed(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("classes")
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in parts([len(t) for t in texts], PART):
-                n = part.stop - part.start
-                owner, code, weight = shingle_bags(texts[part])
+            for part, texts in text_parts(batch["text"], PART):
+                n = len(texts)
+                owner, code, weight = shingle_bags(texts)
                 keys = band_keys(signatures(owner, code, weight, n))
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
                 both = (pa.array(f(owner, code, weight, n), pa.binary()) for f in (bag_names, sketches))
@@ -221,7 +222,7 @@ def signed(documents: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select("doc_id", read_key().alias("key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, name binary, sketch binary, bands array<bigint>")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, key bigint, name binary, sketch binary, bands array<bigint>")
 
 
 def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -230,10 +231,9 @@ def read_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
     Elements are shingles with the number of the repeat mixed in. Rows whose text doesn't have the name, as
     equal keys can bring about, are left out."""
     for batch in batches:
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        for part in parts([len(t) for t in texts], PART):
-            n = part.stop - part.start
-            owner, code, weight = shingle_bags(texts[part])
+        for part, texts in text_parts(batch["text"], PART):
+            n = len(texts)
+            owner, code, weight = shingle_bags(texts)
             asked = batch["name"][part].to_pylist()
             same = np.array([x == y for x, y in zip(asked, bag_names(owner, code, weight, n), strict=True)])
             mine = same[owner]
@@ -250,7 +250,7 @@ def bags(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([node, lists], ["node", "elements"])
 
-    return texts.mapInArrow(run, "node bigint, elements array<bigint>")
+    return texts.mapInArrow(tidied(run), "node bigint, elements array<bigint>")
 
 
 def slots_of(flat: np.ndarray) -> np.ndarray:
@@ -267,7 +267,7 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
-    found = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(tidied(run), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     # only the order counts
@@ -288,7 +288,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, near: float) -> DataFrame:
             lists = pa.ListArray.from_arrays(cuts, pa.array(flat[kept].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([node, pa.array(size), lists], ["node", "size", "elements"])
 
-    return texts.mapInArrow(run, "node bigint, size bigint, elements array<bigint>")
+    return texts.mapInArrow(tidied(run), "node bigint, size bigint, elements array<bigint>")
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
@@ -369,8 +369,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, near: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 10_000):
-                piece = batch.slice(at, 10_000)
+            for at in range(0, len(batch), PAIRS):
+                piece = batch.slice(at, PAIRS)
                 one, two = (np.frombuffer(b"".join(piece[c].to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int64) for c in ("sa", "sb"))
                 shared = np.minimum(one, two).sum(1)
                 kept = shared * (1 + near) >= near * (one.sum(1) + two.sum(1)) - SLACK
@@ -382,7 +382,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, near: float) -> DataFrame:
     both = pairs
     for side in "ab":
         both = both.join(known.withColumnsRenamed({"node": side, "sketch": f"s{side}"}), side)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def texts_of(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:

@@ -23,14 +23,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelreg.llm.batches import LETTER, char_classes, codepoints, mixed, parts, ragged, run_hashes, word_runs
+from panelreg.llm.batches import LETTER, char_classes, codepoints, forget_others, give_back, mixed, ragged, run_hashes, text_parts, tidied, word_runs
 from panelreg.llm.language import held_out
 from panelreg.llm.registry import register, table
 
@@ -43,6 +43,8 @@ HIDDEN, ATTENTION = 12, 8
 LEARN_ROWS, LEARN_CHARS = 1_500, 4_000
 EPOCHS, BATCH, RATE, DROPPED = 4, 64, 0.01, 0.3
 THRESHOLD = 0.3
+#: Texts after which the words that were seen are counted, and words whose grams are summed at once.
+COUNTED, SUMMED = 64, 2_000
 
 Params = dict[str, np.ndarray]
 
@@ -104,11 +106,51 @@ def read_words(texts: list[str]) -> Words:
     )
 
 
-def common(hashes: list[np.ndarray], most: int) -> np.ndarray:
-    """The sorted hashes that are in at least SEEN_IN of the arrays."""
-    found, seen = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
-    order = np.lexsort((found, -seen))[:most]
-    return np.sort(found[order[seen[order] >= SEEN_IN]])
+class Seen:
+    """Hashes, and in how many texts each one was."""
+
+    def __init__(self):
+        self.found, self.times, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, hashes: np.ndarray) -> None:
+        """The hashes of one text."""
+        self.new.append(np.unique(hashes))
+        if len(self.new) >= COUNTED:
+            self.count()
+
+    def count(self) -> None:
+        new, times = np.unique(np.concatenate([self.found[:0], *self.new]), return_counts=True)
+        self.found, place = np.unique(np.concatenate([self.found, new]), return_inverse=True)
+        total = np.zeros(len(self.found), np.int64)
+        np.add.at(total, place, np.concatenate([self.times, times]))
+        self.times, self.new = total, []
+
+    def common(self, most: int) -> np.ndarray:
+        """The sorted hashes that were in at least SEEN_IN texts."""
+        self.count()
+        order = np.lexsort((self.found, -self.times))[:most]
+        return np.sort(self.found[order[self.times[order] >= SEEN_IN]])
+
+
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the words and grams that get vectors."""
+    seen_words, seen_grams = Seen(), Seen()
+    for text in texts:
+        words = read_words([text])
+        seen_words.add(words.word_hash)
+        seen_grams.add(words.gram_hash)
+    return seen_words.common(MOST_WORDS), seen_grams.common(MOST_GRAMS)
+
+
+def packed(grams: np.ndarray, words: Words) -> Words:
+    """For keeping: the places of grams that have vectors, the others add nothing, and how many of them each word has."""
+    place = rows_of(grams, words.gram_hash)
+    known = np.bincount(words.gram_word[place > 0], minlength=len(words.word_hash))
+    return replace(words, gram_hash=(place[place > 0] - 1).astype(np.min_scalar_type(len(grams))), gram_word=known.astype(np.int32))
+
+
+def unpacked(grams: np.ndarray, kept: Words) -> Words:
+    return replace(kept, gram_hash=grams[kept.gram_hash], gram_word=np.repeat(np.arange(len(kept.word_hash)), kept.gram_word))
 
 
 def rows_of(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -153,7 +195,11 @@ def word_inputs(params: Params, words: Words) -> tuple[np.ndarray, np.ndarray, n
     if len(known):
         owner = words.gram_word[known]
         begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        sums[owner[begins]] = np.add.reduceat(params["gram"][gram_row[known]], begins, 0)
+        # the vectors of some words' grams at a time
+        for first in range(0, len(begins), SUMMED):
+            some = begins[first : first + SUMMED]
+            last = begins[first + SUMMED] if first + SUMMED < len(begins) else len(known)
+            sums[owner[some]] = np.add.reduceat(params["gram"][gram_row[known[some[0] : last]]], some - some[0], 0)
     vectors = params["word"][word_row] * (word_row > 0)[:, None]
     return np.concatenate([vectors, sums * gram_scale(words)], 1), word_row, gram_row
 
@@ -162,11 +208,12 @@ def gram_scale(words: Words) -> np.ndarray:
     return (np.maximum(words.gram_count, 1) ** -0.5)[:, None].astype(np.float32)
 
 
-def run_units(inputs: np.ndarray, u: np.ndarray, windows: np.ndarray, back: bool, tape: list | None) -> np.ndarray:
-    """States of gated recurrent units after every word: (window place, window, unit)."""
+def run_units(
+    inputs: np.ndarray, u: np.ndarray, windows: np.ndarray, back: bool, tape: list | None, states: np.ndarray
+) -> None:
+    """Fill in the states of gated recurrent units after every word: (window place, window, unit)."""
     n, steps = windows.shape
     h = np.zeros((n, HIDDEN), inputs.dtype)
-    states = np.empty((steps, n, HIDDEN), inputs.dtype)
     for t in reversed(range(steps)) if back else range(steps):
         here = windows[:, t] >= 0
         p, a = inputs[windows[:, t]], h @ u
@@ -177,7 +224,6 @@ def run_units(inputs: np.ndarray, u: np.ndarray, windows: np.ndarray, back: bool
         if tape is not None:
             tape.append((t, here, h, z, r, c, a[:, 2 * HIDDEN :]))
         states[t] = h = new
-    return states
 
 
 def logits(
@@ -187,11 +233,12 @@ def logits(
     x, word_row, gram_row = word_inputs(params, words)
     if dropped is not None:
         x = x * dropped
-    ways = []
-    for way in ("f", "b"):
+    # both ways side by side
+    states = np.empty((windows.shape[1], len(windows), 2 * HIDDEN), np.result_type(x, params["xf"]))
+    for i, way in enumerate(("f", "b")):
         steps = None if tape is None else tape.setdefault(way, [])
-        ways.append(run_units(x @ params[f"x{way}"] + params[f"c{way}"], params[f"u{way}"], windows, way == "b", steps))
-    states = np.concatenate(ways, 2)
+        inputs = x @ params[f"x{way}"] + params[f"c{way}"]
+        run_units(inputs, params[f"u{way}"], windows, way == "b", steps, states[:, :, i * HIDDEN : (i + 1) * HIDDEN])
     key = np.tanh(states @ params["a"])
     weight = np.where(windows.T >= 0, key @ params["v"], -np.inf)
     weight = np.exp(weight - weight.max(0))
@@ -249,10 +296,8 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Params |
     texts, y = [texts[i] for i in keep], y[keep]
     if len(set(y.tolist())) < 2:
         return None
-    seen = [read_words([text]) for text in texts]
-    params = first_params(
-        common([w.word_hash for w in seen], MOST_WORDS), common([w.gram_hash for w in seen], MOST_GRAMS)
-    )
+    params = first_params(*vocabulary(texts))
+    give_back()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items() if k not in ("words", "grams")}
     rng = np.random.default_rng(11)
     # few texts get more passes, so that there are enough steps
@@ -266,7 +311,10 @@ def learn(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Params |
             order = range(len(groups))
         for g in order:
             group = groups[g]
-            words = cached.get(g) or cached.setdefault(g, read_words([texts[i] for i in group]))
+            if g not in cached:
+                cached[g] = packed(params["grams"], read_words([texts[i] for i in group]))
+                give_back()
+            words = unpacked(params["grams"], cached[g])
             rank = rng.random(len(words.owner)) if epoch == 0 else logits(params, words, words.windows)
             best = np.lexsort((rank, words.owner))
             best = best[np.append(words.owner[best][1:] != words.owner[best][:-1], True)]
@@ -326,12 +374,13 @@ def fit(labelled: DataFrame) -> Params | None:
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("classes")
         for batch in batches:
             for texts, labels in zip(batch["texts"].to_pylist(), batch["labels"].to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(texts, labels))])], ["params"])
 
     sample = labelled.sparkSession.createDataFrame([(texts, labels)], "texts array<string>, labels array<int>")
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "params binary").first()["params"])
+    return pickle.loads(sample.coalesce(1).mapInArrow(tidied(run), "params binary").first()["params"])
 
 
 def score_toxicity(documents: DataFrame, params: Params | None) -> DataFrame:
@@ -340,14 +389,14 @@ def score_toxicity(documents: DataFrame, params: Params | None) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("classes", "powers")
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for part in parts([len(t) for t in texts]):
-                scores = pa.array(score_texts(params, texts[part]), pa.float64())
+            for part, texts in text_parts(batch.column(at)):
+                scores = pa.array(score_texts(params, texts), pa.float64())
                 piece = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*piece.columns, scores], [*piece.schema.names, "score"])
 
-    scored = documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    scored = documents.mapInArrow(tidied(run), StructType([*documents.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

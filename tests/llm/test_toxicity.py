@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from panelreg.llm import toxicity
+from panelreg.llm import batches, toxicity
+from panelreg.llm.language import predict_language
 from panelreg.llm.queries import QUERIES
 from panelreg.llm.toxicity import STRIDE, WINDOW, first_params, fit, gradient, labelled_sample, learn, logits, read_words, score_texts, score_toxicity
 
@@ -82,3 +87,57 @@ def test_label_on_long_texts_only(spark):
     texts, labels = labelled_sample(spark.createDataFrame(rows, "text string, toxic int"))
     assert sorted(labels) == [0] * 5 + [1] * 2 and "bad " * 2_000 in texts
     assert labelled_sample(spark.createDataFrame(rows[:5], "text string, toxic int")) == ([], [])
+
+
+def test_learning_keeps_little_of_each_text():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(w) for w in letters[rng.integers(0, 26, (2_000, 9))]]
+    texts = [" ".join(words[i] for i in rng.integers(0, 2_000, 250)) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        assert learn(texts, [i % 2 for i in range(600)], 1) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # some 3 million grams of all texts, of 16 bytes each, would be 50 MB and more
+    assert peak < 45e6
+
+
+def test_packed_words_give_the_same_logits():
+    words = read_words(["a few words of text here", "other words", ""])
+    params = first_params(np.sort(words.word_hash[:4]), np.unique(words.gram_hash[::2]))
+    again = toxicity.unpacked(params["grams"], toxicity.packed(params["grams"], words))
+    tapes = {}, {}
+    found = [logits(params, w, w.windows, tape) for w, tape in zip((words, again), tapes, strict=True)]
+    assert np.array_equal(*found)
+    grads = [gradient(params, w, w.windows, tape, np.ones(2, np.float32)) for w, tape in zip((words, again), tapes, strict=True)]
+    assert all(np.array_equal(grads[0][k], grads[1][k]) for k in grads[0])
+
+
+class Rows:
+    """Documents whose tasks run here, batch after batch."""
+
+    def __init__(self):
+        self.columns = ["doc_id", "text"]
+        self.schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+
+    def drop(self, *names):
+        return self
+
+    def withColumn(self, name, column):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.made = list(run(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b", None, ""])], self.columns)])))
+        return self
+
+
+def test_tasks_give_back_what_earlier_stages_left(spark, monkeypatch):
+    for score in (lambda: score_toxicity(Rows(), None), lambda: predict_language(Rows(), {})):
+        batches.worker_store("words")["path"] = np.zeros(9)
+        given = []
+        monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
+        (made,) = score().made
+        assert made["score"].to_pylist() == [0.0] * 3
+        assert not batches.worker_store("words") and len(given) == 2
